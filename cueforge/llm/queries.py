@@ -5,18 +5,99 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueforge.llm import simhash
+from cueforge.llm import decontam, langid, licenses, mixing, pii, quality, simhash, substrings, topk, toxicity
+from cueforge.llm.common import id_hash_in
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the base spans, all spans."""
+    found = pii.detect(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(spans, x -> x.base and x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.BASE]
+    base = found.withColumn("base", F.expr("filter(spans, x -> x.base)"))
+    return base.select("doc_id", *counts, F.sha2(pii.span_list("base").cast("binary"), 256).alias("base_sha256"), pii.span_list("spans").alias("spans"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of every document that holds a license notice."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked weight, probability and draw of every document."""
+    return mixing.weighted(_table(spark, sf_dir, "documents")).drop("row")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; one id in five is never learned from."""
+    docs = _table(spark, sf_dir, "documents")
+    profiles = langid.fit(docs.where(id_hash_in(5, lambda r: r != 0)))
+    out = langid.predict(docs, profiles)
+    return out.select("doc_id", id_hash_in(5, lambda r: r == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five rows of the highest inner product for every fiftieth vector."""
+    table = topk.build_file(_table(spark, sf_dir, "embeddings"))
+    return topk.search(table, table.where("vec_id % 50 = 0"), 5)
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_simhash_dedup": op6_simhash_dedup}
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; one id in three is never learned from."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels").where(id_hash_in(3, lambda r: r != 1)))
+    out = quality.score(docs, model)
+    return out.select("doc_id", id_hash_in(3, lambda r: r == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words kept and removed of every document."""
+    out = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that overlap."""
+    return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_license_scan, op3_mixing, op4_language_id, op5_exact_topk, op6_simhash_dedup, op7_quality, op8_toxicity, op9_substring_dedup, op10_decontamination)}
 
-ORACLES: dict[str, str] = {}
+#: Operators without an entry have no SQL form (trained models, hashes that DuckDB lacks).
+ORACLES = {
+    "op5_exact_topk": """
+        with v as (
+            select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v
+            from embeddings where embedding is not null and len(embedding) > 0
+              and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+        s as (
+            select q.vec_id as query_id, c.vec_id as vec_id,
+                   cast(list_inner_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) as score
+            from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+        select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
+    "op9_substring_dedup": r"""
+        with d as (
+            select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') as w from documents),
+        s as (select doc_id, w, unnest(range(1, len(w) - 18)) as at from d where len(w) >= 20),
+        g as (select doc_id, at, row_number() over (partition by array_to_string(w[at:at + 19], ' ') order by doc_id, at) as k from s),
+        c as (select doc_id, unnest(range(at, at + 20)) as p from g where k > 1),
+        u as (select doc_id, list(distinct p) as gone from c group by doc_id)
+        select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(gone), 0) as bigint) as n_removed,
+               sha256(array_to_string(case when gone is null then w else list_filter(w, (x, i) -> not list_contains(gone, i)) end, ' ')) as kept_sha256
+        from d left join u on d.doc_id = u.doc_id""",
+}
