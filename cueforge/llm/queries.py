@@ -81,9 +81,9 @@ QUERIES = {f.__name__: f for f in (op1_pii, op2_license_scan, op3_mixing, op4_la
 ORACLES = {
     "op5_exact_topk": """
         with v as (
-            select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v
+            select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
             from embeddings where embedding is not null and len(embedding) > 0
-              and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         s as (
             select q.vec_id as query_id, c.vec_id as vec_id,
                    cast(list_inner_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) as score
@@ -92,12 +92,15 @@ ORACLES = {
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
     "op9_substring_dedup": r"""
         with d as (
-            select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') as w from documents),
-        s as (select doc_id, w, unnest(range(1, len(w) - 18)) as at from d where len(w) >= 20),
-        g as (select doc_id, at, row_number() over (partition by array_to_string(w[at:at + 19], ' ') order by doc_id, at) as k from s),
-        c as (select doc_id, unnest(range(at, at + 20)) as p from g where k > 1),
-        u as (select doc_id, list(distinct p) as gone from c group by doc_id)
-        select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(gone), 0) as bigint) as n_removed,
-               sha256(array_to_string(case when gone is null then w else list_filter(w, (x, i) -> not list_contains(gone, i)) end, ' ')) as kept_sha256
-        from d left join u on d.doc_id = u.doc_id""",
+            select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+        s as (select doc_id, w, unnest(range(1, len(w) - 18)) as k0 from d where len(w) >= 20),
+        g as (select doc_id, k0, row_number() over (partition by array_to_string(w[k0:k0 + 19], ' ') order by doc_id, k0) as k from s),
+        c as (select distinct doc_id, unnest(range(k0, k0 + 20)) as p from g where k > 1),
+        a as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as p from d),
+        m as (select a.doc_id, a.word, a.p, c.p is null as kept from a left join c on a.doc_id = c.doc_id and a.p = c.p),
+        n as (select doc_id, count(*) as n_words, count(*) filter (where not kept) as n_removed,
+                     string_agg(word, ' ' order by p) filter (where kept) as kept from m group by doc_id)
+        select d.doc_id, cast(coalesce(n_words, 0) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+               sha256(coalesce(kept, '')) as kept_sha256
+        from d left join n on d.doc_id = n.doc_id""",
 }
