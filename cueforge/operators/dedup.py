@@ -16,11 +16,13 @@ FOLDER_FILES = 20_000
 
 def average_hash(c: Column | str) -> Column:
     """16 hex digits: one bit for each of 64 grey values, set if at least the mean."""
-    v = F.transform(_col(c), lambda x: x.cast("double"))
-    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-    bit = F.transform(v, lambda x: F.when(x * F.size(v) >= total, 1).otherwise(0))
-    digit = lambda i: F.lower(F.hex(F.get(bit, i * 4) * 8 + F.get(bit, i * 4 + 1) * 4 + F.get(bit, i * 4 + 2) * 2 + F.get(bit, i * 4 + 3)))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), digit), "")
+    # One-element arrays bind a value that is used many times.
+    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    bits = lambda v: bound(total(v), lambda t: F.transform(v, lambda x: F.when(x * F.size(v) >= t, 1).otherwise(0)))
+    digit = lambda b, i: F.lower(F.hex(F.get(b, i * 4) * 8 + F.get(b, i * 4 + 1) * 4 + F.get(b, i * 4 + 2) * 2 + F.get(b, i * 4 + 3)))
+    text = lambda b: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: digit(b, i)), "")
+    return bound(F.transform(_col(c), lambda x: x.cast("double")), lambda v: bound(bits(v), text))
 
 
 def _keep_first(pairs: pd.DataFrame) -> pd.DataFrame:

@@ -47,8 +47,9 @@ def chunk_fixed(cues: DataFrame, durations: DataFrame, chunk_ms: int = 30_000, t
     last = F.greatest(F.ceil(F.col("duration_ms") / chunk_ms) - 1, F.lit(0))
     chunks = durations.where("duration_ms > 0").select(track, "duration_ms", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk_no"))
     chunks = chunks.select(track, "chunk_no", (F.col("chunk_no") * chunk_ms).alias("chunk_start_ms"), F.least((F.col("chunk_no") + 1) * chunk_ms, F.col("duration_ms")).alias("chunk_end_ms"))
-    placed = cues.withColumn("chunk_no", F.floor(F.col("begin_ms") / chunk_ms))
-    joined = chunks.join(placed, [track, "chunk_no"], "left").where(F.col("begin_ms").isNull() | (F.col("begin_ms") < F.col("chunk_end_ms")) | (F.col("chunk_end_ms") - F.col("chunk_start_ms") == chunk_ms))
+    placed = cues.withColumns({"_track": F.col(track), "_no": F.floor(F.col("begin_ms") / chunk_ms)}).drop(track)
+    met = (F.col(track) == F.col("_track")) & (F.col("chunk_no") == F.col("_no")) & (F.col("begin_ms") < F.col("chunk_end_ms"))
+    joined = chunks.join(placed, met, "left").drop("_track", "_no")
     w = Window.partitionBy(track, "chunk_no").orderBy(order)
     return joined.withColumn("chunk_idx", F.when(F.col("begin_ms").isNotNull(), F.row_number().over(w)))
 

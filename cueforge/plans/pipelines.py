@@ -64,7 +64,7 @@ def translate_track(cues: DataFrame, existing: DataFrame, fn: Callable[[str], st
     """Translated cues (track, begin_ms, end_ms, text), one a begin, of groups with text that ``existing`` lacks."""
     groups = merge_same_begin(cues, track, order).where("text <> ''").groupBy(track, "begin_ms").agg(F.max("end_ms").alias("end_ms"), F.min_by("text", order).alias("text"))
     new = groups.join(existing.select(track, "begin_ms").distinct(), [track, "begin_ms"], "left_anti")
-    return distinct_enrichment(new, "text", fn, "_t").select(track, "begin_ms", "end_ms", F.col("_t").alias("text"))
+    return distinct_enrichment(new, "text", fn, "translated").select(track, "begin_ms", "end_ms", F.col("translated").alias("text"))
 
 
 def printed_base(base: DataFrame, track: str = "track_id") -> DataFrame:

@@ -12,8 +12,9 @@ BOM = "﻿"
 
 
 def _track(path: Column) -> Column:
-    """File name without folders and its last extension."""
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    """Value of the folder that partitions the files, else the file name without its last extension."""
+    folder = F.url_decode(F.regexp_extract(path, r"/[A-Za-z_]+=([^/]+)/[^/]+$", 1))
+    return F.when(folder != "", folder).otherwise(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""))
 
 
 def _texts(spark: SparkSession, path: str) -> DataFrame:
