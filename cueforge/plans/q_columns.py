@@ -45,15 +45,15 @@ def b4(s, d):
 def _on_documents(name, expr, sql):
     @query(name, f"select doc_id, md5({sql}) as digest, cast(length({sql}) as bigint) as n from documents")
     def run(s, d):
-        c = table(s, d, "documents").select("doc_id", expr.alias("c"))
+        c = table(s, d, "documents").select("doc_id", expr().alias("c"))
         return c.select("doc_id", F.md5(F.col("c").cast("binary")).alias("digest"), F.length("c").cast("long").alias("n"))
 
 
-_on_documents("b5_clean_zht", T.clean_zht("text"), f"regexp_replace(translate(text, '{T.ZHT_DROPPED}', ''), '^\\s+|\\s+$', '', 'g')")
-_on_documents("b6_clean_for_speech", T.clean_for_speech("text"), "trim(translate(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g'), '♪♫♬♭♮♯【】[]()（）…', ''))")
-_on_documents("b7_strip_punct", T.strip_punct_for_match("text"), "translate(text, ' 　（）.《》\"', '')")
-_on_documents("b8_strip_accents", T.strip_accents("text", captions=True), f"translate(text, '{T.ACCENTS[0]}', '{T.ACCENTS[1]}')")
-_on_documents("b8_pinyin_slug", T.pinyin_slug("text"), f"translate(replace(translate(text, '{T.TONES[0]}', '{T.TONES[1]}'), ' ', '_'), ':()', '')")
+_on_documents("b5_clean_zht", lambda: T.clean_zht("text"), f"regexp_replace(translate(text, '{T.ZHT_DROPPED}', ''), '^\\s+|\\s+$', '', 'g')")
+_on_documents("b6_clean_for_speech", lambda: T.clean_for_speech("text"), "trim(translate(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g'), '♪♫♬♭♮♯【】[]()（）…', ''))")
+_on_documents("b7_strip_punct", lambda: T.strip_punct_for_match("text"), "translate(text, ' 　（）.《》\"', '')")
+_on_documents("b8_strip_accents", lambda: T.strip_accents("text", captions=True), f"translate(text, '{T.ACCENTS[0]}', '{T.ACCENTS[1]}')")
+_on_documents("b8_pinyin_slug", lambda: T.pinyin_slug("text"), f"translate(replace(translate(text, '{T.TONES[0]}', '{T.TONES[1]}'), ' ', '_'), ':()', '')")
 
 
 @query("b9_has_script", "select doc_id, regexp_matches(text, '[éèêçñüß]') as has from documents")
