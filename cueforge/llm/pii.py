@@ -231,7 +231,8 @@ def span_list(spans: str) -> Column:
 def redact(docs: DataFrame, text: str = "text", model: SpanModel | None = None) -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind in brackets; overlapping spans become one."""
     found = detect(docs, text, model)
-    ordered = "array_sort(transform(spans, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind)))"
+    # By start, the longest first, so that a merged span has the kind of its first and longest.
+    ordered = "transform(array_sort(transform(spans, x -> named_struct('start', x.start, 'back', -x.end, 'kind', x.kind))), x -> named_struct('start', x.start, 'end', -x.back, 'kind', x.kind))"
     merged = f"""aggregate({ordered}, cast(array() as array<struct<start: bigint, end: bigint, kind: string>>), (a, x) ->
         if(size(a) > 0 and element_at(a, -1).end > x.start,
            concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end), 'kind', element_at(a, -1).kind))),

@@ -1,0 +1,400 @@
+"""Corpus operators against brute force on small tables, with nulls, empty and repeated rows."""
+
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from cueforge.llm import common, decontam, graph, langid, licenses, mixing, pii, quality, simhash, substrings, topk, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+
+
+def documents(spark, texts, langs=None):
+    return spark.createDataFrame([(i, t, (langs or ["en"] * len(texts))[i], f"s{i % 3}", len(t or ""), "e") for i, t in enumerate(texts)], DOCS)
+
+
+def prose(r, n, words=300):
+    return " ".join(f"w{r.randrange(words)}" for _ in range(n))
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# helpers
+
+
+def test_words_and_windows():
+    import pyarrow as pa
+
+    off, words = common.split_words(pa.array(["  a b\tc\x0bd ", None, "", "x y"]))
+    assert off.tolist() == [0, 4, 4, 4, 5] and words.to_pylist() == ["a", "b", "c", "d", "x y"]
+    h = np.arange(30, dtype=np.uint64) % 7
+    for k in (1, 2, 3, 10, 20):
+        w = common.window_hashes(h, k)
+        same = {}
+        for i, x in enumerate(w.tolist()):
+            same.setdefault(tuple(h[i : i + k].tolist()), set()).add(x)
+        assert len(w) == 31 - k and all(len(v) == 1 for v in same.values()) and len({*w.tolist()}) == len(same)
+        assert common.sliding(h, k, np.minimum).tolist() == [h[i : i + k].min() for i in range(31 - k)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    r = random.Random(seed)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(40)] + [(500, 600 + i) for i in range(30)]
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {x.node: x.component for x in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 1 personal data
+
+KINDS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in KINDS:
+        for m in re.finditer(pattern, text or "", re.ASCII):
+            digits = re.sub("[^0-9]", "", m[0])
+            if {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 16 <= len(digits) <= 19 and luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_pii_equals_patterns(spark):
+    r = random.Random(3)
+    bits = ["a@b.co", "x.y%@d-e.f.g", "@", "_d@e.f", "1.2.3.4", "300.1.2.3.4", "0001.02.3.255", "4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1112", "+1 (389) 555-5010", "+12345678", "+1", "password=ab12cd34ef", "é", "日", "\U0001f600", " ", ".", "-", "9", "\n", "a\x01b"]
+    texts = [None, "", "plain words only", "7" * 5000, "a" * 5000 + "@", "a@b." + "c" * 3000, " ".join(["1.2.3.4"] * 700)] + ["".join(r.choice(bits) + r.choice(["", " "]) for _ in range(r.randint(1, 25))) for _ in range(150)]
+    docs = documents(spark, [*texts, texts[-1]])
+    out = pii.detect(docs).select("doc_id", "spans", "extra").collect()
+    assert len(out) == len(texts) + 1
+    for row in out:
+        want = base_spans(texts[min(row.doc_id, len(texts) - 1)])
+        assert [(s.kind, s.start, s.end) for s in row.spans if s.base] == want
+        assert [(pii.KINDS.index(s.kind), s.start) for s in row.spans] == sorted((pii.KINDS.index(s.kind), s.start) for s in row.spans)
+    assert pii.detect(empty(spark)).count() == 0
+
+
+def test_pii_redaction(spark):
+    docs = documents(spark, ["mail a@b.co now", "ip 1.2.3.4@x.yz", "", None, "clean"])
+    got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert got == {0: "mail [EMAIL] now", 1: "ip [EMAIL]", 2: "", 3: None, 4: "clean"}
+
+
+def test_pii_weak_labels():
+    after = pii.reliabilities([("card", (1, 1, 1, 1, 1), 3, 50), ("card", (0, -1, -1, -1, -1), 3, 50), ("card", (0, 1, 1, 0, 1), 3, 10)])
+    assert after["card", (1, 1, 1, 1, 1), 3] > 0.9 > 0.1 > after["card", (0, -1, -1, -1, -1), 3]
+
+
+# 2 licenses
+
+
+def test_license_scan(spark):
+    r = random.Random(1)
+    apache = licenses.TEMPLATES["apache-notice"]
+    grant = licenses.TEMPLATES["mit-grant"]
+    changed = grant.replace("charge", "cost")
+    texts = [f"{prose(r, 40)} {apache} {prose(r, 10)} {apache.upper()}", f"{prose(r, 9)}\n{changed}", prose(r, 3000), None, "", "released under the", apache]
+    got = {(x.doc_id, x.template, x.first_word, round(x.containment, 2)) for x in licenses.scan(documents(spark, texts)).collect()}
+    assert {(0, "apache-notice", 40, 1.0), (0, "apache-notice", 57, 1.0), (6, "apache-notice", 0, 1.0)} <= got
+    assert {x[:3] for x in got if x[0] == 1} == {(1, "mit-grant", 9)}
+    assert {x[0] for x in got} == {0, 1, 6} and licenses.scan(empty(spark)).count() == 0
+
+
+# 3 mixing
+
+
+def test_raking_meets_the_margins(spark):
+    r = random.Random(5)
+    docs = spark.createDataFrame([(i, prose(r, r.randint(0, 40)), r.choice(["en", "de", None]), "hot" if i % 3 else f"s{i % 7}", 0, "e") for i in range(3000)] + [(None, None, None, None, None, None)], DOCS)
+    out = mixing.weighted(docs, budget=0.4).cache()
+    assert out.count() == 3001
+    marks = mixing.measured(docs)
+    cells = marks.groupBy(*mixing.MARGINS).agg(F.sum("tokens").alias("tokens"))
+    total = marks.agg(F.sum("tokens")).first()[0]
+    for m in mixing.MARGINS:
+        have = {x[m]: x.t / total for x in out.groupBy(m).agg(F.sum(F.col("weight") * F.col("tokens")).alias("t")).collect() if x.t}
+        want = {x["value"]: x.share for x in mixing.flattened(cells, m, 0.5).collect()}
+        assert have.keys() == want.keys() and all(abs(have[k] - want[k]) < 1e-6 for k in want)
+    expected = out.agg(F.sum(F.col("probability") * F.col("tokens"))).first()[0]
+    assert abs(expected - 0.4 * total) < 1e-6 * total and out.agg(F.max("probability")).first()[0] <= 1
+    drawn = out.where("sampled").agg(F.sum("tokens")).first()[0]
+    assert abs(drawn / total - 0.4) < 0.05
+    assert mixing.weighted(empty(spark)).count() == 0
+
+
+def test_raking_by_joins_equals_the_driver(spark, monkeypatch):
+    cells = spark.createDataFrame([("a", "x", "p", 5), ("a", "y", "p", 7), ("b", "x", "q", 3), ("b", "y", "p", 2)], "source string, language string, topic string, tokens long")
+    targets = {m: mixing.flattened(cells, m, 0.5) for m in mixing.MARGINS}
+    here = {x[:3]: x.weight for x in mixing.rake(cells, targets, rounds=4).collect()}
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
+    there = {x[:3]: x.weight for x in mixing.rake(cells, targets, rounds=4).collect()}
+    assert here.keys() == there.keys() and all(abs(here[k] - there[k]) < 1e-9 for k in here)
+
+
+# 4 language
+
+
+def test_language(spark):
+    r = random.Random(2)
+    alphabet = {"aa": "abcde ", "bb": "defgh ", "cc": "ñöüst "}
+    langs = [r.choice(list(alphabet)) for _ in range(300)]
+    texts = ["".join(r.choice(alphabet[x]) for _ in range(r.randint(30, 200))) for x in langs]
+    docs = documents(spark, [*texts, None, "", "123 !", texts[0] * 3000], [*langs, "aa", None, "bb", langs[0]])
+    model = langid.fit(docs.where("doc_id % 5 <> 0 or doc_id is null"))
+    got = {x.doc_id: x for x in langid.predict(docs, model).collect()}
+    held = [i for i in range(300) if i % 5 == 0]
+    assert np.mean([got[i].lang_pred == langs[i] for i in held]) > 0.97
+    assert [got[300 + k].lang_pred for k in range(4)] == ["und", "und", "und", langs[0]] and all(0 <= x.score <= 1 for x in got.values())
+    assert langid.predict(docs.limit(3), langid.fit(empty(spark))).first().lang_pred == "und"
+
+
+# 5 top-k
+
+
+def test_topk_equals_brute_force(spark):
+    r = np.random.default_rng(4)
+    x = [r.normal(0, 0.3, 16).astype(float).tolist() for _ in range(400)]
+    for i in range(0, 400, 3):
+        x[i] = x[0]
+    rows = [(i, v, "e") for i, v in enumerate(x)] + [(1000, None, "e"), (1050, [float("nan")] * 16, "e"), (1051, [None] * 16, "e"), (1100, [], "e"), (None, x[1], "e")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, extra string")
+    table = topk.build_file(df)
+    got = {}
+    for t in topk.search(table, table.where("vec_id % 50 = 0"), 5).collect():
+        got.setdefault(t.query_id, []).append((t["rank"], t.vec_id, t.score))
+    v = np.floor(256 * np.array(x)).astype(np.int64)
+    want = {q: [(k + 1, d, -s) for k, (s, d) in enumerate(sorted((-int(v[q] @ v[d]), d) for d in range(400) if d != q)[:5])] for q in range(0, 400, 50)}
+    assert {q: sorted(t) for q, t in got.items()} == want
+    small = topk.build_file(df.where("vec_id < 3"))
+    assert topk.search(small, small.where("vec_id = 0"), 5).count() == 2
+    none = topk.build_file(df.limit(0))
+    assert topk.search(none, none, 5).count() == 0
+
+
+# 6 simhash
+
+
+def brute_fingerprint(text):
+    words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(spark):
+    r = random.Random(7)
+    texts = [None, "", " \t\n", "One", "one  TWO", "É é A", "x y z x y z x y z"]
+    for _ in range(30):
+        t = prose(r, r.randint(40, 300)).split()
+        texts.append(" ".join(t))
+        for _ in range(4):
+            u = list(t)
+            u[r.randrange(len(u))] = "changed"
+            texts.append(" ".join(u))
+    docs = documents(spark, texts)
+    got = {x.doc_id: x for x in simhash.near_duplicates(docs).collect()}
+    fp = [brute_fingerprint(t) for t in texts]
+    assert {i: x.fingerprint for i, x in got.items()} == {i: f"{f:016x}" for i, f in enumerate(fp)}
+    root = list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if (fp[i] ^ fp[j]).bit_count() <= 2:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    assert {i: x.component_id for i, x in got.items()} == {i: find(i) for i in range(len(texts))}
+    kept = {x.doc_id for x in simhash.keep_first(docs).collect()}
+    assert kept == {find(i) for i in range(len(texts))}
+    assert simhash.near_duplicates(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [0, 3, 64])
+def test_links_lose_nothing_in_large_buckets(spark, bucket):
+    r = random.Random(bucket)
+    values = {r.getrandbits(64) for _ in range(5)}
+    for v in list(values):
+        for _ in range(40):
+            values.add(v ^ (1 << r.randrange(64)) ^ (r.randrange(2) << r.randrange(64)) ^ (r.randrange(2) << r.randrange(64)))
+    signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    edges = simhash.link_fingerprints(spark.createDataFrame([(v,) for v in signed], "fp long"), bucket=bucket)
+    got = {x.node: x.component for x in graph.connected_components(edges).collect()}
+    root = {v: v for v in signed}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b in itertools.combinations(signed, 2):
+        if ((a ^ b) & (2**64 - 1)).bit_count() <= 2:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    sizes = {v: [find(u) for u in signed].count(find(v)) for v in signed}
+    assert got == {v: find(v) for v in signed if sizes[v] > 1}
+
+
+# 7 quality
+
+
+def test_quality(spark):
+    r = random.Random(9)
+    good = lambda: f"{prose(r, r.randint(20, 400)).capitalize()}."
+    bad = lambda: r.choice([lambda: " ".join(["same"] * r.randint(20, 300)), lambda: prose(r, r.randint(20, 300)).upper().replace(" ", "!! "), lambda: prose(r, 100).replace(" ", " ### ")])()
+    truth = [int(r.random() < 0.8) for _ in range(500)]
+    texts = [good() if q else bad() for q in truth]
+    docs = documents(spark, [*texts, None, "", "x" * 200_000])
+    labels = spark.createDataFrame([(i, q, 0) for i, q in enumerate(truth) if zlib.crc32(str(i).encode()) % 3 != 1] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    out = {x.doc_id: x for x in quality.score(docs, quality.fit(docs, labels)).collect()}
+    held = [i for i in range(500) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert len(out) == 503 and np.mean([(out[i].score >= 0.5) == truth[i] for i in held]) > 0.95
+    assert all(0 <= x.score <= 1 for x in out.values()) and out[0].extra == "e"
+    assert quality.score(empty(spark), quality.fit(docs, labels.limit(0))).count() == 0
+
+
+def test_attention_slopes():
+    r = np.random.default_rng(0)
+    m = quality.AttentionModel(hidden=4)
+    x, first, y = r.normal(size=(9, quality.N)), np.array([0, 2, 3, 9]), np.array([1.0, 0, 1])
+    loss = lambda: -(y * np.log(m.forward(x, first)["y"]) + (1 - y) * np.log(1 - m.forward(x, first)["y"])).sum()
+    d = m.slopes(m.forward(x, first), y, np.ones(3))
+    for k, w in m.p.items():
+        i = tuple(0 for _ in w.shape)
+        old = w[i]
+        w[i] = old + 1e-5
+        up = loss()
+        w[i] = old - 1e-5
+        assert abs((up - loss()) / 2e-5 - d[k][i]) < 1e-5
+        w[i] = old
+
+
+# 8 toxicity
+
+
+def test_toxicity(spark):
+    r = random.Random(11)
+    rude = ["foo", "bar", "baz"]
+    truth = [int(r.random() < 0.2) for _ in range(800)]
+    texts = []
+    for t in truth:
+        w = prose(r, r.randint(20, 400), 2000).split()
+        for _ in range(t * r.randint(1, 4)):
+            w.insert(r.randrange(len(w)), r.choice(rude).capitalize() + ",")
+        texts.append(" ".join(w))
+    docs = documents(spark, [*texts, None, ""])
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(truth) if i % 2] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    out = {x.doc_id: x for x in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    held = range(0, 800, 2)
+    assert np.mean([out[i].toxic == truth[i] for i in held]) > 0.98 and out[800].toxic == out[801].toxic == 0
+    few, many = ([out[i].severity for i in held if truth[i] and sum(w.lower() in {"foo,", "bar,", "baz,"} for w in set(texts[i].split())) == k] for k in (1, 3))
+    assert np.mean(many) > np.mean(few)
+    assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).where("toxic = 1").count() == 0
+
+
+# 9 substrings
+
+
+def brute_repeats(texts, k):
+    seen, out = set(), []
+    for t in texts:
+        w = re.findall("[^\x20\x09-\x0d]+", t or "")
+        gone = set()
+        for i in range(len(w) - k + 1):
+            g = tuple(w[i : i + k])
+            if g in seen:
+                gone.update(range(i, i + k))
+            seen.add(g)
+        out.append((len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return out
+
+
+@pytest.mark.parametrize("width", [64, 1 << 20])
+def test_substrings_equal_brute_force(spark, width, monkeypatch):
+    monkeypatch.setattr(substrings, "_width", lambda size: max(width, 1 << substrings.SHARD_BITS - 1))
+    monkeypatch.setattr(substrings, "FLUSH", 500)
+    r = random.Random(width)
+    shared = [prose(r, 50) for _ in range(4)]
+    texts = [None, "", "short text", "again " * 100, "a b " * 60]
+    for _ in range(80):
+        parts = [prose(r, r.randint(0, 60)), r.choice(shared), prose(r, r.randint(0, 30))]
+        texts.append("\n".join(parts))
+    texts += [texts[10], texts[10], texts[10] + " tail"]
+    docs = documents(spark, texts).repartition(5)
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept) for x in substrings.remove_repeats(docs).collect()}
+    assert got == dict(enumerate(brute_repeats(texts, 20)))
+    odd = spark.createDataFrame([(None, "a b " * 60), (1, "c " * 30), (1, "c " * 30)], "doc_id long, text string")
+    assert sorted((x.n_words, x.n_removed) for x in substrings.remove_repeats(odd).collect()) == [(30, 29), (30, 29), (120, 0)]
+    assert substrings.remove_repeats(empty(spark)).count() == 0
+
+
+# 10 benchmark
+
+
+def test_decontamination(spark):
+    r = random.Random(13)
+    items = [" ".join(f"b{r.randrange(5000)}" for _ in range(n)) for n in (15, 40, 200, 5)]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(9, None), (10, "")], "item_id long, text string")
+    changed = items[1].split()
+    for i in range(4, 40, 9):
+        changed[i] = "other"
+    texts = [f"{prose(r, 50)} {items[0].upper()}, {prose(r, 20)}", " ".join(changed), f"x {items[2]}", prose(r, 5000), None, "", items[3], " ".join(items[1].split()[:8]) + " " + prose(r, 30), items[0]]
+    got = {(x.doc_id, x.item_id): x for x in decontam.overlaps(documents(spark, texts), bench).collect()}
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (8, 0)}
+    assert got[1, 1].matched == 36 and got[0, 0].similarity == 1.0
+    left = {x.doc_id for x in decontam.decontaminate(documents(spark, texts), bench).collect()}
+    assert left == {3, 4, 5, 6, 7}
+    assert decontam.overlaps(empty(spark), bench).count() == 0 and decontam.overlaps(documents(spark, texts), bench.limit(0)).count() == 0
+
+
+def test_decontamination_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", 0)
+    bench = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(20)))], "item_id long, text string")
+    docs = documents(spark, ["x " + " ".join(f"b{i}" for i in range(20)), "y"])
+    assert [x.doc_id for x in decontam.overlaps(docs, bench).collect()] == [0]
+
+
+# pipeline
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(17)
+    texts = [prose(r, 200).capitalize() + "." for _ in range(120)] + [" ".join(["bad"] * 80) for _ in range(30)]
+    texts += [texts[0], texts[1] + " mail a@b.co", None]
+    item = " ".join(f"b{i}" for i in range(30))
+    texts[5] += " " + item
+    documents(spark, texts).drop("extra").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i < 120), 0) for i in range(150)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    where, docs = str(tmp_path), spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, where)
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if k < 4:
+            assert docs.columns == columns
+        ids = {x.doc_id for x in docs.collect()}
+        if name == "quality_filter":
+            assert not ids & set(range(120, 150)) and len(ids & set(range(120))) >= 115
+        if name == "near_dedup":
+            assert 150 not in ids and 0 in ids
+        if name == "decontamination":
+            assert 5 not in ids
+        if name == "pii_redaction" and 151 in ids:
+            assert "[EMAIL]" in docs.where("doc_id = 151").first().text
+    assert {x.doc_id for x in corpus_pipeline.run(spark, where).collect()} == ids
