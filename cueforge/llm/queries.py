@@ -41,8 +41,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five rows of the highest inner product for every fiftieth vector."""
-    table = topk.build_file(_table(spark, sf_dir, "embeddings"))
-    return topk.search(table, table.where("vec_id % 50 = 0"), 5)
+    file = topk.build_file(_table(spark, sf_dir, "embeddings"))
+    return topk.search(file, file.table.where("vec_id % 50 = 0"), 5)
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,10 +93,11 @@ ORACLES = {
     "op9_substring_dedup": r"""
         with d as (
             select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
-        s as (select doc_id, w, unnest(range(1, len(w) - 18)) as k0 from d where len(w) >= 20),
-        g as (select doc_id, k0, row_number() over (partition by array_to_string(w[k0:k0 + 19], ' ') order by doc_id, k0) as k from s),
-        c as (select distinct doc_id, unnest(range(k0, k0 + 20)) as p from g where k > 1),
         a as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as p from d),
+        s as (select doc_id, p, string_agg(word, ' ') over v as words, count(*) over v as n from a
+              window v as (partition by doc_id order by p rows between current row and 19 following)),
+        g as (select doc_id, p, row_number() over (partition by md5_number(words) order by doc_id, p) as k from s where n = 20),
+        c as (select distinct doc_id, unnest(range(p, p + 20)) as p from g where k > 1),
         m as (select a.doc_id, a.word, a.p, c.p is null as kept from a left join c on a.doc_id = c.doc_id and a.p = c.p),
         n as (select doc_id, count(*) as n_words, count(*) filter (where not kept) as n_removed,
                      string_agg(word, ' ' order by p) filter (where kept) as kept from m group by doc_id)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,16 @@ def _vectors(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return x.select("vec_id", F.expr("transform(x, c -> cast(floor(256 * c) as bigint))").alias("v"))
 
 
-def build_file(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """Table (vec_id, n, cells, v) in the shared folder: each exact vector beside its cell numbers.
+@dataclass
+class VectorFile:
+    """Table (vec_id, cells, v) and, by length of a vector, each dimension's lowest value and cell width."""
+
+    table: DataFrame
+    ranges: dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def build_file(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> VectorFile:
+    """Each exact vector beside its cell numbers, as a table in the shared folder.
 
     A dimension's range over the whole table is cut into 2^CELL_BITS equal cells (one aggregate
     over the table, as many rows as dimensions).
@@ -47,9 +56,7 @@ def build_file(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
                 out.append(((np.array(v, np.int64) - low) // step).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary()), batch.column("v")], names=["vec_id", "cells", "v"])
 
-    table = materialize(v.mapInArrow(cells, "vec_id long, cells binary, v array<bigint>"), "va-file")
-    table._ranges = ranges
-    return table
+    return VectorFile(materialize(v.mapInArrow(cells, "vec_id long, cells binary, v array<bigint>"), "va-file"), ranges)
 
 
 def _best(q: np.ndarray, own: np.ndarray, ids: np.ndarray, cells: np.ndarray, exact: np.ndarray, low: np.ndarray, step: np.ndarray, held: list, k: int) -> None:
@@ -79,15 +86,16 @@ def _best(q: np.ndarray, own: np.ndarray, ids: np.ndarray, cells: np.ndarray, ex
         held[i] = have
 
 
-def search(table: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def search(file: VectorFile, queries: DataFrame, k: int = 5) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each query the ``k`` rows of the highest inner product.
 
-    ``queries`` has vec_id and v as in ``table``; a row with the query's own id is no candidate. Ties go
+    ``queries`` has vec_id and v as in the file's table; a row with the query's own id is no candidate. Ties go
     to the smaller vec_id; with fewer candidates all are returned. Queries meet the table in
     blocks of ``QUERY_BLOCK``; each task returns its best k for a query, and these meet once more.
     Vectors of another length than the query's are no candidates.
     """
-    spark, ranges = table.sparkSession, table._ranges
+    table, ranges = file.table, file.ranges
+    spark = table.sparkSession
     numbered = queries.select("vec_id", "v")
     n = numbered.count()
     blocks = max(1, -(-n // QUERY_BLOCK))

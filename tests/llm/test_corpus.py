@@ -176,17 +176,17 @@ def test_topk_equals_brute_force(spark):
         x[i] = x[0]
     rows = [(i, v, "e") for i, v in enumerate(x)] + [(1000, None, "e"), (1050, [float("nan")] * 16, "e"), (1051, [None] * 16, "e"), (1100, [], "e"), (None, x[1], "e")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, extra string")
-    table = topk.build_file(df)
+    file = topk.build_file(df)
     got = {}
-    for t in topk.search(table, table.where("vec_id % 50 = 0"), 5).collect():
+    for t in topk.search(file, file.table.where("vec_id % 50 = 0"), 5).collect():
         got.setdefault(t.query_id, []).append((t["rank"], t.vec_id, t.score))
     v = np.floor(256 * np.array(x)).astype(np.int64)
     want = {q: [(k + 1, d, -s) for k, (s, d) in enumerate(sorted((-int(v[q] @ v[d]), d) for d in range(400) if d != q)[:5])] for q in range(0, 400, 50)}
     assert {q: sorted(t) for q, t in got.items()} == want
     small = topk.build_file(df.where("vec_id < 3"))
-    assert topk.search(small, small.where("vec_id = 0"), 5).count() == 2
+    assert topk.search(small, small.table.where("vec_id = 0"), 5).count() == 2
     none = topk.build_file(df.limit(0))
-    assert topk.search(none, none, 5).count() == 0
+    assert topk.search(none, none.table, 5).count() == 0
 
 
 # 6 simhash
