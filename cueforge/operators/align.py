@@ -31,22 +31,21 @@ def align_tracks(source: DataFrame, other: DataFrame, track: str = "track_id", o
     a = source.select(track, order, F.col("begin_ms").alias("b"), F.col("end_ms").alias("e"))
     o = other.select(track, F.col(order).alias("o_pos"), F.col("begin_ms").alias("ob"), F.greatest("end_ms", "begin_ms").alias("o_last"), F.col("end_ms").alias("oe"), F.col("text").alias("match"))
 
-    def bins(low: str, high: str, size: int):
-        return F.sequence(F.floor(F.col(low) / size), F.floor(F.greatest(high, low) / size))
-
-    def long(low: str, high: str, size: int):
-        return F.floor(F.greatest(high, low) / size) - F.floor(F.col(low) / size) >= wide
-
+    def laid(low: str, high: str, kind: int, size: int):
+        span = F.sequence(F.floor(F.col(low) / size), F.floor(F.greatest(high, low) / size))
+        return F.transform(span, lambda b: F.struct(F.lit(kind).alias("kind"), b.alias("bin")))
+
+    def long(low: str, high: str):
+        return F.floor(F.greatest(high, low) / bin_ms) - F.floor(F.col(low) / bin_ms) >= wide
+
+    # Kinds of bin: 0 fine, of short cues of both sides; 1 coarse, of long source cues and all others;
+    # 2 coarse, of short source cues and long others. Each pair can meet in one kind only.
+    coarse = bin_ms * wide
+    x = a.withColumn("_bin", F.explode(F.when(long("b", "e"), laid("b", "e", 1, coarse)).otherwise(F.concat(laid("b", "e", 0, bin_ms), laid("b", "e", 2, coarse)))))
+    y = o.withColumn("_bin", F.explode(F.concat(F.when(long("ob", "o_last"), laid("ob", "o_last", 2, coarse)).otherwise(laid("ob", "o_last", 0, bin_ms)), laid("ob", "o_last", 1, coarse))))
     inside = (F.col("ob") >= F.col("b")) & (F.col("ob") <= F.col("e"))
     meets = inside | ((F.col("oe") >= F.col("b")) & (F.col("ob") <= F.col("e")))
     best = F.struct((~inside).alias("outside"), "ob", "o_pos", "match")
-    # Four cases by length; a long cue is laid in coarse bins, and so is what it may meet.
-    fine, coarse = bin_ms, bin_ms * wide
-    met = None
-    for size, left, right in ((fine, ~long("b", "e", fine), ~long("ob", "o_last", fine)), (coarse, long("b", "e", fine), F.lit(True)), (coarse, ~long("b", "e", fine), long("ob", "o_last", fine))):
-        x = a.where(left).withColumn("_bin", F.explode(bins("b", "e", size)))
-        y = o.where(right).withColumn("_bin", F.explode(bins("ob", "o_last", size)))
-        part = x.join(y, [track, "_bin"]).where(meets).select(*keys, best.alias("m"))
-        met = part if met is None else met.union(part)
+    met = x.join(y, [track, "_bin"]).where(meets).select(*keys, best.alias("m"))
     found = met.groupBy(*keys).agg(F.min("m").alias("m")).select(*keys, F.col("m.match").alias("match"))
     return source.join(found, keys, "left").withColumn("match", F.coalesce("match", F.lit(default)))
