@@ -21,8 +21,8 @@ LEAST_WIDTH, MOST_WIDTH = 1 << 20, 1 << 28
 SHARD_BITS = 20
 #: Distinct anchors that a task holds before it emits what it has of its sketch.
 FLUSH = 2_000_000
-#: Text bytes for each group of the exact pass.
-GROUP_BYTES = 4 << 20
+#: Text bytes for each group of the exact pass, and for each bucket of documents whose runs are gathered.
+GROUP_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 
 
 class _Windows:
@@ -111,19 +111,20 @@ def sketch(docs: DataFrame, window: int, width: int) -> DataFrame:
     return parts.groupBy("shard").applyInArrow(merge, "shard int, twice binary")
 
 
-def _runs(at: np.ndarray, window: int) -> bytes:
-    """Sorted window starts as (first word, word after the last) of each run of covered words."""
-    cut = np.flatnonzero(np.diff(at) > window) + 1
-    first, last = at[np.concatenate(([0], cut))], at[np.concatenate((cut - 1, [len(at) - 1]))]
-    return np.stack((first, last + window), axis=1).astype("<i4").tobytes()
-
-
-def _by_document(doc: np.ndarray, at: np.ndarray, window: int) -> tuple[list[int], list[bytes]]:
+def _spread(doc: np.ndarray, at: np.ndarray, window: int, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """Windows as (bucket, documents, first and last starts of runs whose windows touch), packed by bucket of documents."""
     order = np.lexsort((at, doc))
     doc, at = doc[order], at[order]
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)])) if len(doc) else np.zeros(1, int)
-    pairs = list(itertools.pairwise(cuts.tolist()))
-    return [int(doc[a]) for a, _ in pairs], [_runs(at[a:b], window) for a, b in pairs]
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (np.diff(at) > window)))[: len(doc)]
+    first = np.flatnonzero(new)
+    last = np.concatenate((first[1:] - 1, [len(doc) - 1]))[: len(first)]
+    doc, at = doc[first], np.stack((at[first], at[last]), axis=1).astype("<i4")
+    bucket = doc % buckets
+    order = np.argsort(bucket, kind="stable")
+    bucket, doc, at = bucket[order], doc[order].astype("<i8"), at[order]
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else np.zeros(1, int)
+    for a, b in itertools.pairwise(cuts.tolist()):
+        yield int(bucket[a]), doc[a:b].tobytes(), at[a:b].tobytes()
 
 
 def _later(doc: np.ndarray, at: np.ndarray, same: np.ndarray) -> np.ndarray:
@@ -133,7 +134,7 @@ def _later(doc: np.ndarray, at: np.ndarray, same: np.ndarray) -> np.ndarray:
 
 
 def repeated_runs(docs: DataFrame, window: int = 20) -> DataFrame:
-    """Rows (doc_id, runs): word ranges covered by windows that also start earlier; several rows a document.
+    """Rows (doc_id, runs): word ranges covered by windows that also start earlier, for documents that have any.
 
     First pass: the sketch (see ``sketch``). Second pass: windows estimated to repeat; in each slice of
     documents all but the first of equal windows are decided there, so a passage that a third of
@@ -143,17 +144,17 @@ def repeated_runs(docs: DataFrame, window: int = 20) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     spark = docs.sparkSession
     size = text_bytes(docs)
-    width, groups = _width(size), max(12, size // GROUP_BYTES)
+    width, groups, buckets = _width(size), max(12, size // GROUP_BYTES), max(12, size // BUCKET_BYTES)
     bits = np.zeros(2 * width // 8, np.uint8)
     step = (1 << SHARD_BITS) // 8
     for row in sketch(docs, window, width).toLocalIterator():
         bits[row.shard * step : (row.shard + 1) * step] = np.frombuffer(row.twice, np.uint8)
     twice = spark.sparkContext.broadcast(bits)
-    schema = "part int, doc_id long, runs binary, words binary, more binary, docs binary, at binary"
-    types = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+    names = ["part", "bucket", "words", "more", "docs", "at"]
+    types = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
 
-    def rows(columns: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["part", "doc_id", "runs", "words", "more", "docs", "at"])
+    def rows(columns: list[list], names: list[str] = names, types: list[pa.DataType] = types) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=names)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = twice.value
@@ -175,10 +176,8 @@ def repeated_runs(docs: DataFrame, window: int = 20) -> DataFrame:
                 at = (i - x.start[x.doc[i]]).astype(np.int64)
                 same = np.concatenate(([False], (words[1:] == words[:-1]) & (more[1:] == more[:-1])))
                 later = _later(doc, at, same)
-                ids, runs = _by_document(doc[later], at[later], window)
-                if ids:
-                    none = [None] * len(ids)
-                    yield rows([[d % groups for d in ids], ids, runs, none, none, none, none])
+                for bucket, docs_, at_ in _spread(doc[later], at[later], window, buckets):
+                    yield rows([[bucket % groups], [bucket], [None], [None], [docs_], [at_]])
                 i, words, more, doc, at = (y[~same] for y in (i, words, more, doc, at))
                 to = (words % np.uint64(groups)).astype(np.int64)
                 order = np.lexsort((i, to))
@@ -186,27 +185,40 @@ def repeated_runs(docs: DataFrame, window: int = 20) -> DataFrame:
                 cuts = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)]))
                 out = [(int(to[a]), words[a:b].astype("<u8").tobytes(), more[a:b].tobytes(), doc[a:b].astype("<i8").tobytes(), at[a:b].astype("<i4").tobytes()) for a, b in itertools.pairwise(cuts.tolist())]
                 p, w, m, d, a = (list(y) for y in zip(*out, strict=True))
-                none = [None] * len(p)
-                yield rows([p, none, none, w, m, d, a])
+                yield rows([p, [None] * len(p), w, m, d, a])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {k: [] for k in ("words", "more", "docs", "at")}
         for batch in batches:
-            told = batch.filter(pc.is_valid(batch.column("doc_id")))
-            if told.num_rows:
-                yield told.select(["doc_id", "runs"])
+            told = pc.is_valid(batch.column("bucket"))
+            known = batch.filter(told)
+            if known.num_rows:
+                yield known.select(["bucket", "docs", "at"])
+            batch = batch.filter(pc.invert(told))
             for k, v in held.items():
-                v += batch.column(k).drop_null().to_pylist()
+                v += batch.column(k).to_pylist()
         words, more, doc, at = (np.frombuffer(b"".join(held[k]), t) for k, t in (("words", "<u8"), ("more", "<u4"), ("docs", "<i8"), ("at", "<i4")))
         order = np.lexsort((at, doc, more, words))
         words, more, doc, at = words[order], more[order], doc[order], at[order].astype(np.int64)
         same = np.concatenate(([False], (words[1:] == words[:-1]) & (more[1:] == more[:-1])))[: len(words)]
         later = _later(doc, at, same)
-        ids, runs = _by_document(doc[later], at[later], window)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(runs, pa.binary())], names=["doc_id", "runs"])
+        out = list(zip(*_spread(doc[later], at[later], window, buckets), strict=True)) or [(), (), ()]
+        yield rows(out, names[1:2] + names[4:], types[1:2] + types[4:])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list[bytes], list[bytes]] = ([], [])
+        for batch in batches:
+            for v, k in zip(held, ("docs", "at"), strict=True):
+                v += batch.column(k).to_pylist()
+        doc, at = np.frombuffer(b"".join(held[0]), "<i8"), np.frombuffer(b"".join(held[1]), "<i4").reshape(-1, 2)
+        order = np.argsort(doc, kind="stable")
+        doc, at = doc[order], at[order] + np.array([0, window], "<i4")
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)])).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array([int(doc[a]) for a in cuts[:-1]], pa.int64()), pa.array([at[a:b].tobytes() for a, b in itertools.pairwise(cuts)], pa.binary())], names=["doc_id", "runs"])
 
-    met = docs.mapInArrow(candidates, schema)
-    return met.groupBy("part").applyInArrow(exact, "doc_id long, runs binary")
+    met = docs.mapInArrow(candidates, "part int, bucket int, words binary, more binary, docs binary, at binary")
+    later = met.groupBy("part").applyInArrow(exact, "bucket int, docs binary, at binary")
+    return later.groupBy("bucket").applyInArrow(gather, "doc_id long, runs binary")
 
 
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -216,7 +228,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     doc_id, or the same document and an earlier start). Null and empty texts have no words; a
     document shorter than a window, or with a null doc_id, stays whole.
     """
-    gone = repeated_runs(docs, window).groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
+    gone = repeated_runs(docs, window)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +241,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                     if runs:
                         keep = np.ones(n + 1, bool)
                         step = np.zeros(n + 1, np.int64)
-                        ends = np.frombuffer(b"".join(runs), "<i4").reshape(-1, 2)
+                        ends = np.frombuffer(runs, "<i4").reshape(-1, 2)
                         np.add.at(step, ends[:, 0], 1)
                         np.add.at(step, ends[:, 1], -1)
                         keep = (np.cumsum(step) == 0)[:n]
