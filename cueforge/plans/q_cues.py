@@ -261,7 +261,7 @@ def f1(s, d):
     wl as (select word, cast(row_number() over (order by min(item_id), word) - 1 as integer) as word_index from bw where word <> '' group by word),
     h as (select line_no, w[1] as word, case when 1 = 1 then w[2] end as pinyin from gl union all select line_no, w[4], case when w[1] = w[4] then w[2] else w[5] end from gl),
     r as (select h.line_no, word_index, h.word, pinyin, row_number() over (partition by line_no order by word_index) as k from h join wl on h.word = wl.word)
-    select line_no, word_index, word, pinyin, 1000 as begin_ms, 3501 as end_ms, 2250 as mid_ms, 'pt' as translation from r where k = 1""")
+    select line_no, word_index, word, pinyin, 1000::bigint as begin_ms, 3501::bigint as end_ms, 2250::bigint as mid_ms, 'pt' as translation from r where k = 1""")
 def e4(s, d):
     clean = F.trim(F.regexp_replace(F.translate("text", '"()[]:,\\|{}', ""), r"\s+", " "))
     words = table(s, d, "benchmark").select("item_id", F.explode(F.split(clean, " ")).alias("word")).where("word <> ''").groupBy("word").agg(F.min("item_id").alias("_i"))

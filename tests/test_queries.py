@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from cueforge.plans.suite import ORACLES, QUERIES
@@ -13,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables her
 
 def rows(df):
     df = df[sorted(df.columns)]
-    plain = lambda v: None if v is None or v != v else int(v) if isinstance(v, float) and v == int(v) else v
+    plain = lambda v: None if pd.isna(v) else int(v) if isinstance(v, float) and v == int(v) else v
     return list(df.columns), sorted(repr(tuple(map(plain, r))) for r in df.astype(object).itertuples(index=False))
 
 
