@@ -214,7 +214,7 @@ def detect(docs: DataFrame, text: str = "text", model: SpanModel | None = None)
     stays if the classifier gives it over one half and it overlaps no span before it. Null and
     empty texts have no spans. Rows are independent: repeated rows give repeated results.
     """
-    model = fit(docs, text) if model is None else model
+    model = fit(docs.select(text), text) if model is None else model
     scored = f"transform(_spans, x -> named_struct('rank', array_position(array({_list(' '.join(KINDS))}), x.kind), 'start', x.start, 'end', x.end, 'kind', x.kind, 'base', x.base, 'score', 1 / (1 + exp(-({model.sql('x')})))))"
     kept = f"array_sort(filter({scored}, x -> x.base or x.score > 0.5))"
     out = candidates(docs, text).withColumn("_spans", F.expr(kept))
@@ -230,7 +230,8 @@ def span_list(spans: str) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", model: SpanModel | None = None) -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind in brackets; overlapping spans become one."""
-    found = detect(docs, text, model)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = detect(docs.select(whole, F.col(f"`{text}`").cast("string").alias("text")), "text", model)
     # By start, the longest first, so that a merged span has the kind of its first and longest.
     ordered = "transform(array_sort(transform(spans, x -> named_struct('start', x.start, 'back', -x.end, 'kind', x.kind))), x -> named_struct('start', x.start, 'end', -x.back, 'kind', x.kind))"
     merged = f"""aggregate({ordered}, cast(array() as array<struct<start: bigint, end: bigint, kind: string>>), (a, x) ->
@@ -238,6 +239,7 @@ def redact(docs: DataFrame, text: str = "text", model: SpanModel | None = None)
            concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end), 'kind', element_at(a, -1).kind))),
            array_append(a, x)))"""
     found = found.withColumn("_cut", F.expr(f"if(size(spans) = 0, cast(array() as array<struct<start: bigint, end: bigint, kind: string>>), {merged})"))
-    gap = f"substr(`{text}`, cast(if(i = 0, 0, _cut[i - 1].end) as int) + 1, cast(x.start - if(i = 0, 0, _cut[i - 1].end) as int))"
-    whole = f"concat(array_join(transform(_cut, (x, i) -> concat({gap}, '[', upper(x.kind), ']')), ''), substr(`{text}`, cast(element_at(_cut, -1).end as int) + 1))"
-    return found.withColumn(text, F.expr(f"if(size(_cut) = 0, `{text}`, {whole})")).select(*docs.columns)
+    gap = "substr(text, cast(if(i = 0, 0, _cut[i - 1].end) as int) + 1, cast(x.start - if(i = 0, 0, _cut[i - 1].end) as int))"
+    told = f"concat(array_join(transform(_cut, (x, i) -> concat({gap}, '[', upper(x.kind), ']')), ''), substr(text, cast(element_at(_cut, -1).end as int) + 1))"
+    new = F.expr(f"if(size(_cut) = 0, text, {told})").alias(text)
+    return found.select(*[new if c == text else F.col(f"row.`{c}`") for c in docs.columns])

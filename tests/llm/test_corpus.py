@@ -366,6 +366,27 @@ def test_decontamination_by_shuffle(spark, monkeypatch):
     assert [x.doc_id for x in decontam.overlaps(docs, bench).collect()] == [0]
 
 
+# names
+
+
+def test_clashing_columns(spark):
+    import corpus_pipeline
+
+    names = ("score", "spans", "fp", "component_id", "row", "topic", "weight", "t", "seed", "runs", "language", "_spans")
+    docs = documents(spark, ["mail a@b.co now", "two words", None]).withColumns({c: F.lit(7) for c in names})
+    same = lambda df: [x.asDict() for x in df.orderBy("doc_id").collect()]
+    redacted = same(pii.redact(docs))
+    assert redacted[0]["text"] == "mail [EMAIL] now" and all(x[c] == 7 for x in redacted for c in names)
+    assert same(simhash.keep_first(docs)) == same(docs)
+    assert same(decontam.decontaminate(docs, spark.createDataFrame([(1, "z")], "item_id long, text string"))) == same(docs)
+    scored = quality.score(docs, quality.AttentionModel(), "_quality")
+    assert same(scored.drop("_quality")) == same(docs)
+    mixed = mixing.weighted(docs).select("row.*")
+    assert same(mixed) == same(docs)
+    assert simhash.near_duplicates(docs).count() == substrings.remove_repeats(docs).count() == 3
+    assert {"topic", "mix_topic"} <= set(corpus_pipeline.source_mixing(spark, docs, "").columns)
+
+
 # pipeline
 
 
