@@ -1,4 +1,8 @@
-"""Cleaning base rows and filtering glosses against a lexicon."""
+"""Cleaning base rows and filtering glosses against a lexicon.
+
+Lists are exploded with the outer form: for the inner one the optimizer infers a filter on the list, which
+would compute a derived list twice.
+"""
 
 from __future__ import annotations
 
@@ -39,7 +43,7 @@ def filter_known_words(df: DataFrame, lexicon: DataFrame, keys: list[str], pairs
     """
     known = lexicon.where(F.coalesce(F.col("confidence_level").cast("string").try_cast("int"), F.lit(0)) == known_level).select("word").distinct()
     known = F.broadcast(known) if small_lexicon else known
-    each = df.select(*keys, F.posexplode(pairs).alias("_no", "_pair")).where(trim_all("_pair.word") != "")
+    each = df.select(*keys, F.posexplode_outer(pairs).alias("_no", "_pair")).where(trim_all("_pair.word") != "")
     left = each.withColumn("word", F.col("_pair.word")).join(known, "word", "left_anti")
     kept = left.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_no", "_pair"))), lambda x: x["_pair"]).alias("_kept"))
     out = df.join(kept, keys, "left").where((F.size(pairs) == 0) | F.col("_kept").isNotNull())
@@ -48,7 +52,7 @@ def filter_known_words(df: DataFrame, lexicon: DataFrame, keys: list[str], pairs
 
 def new_lexicon_entries(df: DataFrame, lexicon: DataFrame, order: list[str], pairs: str = "pairs") -> DataFrame:
     """Lexicon rows of words that it lacks, from their first occurrence by ``order``, confidence 1."""
-    each = df.select(*order, F.posexplode(pairs).alias("_no", "_pair")).where(trim_all("_pair.word") != "")
+    each = df.select(*order, F.posexplode_outer(pairs).alias("_no", "_pair")).where(trim_all("_pair.word") != "")
     new = each.select(F.col("_pair.word").alias("word"), F.struct(*order, "_no").alias("_at"), F.struct("_pair.pinyin", "_pair.translation").alias("_v"))
     first = new.groupBy("word").agg(F.min(F.struct("_at", "_v")).alias("f"))
     return first.join(lexicon.select("word").distinct(), "word", "left_anti").select("word", F.col("f._v.pinyin").alias("pinyin"), F.col("f._v.translation").alias("translation"), F.lit(1).alias("confidence_level"))

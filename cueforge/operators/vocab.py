@@ -12,7 +12,7 @@ from cueforge.functions.timecode import secs_to_ms
 
 def word_counts(df: DataFrame, pairs: str = "pairs_raw", top: int | None = None) -> DataFrame:
     """Rows (word, n) by n, then word, both descending."""
-    counted = df.select(F.explode(pair_words(pairs)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("word"))
+    counted = df.select(F.explode_outer(pair_words(pairs)).alias("word")).where("word is not null").groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("word"))
     return counted if top is None else counted.limit(top)
 
 
@@ -31,7 +31,7 @@ def find_words(base: DataFrame, words: DataFrame, track: str = "track_id", line:
     pairs = F.get("parts", F.lit(4))
     heads = F.transform(F.regexp_extract_all(pairs, F.lit('"([^"]+)"'), F.lit(1)), lambda x: F.regexp_extract(x, r"(?U)^\s*(\S+)", 1))
     lines = base.withColumns({"begin_ms": begin, "end_ms": end, "pairs_raw": pairs}).where("begin_ms is not null and end_ms is not null")
-    each = lines.withColumn("word", F.explode(F.array_distinct(heads)))
+    each = lines.withColumn("word", F.explode_outer(F.array_distinct(heads)))
     w = Window.partitionBy(track, line).orderBy("word_index")
     hit = each.join(words.select("word_index", "word"), "word").withColumn("_k", F.row_number().over(w)).where("_k = 1")
     pinyin = lookup_pinyin("word", "pairs_raw")
