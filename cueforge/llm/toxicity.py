@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueforge.llm.common import slices, split_words
+from cueforge.llm.common import materialize, slices, split_words
 
 #: Hashed features of each family: the word, and its first five and four characters.
 FEATURES = 1 << 20
@@ -102,34 +102,49 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 15_000) -> OrdinalModel
 
     A feature is indicative if its share among documents labelled 1 is over e^2 times that among
     the others and it is in at least 0.4 % of the former; only these are weighed. The grade of a document labelled 1
-    is its number of indicative features of one family, 1 to 3. Texts with equal features count once. Null labels and ids take no part; several
+    is its number of indicative features of one family, 1 to 3. The sample is counted by Spark; the driver gets the
+    indicative features and those of each sampled text. Equal texts count once. Null labels and ids take no part; several
     labels of a document count as their greatest. Without labels of both kinds the model has no weights and calls nothing toxic.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     share = min(1.0, bound / max(marks.count(), 1))
     marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000)) < int(share * 1_000_000))
-    drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marks, "doc_id").select("text", "toxic")
+    drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marks, "doc_id").select("text", "toxic").distinct()
+    drawn = materialize(drawn, "toxic-sample")
+    n = {r["toxic"]: r["count"] for r in drawn.groupBy("toxic").count().collect()}
+    n1, n0 = n.pop(1, 0), sum(n.values())
+    if not n1 or not n0:
+        return OrdinalModel()
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 doc, f = _features(part.column("text"))
+                toxic = np.asarray(part.column("toxic")) == 1
+                ids, at = np.unique(f, return_inverse=True)
+                n1 = np.bincount(at, weights=toxic[doc], minlength=len(ids)).astype(np.int64)
+                n0 = np.bincount(at, minlength=len(ids)).astype(np.int64) - n1
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, n1, n0)], names=["f", "n1", "n0"])
+
+    in1, in0 = F.col("n1"), F.col("n0")
+    gain = F.log((in1 + 0.5) / (n1 + 1)) - F.log((in0 + 0.5) / (n0 + 1))
+    found = drawn.mapInArrow(counts, "f long, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    told = np.array(sorted(r["f"] for r in found.where((in1 >= max(3, 0.004 * n1)) & (gain > 2)).select("f").collect()), np.int64)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.zeros(FEATURES * len(PREFIXES), np.uint8)
+        mask[told] = 1
+        for batch in batches:
+            for part in slices(batch):
+                doc, f = _features(part.column("text"), mask)
                 cuts = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 own = [f[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(own, pa.binary())], names=["toxic", "f"])
 
-    got = sorted({(r["f"], r["toxic"]) for r in drawn.mapInArrow(rows, "toxic int, f binary").collect()})
+    got = sorted((r["f"], r["toxic"]) for r in drawn.mapInArrow(rows, "toxic int, f binary").collect())
     toxic = np.array([t for _, t in got], np.int64)
-    if len(set(toxic.tolist())) < 2:
-        return OrdinalModel()
     f = np.frombuffer(b"".join(x for x, _ in got), "<i4").astype(np.int64)
     doc = np.repeat(np.arange(len(got)), [len(x) // 4 for x, _ in got])
-    n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
-    span = FEATURES * len(PREFIXES)
-    in1, in0 = np.bincount(f[toxic[doc] == 1], minlength=span), np.bincount(f[toxic[doc] == 0], minlength=span)
-    told = (np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1)) > 2) & (in1 >= np.maximum(3, 0.004 * n1))
-    use = told[f]
-    doc, f = doc[use], f[use]
     most = np.stack([np.bincount(doc[f // FEATURES == k], minlength=len(got)) for k in range(len(PREFIXES))]).max(axis=0)
     return _train(doc, f, np.where(toxic == 1, np.clip(most, 1, GRADES - 1), 0))
 
