@@ -31,7 +31,8 @@ def _seeds(tokens: str, at: str) -> Column:
 
 
 def _starts(tokens: str) -> Column:
-    return F.expr(f"explode(if(size({tokens}) >= {SPAN}, sequence(0, size({tokens}) - {SPAN}), cast(array() as array<int>)))")
+    # The outer form: for the inner one a filter on the tokens is inferred, which computes them twice.
+    return F.expr(f"explode_outer(if(size({tokens}) >= {SPAN}, sequence(0, size({tokens}) - {SPAN}), cast(array() as array<int>)))")
 
 
 def benchmark_parts(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -58,7 +59,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 16, share: flo
     if bench.count() <= BROADCAST_SEEDS:
         bench = F.broadcast(bench)
     t = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _tokens(F.col("text")).alias("t"))
-    t = t.where(f"size(t) >= {SPAN}").select("doc_id", "t", _starts("t").alias("p"))
+    t = t.select("doc_id", "t", _starts("t").alias("p")).where("p is not null")
     t = t.select("doc_id", "t", "p", F.explode(_seeds("t", "p")).alias("seed"))
     # The aligned tokens travel with a hit: at most PART of them, whatever the document's length.
     hits = t.join(bench, "seed").select("doc_id", "item_id", "part", (F.col("p") - F.col("q")).alias("shift"), F.expr("slice(t, greatest(p - q, 0) + 1, n + least(p - q, 0))").alias("got"))
