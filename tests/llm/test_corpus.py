@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cueforge.llm import common, decontam, graph, langid, licenses, mixing, pii, quality, simhash, substrings, topk, toxicity
+from cueforge.llm import common, decontam, graph, langid, licenses, mixing, neardup, pii, quality, simhash, substrings, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 
@@ -247,6 +247,57 @@ def test_links_lose_nothing_in_large_buckets(spark, bucket):
     assert got == {v: find(v) for v in signed if sizes[v] > 1}
 
 
+# near-duplicates of the pipeline
+
+
+def brute_shingles(text, k=5):
+    w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+@pytest.mark.parametrize("small", [0, 8])
+def test_near_copies_equal_brute_force(spark, small, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", small)
+    r = random.Random(small)
+    texts = [None, "", " \t", "One", "one", "one two three four", "One two  three four five"]
+    line = prose(r, 30)
+    for group in range(12):
+        t = prose(r, r.randint(20, 150)).split()
+        for _ in range(25 if group == 0 else 5):
+            u = list(t)
+            for _ in range(r.randint(0, max(1, len(t) // 30))):
+                u[r.randrange(len(u))] = f"c{r.randrange(9)}"
+            texts.append(" ".join(u))
+        texts.append(f"{line} {prose(r, 6)}")
+    sets = [brute_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    docs = documents(spark, texts)
+    assert {x.doc_id: x.component_id for x in neardup.groups(docs).collect()} == {i: find(i) for i in range(len(texts))}
+    assert neardup.keep_first(empty(spark)).count() == 0
+    ids = docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    assert neardup.keep_first(ids).where("doc_id is null").count() == len(texts) // 2
+
+
+def test_stage_drops_near_copies(spark):
+    import corpus_pipeline
+
+    r = random.Random(3)
+    t = prose(r, 200).split()
+    u = list(t)
+    for i in (20, 60, 100):
+        u[i] = "changed"
+    v = list(t)
+    for i in range(0, 200, 8):
+        v[i] = "changed"
+    docs = documents(spark, [" ".join(x) for x in (t, u, v)])
+    assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {0, 2}
+
+
 # 7 quality
 
 
