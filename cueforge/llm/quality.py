@@ -126,8 +126,8 @@ class AttentionModel:
         return self.forward(x, first)["y"]
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 12_000, per_doc: int = 48) -> AttentionModel:
-    """Train on at most about ``bound`` labelled documents and the first ``per_doc`` passages of each.
+def fit(docs: DataFrame, labels: DataFrame, bound: int = 12_000) -> AttentionModel:
+    """Train on all passages of at most about ``bound`` labelled documents.
 
     The sample is drawn by a hash of doc_id; a document with several labels counts once, with the
     smallest. Null labels and ids take no part. With no label of either kind the model is untrained
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 12_000, per_doc: int =
         for batch in batches:
             for part in slices(batch):
                 x, first = passages(part.column("text"))
-                own = [x[a : min(b, a + per_doc)].astype("<f4").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                own = [x[a:b].astype("<f4").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array(own, pa.binary())], names=["quality", "x"])
 
     model = AttentionModel()

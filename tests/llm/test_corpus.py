@@ -316,6 +316,17 @@ def test_quality(spark):
     assert quality.score(empty(spark), quality.fit(docs, labels.limit(0))).count() == 0
 
 
+def test_quality_learns_from_whole_documents(spark):
+    r = random.Random(21)
+    # The bad part of a long document comes after word 3,072.
+    long = lambda bad: f"{prose(r, 3200)} {'same ' * 900 if bad else prose(r, 900)}"
+    truth = [i % 2 for i in range(60)]
+    docs = documents(spark, [long(not q) for q in truth])
+    labels = spark.createDataFrame([(i, q, 0) for i, q in enumerate(truth) if i < 40], "doc_id long, quality int, toxic int")
+    out = {x.doc_id: x.score for x in quality.score(docs, quality.fit(docs, labels)).collect()}
+    assert all((out[i] >= 0.5) == truth[i] for i in range(40, 60))
+
+
 def test_attention_slopes():
     r = np.random.default_rng(0)
     m = quality.AttentionModel(hidden=4)
