@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from cueforge.llm.common import materialize
 
-#: Fixed masks over token positions; 0 positions are ignored by the hash.
-MASKS = ("1101101101", "1011100111", "1110010111")
-SPAN = max(map(len, MASKS))
+#: Fixed masks over token positions; 0 positions are ignored by the hash. Whichever tokens are substituted, as many as
+#: an overlap allows, one mask shows none of them at some place: MASKS for items of 8 tokens or more, SHORT_MASKS for less.
+MASKS = ("111011", "11001011", "11111")
+SHORT_MASKS = ("1111", "11011")
+#: Tokens of the shortest item that is searched, and of the shortest for which MASKS suffice.
+LEAST, LONG = 6, 8
 #: Benchmark items are compared in parts of so many tokens, half overlapping.
 PART = 64
 #: Seeds up to this count are broadcast (about 40 MB); more are joined by a shuffle.
@@ -24,22 +27,27 @@ def _tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(tokens: str, at: str) -> Column:
-    """One hash for each mask, of the tokens that it shows from place ``at``."""
-    shown = [", ".join(f"{tokens}[{at} + {i}]" for i, c in enumerate(m) if c == "1") for m in MASKS]
-    return F.expr(f"array({', '.join(f'xxhash64({k}, {s})' for k, s in enumerate(shown))})")
+def _seeds(tokens: str, at: str, short: str) -> Column:
+    """One hash for each mask, of the tokens that it shows from place ``at``; null past the end, for the short masks unless ``short``."""
+    seeds = []
+    for k, m in enumerate((*MASKS, *SHORT_MASKS)):
+        shown = ", ".join(f"get({tokens}, {at} + {i})" for i, c in enumerate(m) if c == "1")
+        use = "" if m in MASKS else f" and {short}"
+        if not (use and short == "false"):
+            seeds.append(f"if({at} + {len(m)} <= size({tokens}){use}, xxhash64({k}, {shown}), null)")
+    return F.expr(f"array({', '.join(seeds)})")
 
 
-def _starts(tokens: str) -> Column:
+def _starts(tokens: str, span: int) -> Column:
     # The outer form: for the inner one a filter on the tokens is inferred, which computes them twice.
-    return F.expr(f"explode_outer(if(size({tokens}) >= {SPAN}, sequence(0, size({tokens}) - {SPAN}), cast(array() as array<int>)))")
+    return F.expr(f"explode_outer(if(size({tokens}) >= {span}, sequence(0, size({tokens}) - {span}), cast(array() as array<int>)))")
 
 
 def benchmark_parts(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """Rows (item_id, part, want): each item's tokens in half overlapping parts."""
-    t = benchmark.select(F.col(item_id).cast("long").alias("item_id"), _tokens(F.col(text)).alias("t")).where(f"size(t) >= {SPAN}")
+    t = benchmark.select(F.col(item_id).cast("long").alias("item_id"), _tokens(F.col(text)).alias("t")).where(f"size(t) >= {LEAST}")
     cut = t.select("item_id", "t", F.expr(f"explode(sequence(0, greatest(size(t) - {PART // 2} - 1, 0) div {PART // 2}))").alias("part"))
-    return cut.select("item_id", "part", F.expr(f"slice(t, part * {PART // 2} + 1, {PART})").alias("want")).where(f"size(want) >= {SPAN}").distinct()
+    return cut.select("item_id", "part", F.expr(f"slice(t, part * {PART // 2} + 1, {PART})").alias("want")).where(f"size(want) >= {LEAST}").distinct()
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 16, share: float = 0.8) -> DataFrame:
@@ -48,19 +56,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 16, share: flo
     A document holds an item if, along one alignment of the two, some ``window`` consecutive tokens
     of the item (all, if it has fewer) agree in at least ``share`` of the places; the best alignment
     is told: matched is the number of equal tokens of compared ones over the part. Alignments come
-    from seeds that agree under one of the masks, so up to one token in five may be substituted.
-    Items under 10 tokens are no evidence and are not searched; documents with a null id or fewer
-    tokens have no row. Repeated rows and ties give one row for each document and item.
+    from seeds that agree under one of the masks; with the given window and share no overlap is
+    missed, so up to one token in five may be substituted at any place. Items under 6 tokens are no
+    evidence and are not searched; documents with a null id or fewer than 4 tokens have no row. Repeated rows and ties give one row for each document and item.
     """
     parts = materialize(benchmark_parts(benchmark), "bench-parts")
-    bench = parts.select("item_id", "part", "want", _starts("want").alias("at"))
-    bench = bench.select("item_id", "part", F.col("at").alias("q"), F.size("want").alias("n"), F.explode(_seeds("want", "at")).alias("seed"))
+    bench = parts.select("item_id", "part", "want", _starts("want", min(map(len, SHORT_MASKS))).alias("at"))
+    bench = bench.select("item_id", "part", F.col("at").alias("q"), F.size("want").alias("n"), F.explode(_seeds("want", "at", f"size(want) < {LONG}")).alias("seed")).where("seed is not null")
     bench = materialize(bench, "bench-seeds")
     if bench.count() <= BROADCAST_SEEDS:
         bench = F.broadcast(bench)
     t = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _tokens(F.col("text")).alias("t"))
-    t = t.select("doc_id", "t", _starts("t").alias("p")).where("p is not null")
-    t = t.select("doc_id", "t", "p", F.explode(_seeds("t", "p")).alias("seed"))
+    # The short masks are hashed only for a benchmark that has short items.
+    short = not parts.where(f"size(want) < {LONG}").isEmpty()
+    t = t.select("doc_id", "t", _starts("t", min(map(len, SHORT_MASKS if short else MASKS))).alias("p")).where("p is not null")
+    t = t.select("doc_id", "t", "p", F.explode(_seeds("t", "p", str(short).lower())).alias("seed"))
     # The aligned tokens travel with a hit: at most PART of them, whatever the document's length.
     hits = t.join(bench, "seed").select("doc_id", "item_id", "part", (F.col("p") - F.col("q")).alias("shift"), F.expr("slice(t, greatest(p - q, 0) + 1, n + least(p - q, 0))").alias("got"))
     lines = hits.groupBy("doc_id", "item_id", "part", "shift").agg(F.first("got").alias("got"))

@@ -421,6 +421,24 @@ def test_decontamination(spark):
     assert decontam.overlaps(empty(spark), bench).count() == 0 and decontam.overlaps(documents(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_masks_reach_every_allowed_substitution():
+    for size in range(decontam.LEAST, 17):
+        masks = decontam.MASKS if size >= decontam.LONG else decontam.SHORT_MASKS
+        seen = [{at + i for i, c in enumerate(m) if c == "1"} for m in masks for at in range(size - len(m) + 1)]
+        assert all(any(s.isdisjoint(bad) for s in seen) for bad in itertools.combinations(range(size), size // 5))
+
+
+def test_decontamination_of_altered_and_short_items(spark):
+    item = [f"b{i}" for i in range(10)]
+    texts = []
+    for bad in itertools.combinations(range(10), 2):
+        texts.append(" ".join("other" if i in bad else w for i, w in enumerate(item)))
+    short = [" ".join("other" if i == bad else f"c{i}" for i in range(6)) for bad in (None, *range(6))]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(f"c{i}" for i in range(6)))], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontam.overlaps(documents(spark, [*texts, *short, "c0 c1 c2 c3 x y", "b0 b1 b2 b3 b4 b5 b6 x y z"]), bench).collect()}
+    assert got == {(i, 1) for i in range(45)} | {(45 + i, 2) for i in range(7)}
+
+
 def test_decontamination_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_SEEDS", 0)
     bench = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(20)))], "item_id long, text string")
