@@ -28,7 +28,7 @@ BASE = {
 LOOSE = {
     "card": r"[0-9](?<![0-9][0-9])[0-9]{3}(?:[\x20-]?[0-9]{4}){3}(?![0-9])",
     "phone": r"\+?[0-9](?<![0-9][0-9])[0-9]{0,2}[\x20.-]?\([0-9]{2,4}\)[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
-    "secret": r"(?i)\b(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)\b[\x22\x27]?\x20{0,2}[:=]\x20{0,2}[\x22\x27]?[^\s\x22\x27,;|]{6,200}",
+    "secret": r"(?i)\b(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)\b[\x22\x27]?\x20{0,2}[:=]\x20{0,2}[\x22\x27]?[^\s\x22\x27,;|]{6,}+",
 }
 #: What a text must hold for a pattern to be tried at all.
 GUARDS = {"email": ["@"], "phone": ["+"], "phone?": ["("], "secret?": ["=", ":"]}

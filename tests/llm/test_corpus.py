@@ -98,6 +98,17 @@ def test_pii_redaction(spark):
     assert got == {0: "mail [EMAIL] now", 1: "ip [EMAIL]", 2: "", 3: None, 4: "clean"}
 
 
+def test_pii_redacts_whole_secrets(spark):
+    r = random.Random(4)
+    key = "".join(r.choice("abcdefghijABCDEFGHIJ0123456789-_") for _ in range(900))
+    texts = [f"login token={key} end", f"api_key: '{key[:300]}' end", f"password={key * 40}"]
+    model = pii.SpanModel(bias={"secret": 5.0})
+    got = [x.text for x in pii.redact(documents(spark, texts), model=model).orderBy("doc_id").collect()]
+    assert got == ["login [SECRET] end", "[SECRET]' end", "[SECRET]"]
+    votes = [x.votes[4] for row in pii.candidates(documents(spark, texts)).collect() for x in row._spans if x.kind == "secret"]
+    assert votes == [1, 1, 1]
+
+
 def test_pii_weak_labels():
     after = pii.reliabilities([("card", (1, 1, 1, 1, 1), 3, 50), ("card", (0, -1, -1, -1, -1), 3, 50), ("card", (0, 1, 1, 0, 1), 3, 10)])
     assert after["card", (1, 1, 1, 1, 1), 3] > 0.9 > 0.1 > after["card", (0, -1, -1, -1, -1), 3]
