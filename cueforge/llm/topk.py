@@ -82,7 +82,7 @@ def _best(q: np.ndarray, own: np.ndarray, ids: np.ndarray, cells: np.ndarray, ex
                 break
             at += 4 * k
             score = exact[take] @ q[i]
-            have = sorted([*have, *((int(s), -int(d)) for s, d in zip(score, ids[take], strict=True) if d != own[i])], reverse=True)[:k]
+            have = sorted({*have, *((int(s), -int(d)) for s, d in zip(score, ids[take], strict=True) if d != own[i])}, reverse=True)[:k]
         held[i] = have
 
 
@@ -90,7 +90,8 @@ def search(file: VectorFile, queries: DataFrame, k: int = 5) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each query the ``k`` rows of the highest inner product.
 
     ``queries`` has vec_id and v as in the file's table; a row with the query's own id is no candidate. Ties go
-    to the smaller vec_id; with fewer candidates all are returned. Queries meet the table in
+    to the smaller vec_id; with fewer candidates all are returned. Repeated rows of a vec_id take one
+    place, or one for each score if their vectors differ. Queries meet the table in
     blocks of ``QUERY_BLOCK``; each task returns its best k for a query, and these meet once more.
     Vectors of another length than the query's are no candidates.
     """

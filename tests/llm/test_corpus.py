@@ -200,6 +200,18 @@ def test_topk_equals_brute_force(spark):
     assert topk.search(none, none.table, 5).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_topk_repeated_rows(spark, partitions):
+    r = np.random.default_rng(6)
+    x = r.normal(0, 0.3, (40, 8)).astype(float)
+    v = np.floor(256 * x).astype(np.int64)
+    best = sorted(range(1, 40), key=lambda d: (-int(v[0] @ v[d]), d))[:5]
+    rows = [(i, x[i].tolist()) for i in range(40)] + [(best[0], x[best[0]].tolist())] * 5 + [(best[2], x[best[2]].tolist())] * 5
+    file = topk.build_file(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(partitions))
+    got = topk.search(file, file.table.where("vec_id = 0"), 5).orderBy("rank").collect()
+    assert [(t["rank"], t.vec_id) for t in got] == [(k + 1, d) for k, d in enumerate(best)]
+
+
 # 6 simhash
 
 
