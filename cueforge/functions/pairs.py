@@ -9,6 +9,7 @@ from cueforge.functions.text import trim_all
 from cueforge.functions.timecode import _col
 
 PAIR = "struct<word:string,pinyin:string,translation:string>"
+#: Fixed value: the form of an item.
 _ITEM = r"(?U)^([^\s(]+)\s*\(([^)]+)\)\s*:\s*(.+)$"
 
 
@@ -17,11 +18,15 @@ def _struct(word: Column, pinyin: Column, translation: Column) -> Column:
 
 
 def parse_pairs(c: Column | str) -> Column:
-    """Structs of a bracketed list of double-quoted items; an item of another shape gives its first token alone."""
+    """Structs of a bracketed list of double-quoted items.
+
+    An item of another shape gives what it begins with, up to white space or a parenthesis, alone; one that begins
+    with either is skipped.
+    """
     text = trim_all(c)
-    items = F.transform(F.regexp_extract_all(text, F.lit('"([^"]*)"'), F.lit(1)), lambda x: trim_all(x))
+    items = F.regexp_extract_all(text, F.lit('"([^"]*)"'), F.lit(1))
     whole = lambda x, k: F.regexp_extract(x, _ITEM, k)
-    made = F.transform(items, lambda x: F.when(x.rlike(_ITEM), _struct(trim_all(whole(x, 1)), trim_all(whole(x, 2)), trim_all(whole(x, 3)))).otherwise(_struct(F.regexp_extract(x, r"(?U)^(\S+)", 1), F.lit(""), F.lit(""))))
+    made = F.transform(items, lambda x: F.when(x.rlike(_ITEM), _struct(trim_all(whole(x, 1)), trim_all(whole(x, 2)), trim_all(whole(x, 3)))).otherwise(_struct(F.regexp_extract(x, r"(?U)^([^\s(]+)", 1), F.lit(""), F.lit(""))))
     kept = F.filter(made, lambda x: x["word"] != "")
     return F.when(text.startswith("[") & text.endswith("]"), kept).otherwise(F.array().cast(f"array<{PAIR}>"))
 
@@ -62,10 +67,18 @@ def segment_longest_match(text: Column | str, pairs: Column | str) -> Column:
     quoted = F.transform(order, lambda o: F.concat(F.lit(r"\Q"), F.replace(o["w"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
     regex = F.array_join(F.concat(quoted, F.array(F.lit("(?s:.)"))), "|")
     parts = F.regexp_extract_all(line, regex, F.lit(0))
-    words = F.transform(glosses, lambda p: p["word"])
-    gloss = lambda x: F.get(glosses, (F.array_position(words, x) - 1).cast("int"))
-    found = lambda x: F.array_position(words, x) > 0
-    return F.transform(parts, lambda x: F.struct(x.alias("text"), F.when(found(x), gloss(x)["pinyin"]).otherwise("").alias("pinyin"), F.when(found(x), gloss(x)["translation"]).otherwise("").alias("translation")))
+    # One-element arrays bind a value that every part uses.
+    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    placed = bound(F.transform(glosses, lambda p: p["word"]), lambda words: F.transform(parts, lambda x: F.struct(x.alias("text"), F.array_position(words, x).cast("int").alias("k"))))
+    told = lambda g, x, name: F.when(x["k"] > 0, F.get(g, x["k"] - 1)[name]).otherwise("").alias(name)
+    return bound(glosses, lambda g: F.transform(placed, lambda x: F.struct(x["text"].alias("text"), told(g, x, "pinyin"), told(g, x, "translation"))))
+
+
+#: SQL: starts of the word that parts ``_gaps``, summed in blocks so that the work is linear in the occurrences.
+_STARTS = """aggregate(sequence(0, greatest(size(_gaps) - 2, 0) div 256), named_struct('at', 0, 'outs', cast(array() as array<array<int>>)), (s, b) -> element_at(transform(array(
+    aggregate(slice(_gaps, cast(b * 256 as int) + 1, cast(least(256, size(_gaps) - 1 - b * 256) as int)), named_struct('at', s.at, 'out', cast(array() as array<int>)),
+        (a, x) -> named_struct('at', a.at + length(x) + length(word), 'out', array_append(a.out, a.at + length(x))))),
+    r -> named_struct('at', r.at, 'outs', array_append(s.outs, r.out))), 1), s -> flatten(s.outs))"""
 
 
 def word_spans(df: DataFrame, text: str, pairs: str) -> DataFrame:
@@ -80,8 +93,8 @@ def word_spans(df: DataFrame, text: str, pairs: str) -> DataFrame:
     base = df.withColumn("_words", words).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     each = base.select("*", F.posexplode_outer("_words").alias("pair_no", "word"))
     gaps = F.split(F.col("_text"), F.concat(F.lit(r"\Q"), F.replace("word", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), -1)
-    starts = F.transform(F.slice(gaps, 1, F.size(gaps) - 1), lambda _, i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, y: a + F.length(y)) + i * F.length("word"))
-    each = each.withColumn("_starts", F.when((F.col("word") != "") & F.col("word").isNotNull(), starts).otherwise(F.array().cast("array<int>")))
+    each = each.withColumn("_gaps", F.when((F.col("word") != "") & F.col("word").isNotNull(), gaps).otherwise(F.array(F.lit(""))))
+    each = each.withColumn("_starts", F.expr(_STARTS))
     keys = df.columns
     hit = each.select(*keys, "pair_no", "word", F.explode("_starts").alias("span_start")).withColumn("span_end", F.col("span_start") + F.length("word"))
     none = base.where(~F.exists("_words", lambda w: (w != "") & (F.instr(F.col("_text"), w) > 0)) | F.col("_words").isNull())
@@ -104,7 +117,8 @@ def keep_json_string_list(c: Column | str) -> Column:
     bare = F.when(text.startswith("```"), trim_all(F.regexp_replace(text, r"^```(?:json)?\s*|\s*```$", ""))).otherwise(text)
     listed = F.from_json(bare, "array<string>")
     plain = F.regexp_replace(bare, r"(?U)\s+", " ")
-    only = bare.rlike(r'^\[\s*("(?:[^"\\]|\\.)*"\s*(,\s*"(?:[^"\\]|\\.)*"\s*)*)?\]$')
+    quoted = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+'  # possessive: long lists need no stack
+    only = bare.rlike(rf"^\[\s*+(?:{quoted}(?:,\s*+{quoted})*+)?\]$")
     return F.when((bare == "") | bare.isNull(), F.lit("N/A")).when(only & listed.isNotNull(), F.to_json(listed)).otherwise(plain)
 
 

@@ -79,10 +79,11 @@ def balance_two_lines(c: Column | str, max_chars: int = 12) -> Column:
     """One line up to ``max_chars``; else words fill the first up to half of all characters and two, the rest follows."""
     words = _col(c)
     size = F.aggregate(words, F.lit(0), lambda a, x: a + F.length(x))
-    before = F.transform(words, lambda x, i: F.aggregate(F.slice(words, 1, i + 1), F.lit(0), lambda a, y: a + F.length(y)))
     # Words stay on the first line while the running length fits; the first always does.
-    over = F.array_position(F.transform(before, lambda n: n * 2 > size + 4), True).cast("int")
-    cut = F.when(over == 0, F.size(words)).otherwise(F.greatest(over - 1, F.lit(1)))
+    fits = lambda a, x, n: a["open"] & ((a["n"] + F.length(x)) * 2 <= n + 4)
+    step = lambda n: lambda a, x: F.struct((a["n"] + F.length(x)).alias("n"), (a["k"] + F.when(fits(a, x, n), 1).otherwise(0)).alias("k"), fits(a, x, n).alias("open"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(True).alias("open"))
+    cut = F.greatest(F.element_at(F.transform(F.array(size), lambda n: F.aggregate(words, start, step(n))["k"]), 1), F.lit(1))
     two = F.filter(F.array(F.array_join(F.slice(words, 1, cut), ""), F.array_join(F.slice(words, cut + 1, F.size(words)), "")), lambda x: x != "")
     return F.when(size <= max_chars, F.filter(F.array(F.array_join(words, "")), lambda x: x != "")).otherwise(two)
 

@@ -44,12 +44,17 @@ def choose_track_pair(files: DataFrame, track: str = "track_id", name: str = "na
 
 
 def rename_plan(files: DataFrame, folder: str = "folder", name: str = "name") -> DataFrame:
-    """Rows (folder, name, target, status): ``renamed``, ``right``, ``invalid`` or ``exists`` (another file has the target's name)."""
+    """Rows (folder, name, target, status): ``renamed``, ``right``, ``invalid`` or ``exists``.
+
+    A target exists if a file has its name already, or if a file before this one, by name, is renamed to it; so
+    carrying out the plan never overwrites a file. A padded name pads to itself, so all files that want a
+    target or have it meet in one window.
+    """
     planned = files.select(folder, name, pad_frame_name(name).alias("target"))
-    there = files.select(folder, F.col(name).alias("target"), F.lit(True).alias("_there")).distinct()
-    j = planned.join(there, [folder, "target"], "left")
-    status = F.when(F.col("target").isNull(), "invalid").when(F.col("target") == F.col(name), "right").when(F.col("_there"), "exists").otherwise("renamed")
-    return j.select(folder, name, "target", status.alias("status"))
+    w = Window.partitionBy(folder, F.coalesce("target", name))
+    first = F.row_number().over(w.orderBy(F.col("target") != F.col(name), name)) == 1
+    status = F.when(F.col("target").isNull(), "invalid").when(F.col("target") == F.col(name), "right").when(first, "renamed").otherwise("exists")
+    return planned.select(folder, name, "target", status.alias("status"))
 
 
 def status_totals(planned: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 import pandas as pd
@@ -60,8 +61,8 @@ def near_duplicates(df: DataFrame, threshold: int = 5, folder: str = "folder", o
     """Rows (folder, file_no, status, duplicate_of): ``unique``, ``exact`` (md5 of an earlier file) or ``similar``.
 
     In file order a picture goes if at most ``threshold`` hex digits of its hash differ from a kept one's.
-    Exact copies go first and are compared no further. The sixteen digits are cut in threshold + 1
-    bands: close hashes share a band, so candidates come from equi-joins on equal bands; equal hashes
+    Exact copies go first and are compared no further. The sixteen digits are cut in threshold + 2
+    bands: close hashes share two of them, so candidates come from an equi-join on equal pairs of bands; equal hashes
     collapse before. Folders of up to ``FOLDER_FILES`` linked files are ordered by one task, larger
     ones by rounds of joins.
     """
@@ -72,9 +73,11 @@ def near_duplicates(df: DataFrame, threshold: int = 5, folder: str = "folder", o
     left = first.where("file_no = _first").select("folder", "file_no", "ahash")
     same = left.withColumn("_head", F.min("file_no").over(Window.partitionBy("folder", "ahash")))
     heads = same.where("file_no = _head").select("folder", "file_no", "ahash")
-    n = threshold + 1
+    n = min(threshold + 2, 16)
     cuts = [round(16 * i / n) for i in range(n + 1)]
-    bands = F.array(*[F.struct(F.lit(i).alias("b"), F.substring("ahash", cuts[i] + 1, cuts[i + 1] - cuts[i]).alias("v")) for i in range(n)])
+    band = [F.substring("ahash", cuts[i] + 1, cuts[i + 1] - cuts[i]) for i in range(n)]
+    both = list(itertools.combinations(range(n), 2)) if threshold <= 14 else [(i, i) for i in range(n)]
+    bands = F.array(*[F.struct(F.lit(i * n + j).alias("b"), F.concat(band[i], band[j]).alias("v")) for i, j in both])
     banded = heads.select("folder", "file_no", "ahash", F.explode(bands).alias("x")).select("folder", "file_no", "ahash", "x.b", "x.v")
     y = banded.select("folder", "b", "v", F.col("file_no").alias("later"), F.col("ahash").alias("h2"))
     differ = F.aggregate(F.sequence(F.lit(1), F.lit(16)), F.lit(0), lambda a, i: a + F.when(F.substr("ahash", i, F.lit(1)) != F.substr("h2", i, F.lit(1)), 1).otherwise(0))

@@ -57,7 +57,7 @@ def frames_for_video(videos: DataFrame, per_second: int | None = None, track: st
 def frame_artifacts(frames: DataFrame, base: DataFrame, pairs: str = "pairs", track: str = "track_id", policy: str = "begin") -> DataFrame:
     """Rows (track, name, artifact): ``a``, ``ba``, ``bb`` … for each gloss, and ``c``; ``resize`` for a frame without caption."""
     joined = attach_cue_to_frame(parse_frame_names(frames), base, policy, track=track)
-    letters = F.transform(F.col(f"cue.{pairs}"), lambda _, i: F.concat(F.lit("b"), F.chr(i + 97)))
+    letters = F.transform(F.col(f"cue.{pairs}"), lambda _, i: F.concat(F.lit("b"), F.decode(F.unhex(F.lpad(F.hex(i + 97), 4, "0")), "UTF-16BE")))
     kinds = F.when(F.col("cue").isNull(), F.array(F.lit("resize"))).otherwise(F.concat(F.array(F.lit("a")), F.coalesce(letters, F.array().cast("array<string>")), F.array(F.lit("c"))))
     return joined.select(track, "name", F.posexplode(kinds).alias("artifact_no", "artifact"))
 

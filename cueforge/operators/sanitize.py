@@ -39,15 +39,21 @@ def filter_known_words(df: DataFrame, lexicon: DataFrame, keys: list[str], pairs
 
     A word is known at confidence ``known_level``; a confidence that is no whole number is 0. Rows
     without glosses stay. Only the known words meet the rows, by a join on the word;
-    ``small_lexicon`` asserts that they fit a broadcast. ``keys`` identify a row.
+    ``small_lexicon`` asserts that they fit a broadcast. ``keys`` identify a row. The rows are read once: the
+    other columns travel with the first gloss of a row.
     """
-    known = lexicon.where(F.coalesce(F.col("confidence_level").cast("string").try_cast("int"), F.lit(0)) == known_level).select("word").distinct()
+    known = lexicon.where(F.coalesce(F.col("confidence_level").cast("string").try_cast("int"), F.lit(0)) == known_level).select("word", F.lit(True).alias("_known")).distinct()
     known = F.broadcast(known) if small_lexicon else known
-    each = df.select(*keys, F.posexplode_outer(pairs).alias("_no", "_pair")).where(trim_all("_pair.word") != "")
-    left = each.withColumn("word", F.col("_pair.word")).join(known, "word", "left_anti")
-    kept = left.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_no", "_pair"))), lambda x: x["_pair"]).alias("_kept"))
-    out = df.join(kept, keys, "left").where((F.size(pairs) == 0) | F.col("_kept").isNotNull())
-    return out.withColumn(pairs, F.coalesce("_kept", pairs)).drop("_kept").select(*df.columns)
+    rest = F.struct(F.lit(0).alias("_"), *[c for c in df.columns if c not in (*keys, pairs)])
+    listed = F.transform(pairs, lambda p, i: F.struct(i.alias("no"), p.alias("pair"), F.when(i == 0, rest).alias("rest")))
+    alone = F.array(F.struct(F.lit(0).alias("no"), F.get(pairs, F.lit(0)).alias("pair"), rest.alias("rest")))
+    each = df.select(*keys, F.explode_outer(F.when(F.size(pairs) > 0, listed).otherwise(alone)).alias("_x"), F.when(F.size(pairs) > 0, F.lit(None)).otherwise(F.col(pairs)).alias("_as_was"))
+    met = each.withColumn("word", F.col("_x.pair.word")).join(known, "word", "left")
+    keep = F.when(F.col("_known").isNull() & (trim_all("word") != ""), F.struct("_x.no", "_x.pair"))
+    lists = met.groupBy(*keys).agg(F.first("_x.rest", ignorenulls=True).alias("_rest"), F.array_sort(F.collect_list(keep)).alias("_kept"), F.first("_as_was", ignorenulls=True).alias("_as_was"), F.max(F.col("_x.pair").isNull()).alias("_none"))
+    lists = lists.where((F.size("_kept") > 0) | F.col("_none"))
+    told = F.when(F.size("_kept") > 0, F.transform("_kept", lambda x: x["pair"])).otherwise(F.col("_as_was")).alias(pairs)
+    return lists.select(*[F.col(c) if c in keys else told if c == pairs else F.col(f"_rest.`{c}`") for c in df.columns])
 
 
 def new_lexicon_entries(df: DataFrame, lexicon: DataFrame, order: list[str], pairs: str = "pairs") -> DataFrame:

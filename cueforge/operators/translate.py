@@ -18,14 +18,20 @@ def translate_by_dictionary(df: DataFrame, dictionary: DataFrame, text: str = "t
 
     ``mode='replace'`` puts the contained phrase's translation in its place. Without any phrase
     ``[Traduzir: …]``. ``dictionary(dict_order, phrase, translation)``; each distinct text is looked up once.
-    The containment test compares every distinct text with the phrase table, a stated small set: a table of
-    more than ``BROADCAST_PHRASES`` rows is refused.
+    A text and a phrase meet by an equi-join on the first 8 (4, 2, 1, for shorter ones) characters of the phrase, which
+    a text that contains it holds; the whole phrase decides. Phrase tables of up to ``BROADCAST_PHRASES``
+    rows are broadcast, larger ones joined by a shuffle. A null text has a null translation.
     """
-    if dictionary.count() > BROADCAST_PHRASES:
-        raise ValueError("the phrase table is too large to be held by every task")
-    d = F.broadcast(dictionary.select("dict_order", "phrase", "translation").where("phrase <> ''"))
+    d = dictionary.select("dict_order", "phrase", "translation").where("phrase <> ''")
+    n = F.when(F.length("phrase") >= 8, 8).when(F.length("phrase") >= 4, 4).when(F.length("phrase") >= 2, 2).otherwise(1)
+    d = d.withColumn("_n", n).withColumn("_g", F.expr("left(phrase, _n)"))
+    sizes = {r["_n"]: r["count"] for r in d.groupBy("_n").count().collect()}
+    d = F.broadcast(d) if sum(sizes.values()) <= BROADCAST_PHRASES else d
     texts = df.select(F.col(text).alias("_t")).where("_t is not null").distinct()
-    hit = texts.join(d, F.col("_t").contains(F.col("phrase")))
+    chars = texts.withColumn("_c", F.regexp_extract_all("_t", F.lit("(?s)."), F.lit(0)))
+    grams = [f"transform(if(size(_c) < {k}, cast(array() as array<int>), sequence(1, size(_c) - {k - 1})), i -> named_struct('_n', {k}, '_g', array_join(slice(_c, i, {k}), '')))" for k in sorted(sizes)]
+    keyed = chars.select("_t", F.explode_outer(F.array_distinct(F.expr(f"concat({', '.join(grams)})"))).alias("_k")).select("_t", "_k.*") if grams else texts.selectExpr("_t", "0 as _n", "'' as _g")
+    hit = keyed.join(d, ["_n", "_g"]).where(F.col("_t").contains(F.col("phrase")))
     first = hit.groupBy("_t").agg(F.min(F.struct((F.col("_t") != F.col("phrase")).alias("part"), "dict_order", "phrase", "translation")).alias("h"))
     told = F.col("h.translation") if mode == "value" else F.when(F.col("h.part"), F.replace("_t", F.col("h.phrase"), F.col("h.translation"))).otherwise(F.col("h.translation"))
     return df.join(first.select(F.col("_t").alias(text), told.alias(out)), text, "left").withColumn(out, F.coalesce(out, F.concat(F.lit("[Traduzir: "), F.col(text), F.lit("]")))).select(*df.columns, out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueforge.functions.pairs import lookup_pinyin, pair_words
@@ -31,9 +31,10 @@ def find_words(base: DataFrame, words: DataFrame, track: str = "track_id", line:
     pairs = F.get("parts", F.lit(4))
     heads = F.transform(F.regexp_extract_all(pairs, F.lit('"([^"]+)"'), F.lit(1)), lambda x: F.regexp_extract(x, r"(?U)^\s*(\S+)", 1))
     lines = base.withColumns({"begin_ms": begin, "end_ms": end, "pairs_raw": pairs}).where("begin_ms is not null and end_ms is not null")
-    each = lines.withColumn("word", F.explode_outer(F.array_distinct(heads)))
-    w = Window.partitionBy(track, line).orderBy("word_index")
-    hit = each.join(words.select("word_index", "word"), "word").withColumn("_k", F.row_number().over(w)).where("_k = 1")
+    # Only keys and words meet the list; a line's columns join its first word.
+    each = lines.select(track, line, F.explode_outer(F.array_distinct(heads)).alias("word"))
+    first = each.join(words.select("word_index", "word"), "word").groupBy(track, line).agg(F.min(F.struct("word_index", "word")).alias("_w"))
+    hit = lines.join(first.select(track, line, "_w.word_index", "_w.word"), [track, line])
     pinyin = lookup_pinyin("word", "pairs_raw")
     translation = F.when(F.size("parts") > 5, F.element_at("parts", -1)).otherwise("N/A")
     number = F.col(line).cast("string")

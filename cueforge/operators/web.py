@@ -28,17 +28,23 @@ def chapter_date(card: Column | str, title: Column | str, alt: Column | str) ->
 def extract_episodes(pages: DataFrame, page: str = "page_id", html: str = "html", link_re: str = r"/v/[^\x22'?]*\?s=0s", id_re: str = r"/v/([^/?]+)", word_re: str = "Cap[íi]tulo|Epis[óo]dio", kind: str = "episode") -> DataFrame:
     """Rows (page, pos, id, episode_number, chapter_date, title, url, type) of the episode links of each page.
 
-    Only links whose address matches ``link_re`` count; the number falls back to the place of the link, the
-    date to ``Capítulo {id}``.
+    Only links whose address matches ``link_re`` count. The number is that of the link's text, else of the last
+    heading between the link before and this one (``N. word`` at its start), else the place of the link; the date
+    falls back to ``Capítulo {id}``, which the title then leaves out.
     """
-    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<a\b[^>]*href=[\x22'][^\x22']*[\x22'][^>]*>.*?</a>"), F.lit(0))
-    each = pages.select(F.col(page), F.posexplode(tags).alias("_k", "_a"))
+    # Each piece is a link and what stands before it.
+    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is).*?<a\b[^>]*href=[\x22'][^\x22']*[\x22'][^>]*>.*?</a>"), F.lit(0))
+    each = pages.select(F.col(page), F.posexplode(tags).alias("_k", "_piece"))
+    headed = F.regexp_extract_all("_piece", F.lit(rf"(?isu)<h[1-6]\b[^>]*>\s*(\d+)\.\s*(?:{word_re})"), F.lit(1))
+    link = F.regexp_extract("_piece", r"(?is)<a\b[^>]*href=[\x22'][^\x22']*[\x22'][^>]*>.*?</a>$", 0)
+    each = each.select(page, "_k", link.alias("_a"), F.coalesce(F.try_element_at(headed, F.lit(-1)), F.lit("")).alias("_heading"))
     each = each.withColumn("url", F.regexp_extract("_a", r"(?i)href=[\x22']([^\x22']*)[\x22']", 1)).where(F.col("url").rlike(link_re)).where(F.regexp_extract("url", id_re, 1) != "")
     opening = F.regexp_extract("_a", r"(?s)^(<a\b[^>]*>)", 1)
-    each = each.select(page, "_k", "url", F.regexp_extract("url", id_re, 1).alias("id"), html_to_text("_a").alias("_card"), F.regexp_extract(opening, r"(?i)title=[\x22']([^\x22']*)[\x22']", 1).alias("_title"), F.regexp_extract("_a", r"(?is)<img\b[^>]*alt=[\x22']([^\x22']*)[\x22']", 1).alias("_alt"))
+    each = each.select(page, "_k", "url", "_heading", F.regexp_extract("url", id_re, 1).alias("id"), html_to_text("_a").alias("_card"), F.regexp_extract(opening, r"(?i)title=[\x22']([^\x22']*)[\x22']", 1).alias("_title"), F.regexp_extract("_a", r"(?is)<img\b[^>]*alt=[\x22']([^\x22']*)[\x22']", 1).alias("_alt"))
     # The place counts links of the page only; pages are independent, so this needs no shuffle beyond the page.
-    listed = each.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("_k", "url", "id", "_card", "_title", "_alt"))).alias("l")).select(page, F.posexplode("l").alias("pos", "e")).select(page, "pos", "e.*")
-    number = F.coalesce(F.nullif(episode_number("_card", word_re), F.lit("")), (F.col("pos") + 1).cast("string"))
-    date = F.coalesce(F.nullif(chapter_date("_card", "_title", "_alt"), F.lit("")), F.concat(F.lit("Capítulo "), F.col("id")))
-    done = listed.select(page, "pos", "id", number.alias("episode_number"), date.alias("chapter_date"), "url", F.lit(kind).alias("type"))
-    return done.select(page, "pos", "id", "episode_number", "chapter_date", F.concat(F.lit("Episódio "), F.col("episode_number"), F.lit(", "), F.col("chapter_date")).alias("title"), "url", "type")
+    listed = each.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("_k", "url", "id", "_heading", "_card", "_title", "_alt"))).alias("l")).select(page, F.posexplode("l").alias("pos", "e")).select(page, "pos", "e.*")
+    number = F.coalesce(F.nullif(episode_number("_card", word_re), F.lit("")), F.nullif("_heading", F.lit("")), (F.col("pos") + 1).cast("string"))
+    done = listed.select(page, "pos", "id", number.alias("episode_number"), F.nullif(chapter_date("_card", "_title", "_alt"), F.lit("")).alias("_date"), "url", F.lit(kind).alias("type"))
+    date = F.coalesce("_date", F.concat(F.lit("Capítulo "), F.col("id")))
+    title = F.concat(F.lit("Episódio "), F.col("episode_number"), F.coalesce(F.concat(F.lit(", "), F.col("_date")), F.lit("")))
+    return done.select(page, "pos", "id", "episode_number", date.alias("chapter_date"), title.alias("title"), "url", "type")

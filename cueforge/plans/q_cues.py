@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from cueforge.functions.pairs import format_pairs, parse_pairs
+from cueforge.functions.text import TONES
 from cueforge.operators import align, frames, playlist, resume, retime, sanitize, translate, vocab
 from cueforge.plans.registry import query, table
-from cueforge.plans.stand_ins import EV, LEXICON, WORDS, cues, glosses, lexicon
+from cueforge.plans.stand_ins import EV, WORDS, cues, glosses, lexicon
 
 _HOURLY = "hr as (select track_id, pos, begin_ms // 86400000 * 86400000 as begin_ms, end_ms, text from ev)"
 
@@ -194,11 +197,9 @@ def g6(s, d):
     return frames.sort_frames(_names(s, d)).select("track_id", "name", "second", "frame")
 
 
-@query("g8_frame_artifacts", f"""with {WORDS}, b as (select max(line_no) as line_no from gl group by line_no % 1000),
-    f as (select distinct 's' as track_id, lpad(cast(l_partkey % 1500 as varchar), 5, '0') || '_1.png' as name, l_partkey % 1500 as second from lineitem),
-    c as (select second, name, exists (select 1 from gl where line_no % 1000 = f.second) as has from f),
-    a as (select name, unnest(case when has then ['a', 'ba', 'bb', 'c'] else ['resize'] end) as artifact from c)
-    select 's' as track_id, name, artifact from a""")
+@query("g8_frame_artifacts", f"""with {WORDS}, b as (select line_no % 1000 as second, max_by(list_transform(range(0, (len(w) + 2) // 3), lambda i: 'b' || chr(cast(97 + i as integer))), line_no) as letters from gl group by 1),
+    f as (select distinct 's' as track_id, lpad(cast(l_partkey % 1500 as varchar), 5, '0') || '_1.png' as name, l_partkey % 1500 as second from lineitem)
+    select 's' as track_id, name, unnest(case when b.second is null then ['resize'] else list_concat(['a'], letters, ['c']) end) as artifact from f left join b on f.second = b.second""")
 def g8(s, d):
     base = glosses(s, d).select(F.lit("s").alias("track_id"), "line_no", (F.col("line_no") % 1000 * 1000).alias("begin_ms"), (F.col("line_no") % 1000 * 1000 + 900).alias("end_ms"), parse_pairs("pairs_raw").alias("pairs"))
     f = table(s, d, "lineitem").select(F.lit("s").alias("track_id"), F.concat(F.lpad((F.col("l_partkey") % 1500).cast("string"), 5, "0"), F.lit("_1.png")).alias("name")).distinct()
@@ -213,61 +214,77 @@ def g9(s, d):
 
 def _music(s, d):
     g = glosses(s, d)
-    zht = F.when(F.col("line_no") % 7 == 0, "♪").otherwise(F.col("w")[0])
-    return g.withColumns({"zht": zht, "pairs_raw": F.when(F.col("line_no") % 11 == 0, sanitize.REFUSALS[2]).otherwise(F.col("pairs_raw")), "pt": F.when(F.col("line_no") % 5 == 0, "N/A").otherwise(F.col("w")[1])})
+    text = F.array_join("w", " ")
+    zht = F.when(F.col("line_no") % 7 == 0, "♪").otherwise(text)
+    return g.withColumns({"zht": zht, "pairs_raw": F.when(F.col("line_no") % 11 == 0, sanitize.REFUSALS[2]).otherwise(F.col("pairs_raw")), "pt": F.when(F.col("line_no") % 5 == 0, "N/A").otherwise(text)})
 
 
-@query("d3_drop_bad_rows", f"with {WORDS} select line_no, w[1] as zht from gl where line_no % 7 <> 0 and line_no % 11 <> 0")
+@query("d3_drop_bad_rows", f"with {WORDS} select line_no, coalesce(array_to_string(w, ' '), '') as zht from gl where line_no % 7 <> 0 and line_no % 11 <> 0")
 def d3(s, d):
     return sanitize.drop_bad_rows(_music(s, d)).select("line_no", "zht")
 
 
-@query("d4_speakable_rows", f"with {WORDS} select line_no, w[2] as pt from gl where line_no % 5 <> 0")
+@query("d3_drop_legacy_rows", f"with {WORDS} select line_no from gl where line_no % 7 <> 0 and line_no % 11 <> 0")
+def d3_legacy(s, d):
+    m = _music(s, d).withColumn("parts", F.array(F.col("line_no").cast("string"), F.lit("1.0s"), "zht", "pairs_raw"))
+    return sanitize.drop_bad_rows(m, music_col="legacy").select("line_no")
+
+
+@query("d4_speakable_rows", f"with {WORDS} select line_no, array_to_string(w, ' ') as pt from gl where line_no % 5 <> 0 and len(w) > 0")
 def d4(s, d):
     return sanitize.speakable_rows(_music(s, d)).select("line_no", "pt")
 
 
-_KEPT = f"""{WORDS}, kp as (select line_no, length(w[1]) % 4 <> 3 as a, length(w[4]) % 4 <> 3 as b, '"' || w[1] || ' (' || w[2] || '): ' || w[3] || '"' as x, '"' || w[4] || ' (' || w[5] || '): ' || w[6] || '"' as y from gl)"""
+#: Of each line its glosses, those whose word isn't known, and these as text.
+KEPT = f"""{WORDS}, kp as (select line_no, count(*) as n, count(*) filter (length(word) % 4 <> 3) as m,
+    string_agg('"' || word || ' (' || pinyin || '): ' || translation || '"', ', ' order by pos) filter (length(word) % 4 <> 3) as kept from it group by line_no)"""
 
 
 def _paired(s, d):
-    return glosses(s, d).withColumn("pairs", parse_pairs("pairs_raw")).select("track_id", "line_no", F.col("w")[0].alias("zht"), "pairs")
+    return glosses(s, d).select("track_id", "line_no", F.array_join("w", " ").alias("zht"), parse_pairs("pairs_raw").alias("pairs"))
 
 
-@query("e2_filter_known_words", f"with {_KEPT} select line_no, '[' || case when a and b then x || ', ' || y when a then x else y end || ']' as kept from kp where a or b")
+@query("e2_filter_known_words", f"with {KEPT} select gl.line_no, '[' || coalesce(kept, '') || ']' as kept, md5(coalesce(array_to_string(w, ' '), '')) as digest from gl left join kp on gl.line_no = kp.line_no where kept is not null or n is null")
 def e2(s, d):
-    return sanitize.filter_known_words(_paired(s, d), lexicon(s, d), ["track_id", "line_no"]).select("line_no", format_pairs("pairs").alias("kept"))
+    out = sanitize.filter_known_words(_paired(s, d), lexicon(s, d), ["track_id", "line_no"])
+    return out.select("line_no", format_pairs("pairs").alias("kept"), F.md5(F.col("zht").cast("binary")).alias("digest"))
 
 
-@query("e3_new_lexicon_entries", f"""with {WORDS}, o as (select w[1] as word, w[2] as pinyin, w[3] as translation, track_id, line_no, 0 as k from gl union all select w[4], w[5], w[6], track_id, line_no, 1 from gl),
-    r as (select *, row_number() over (partition by word order by track_id, line_no, k) as n from o)
-    select word, pinyin, translation, 1 as confidence_level from r where n = 1 and length(word) > 4""")
+@query("e3_new_lexicon_entries", f"""with {WORDS}, r as (select *, row_number() over (partition by word order by track_id, line_no, pos) as k from it)
+    select word, pinyin, translation, 1 as confidence_level from r where k = 1 and length(word) > 4""")
 def e3(s, d):
     return sanitize.new_lexicon_entries(_paired(s, d), lexicon(s, d).where("length(word) <= 4"), ["track_id", "line_no"])
 
 
-@query("f5_sanitize_summary", f"with {_KEPT} select count(*) filter (not a and not b) as removed, count(*) filter (a <> b) as modified, cast(sum(a::int + b::int) as bigint) as pairs_kept, cast(sum(2 - a::int - b::int) as bigint) as pairs_dropped from kp")
+@query("e3_upsert_lexicon", f"""with {WORDS}, r as (select *, row_number() over (partition by word order by track_id, line_no, pos) as k from it)
+    select word, case when length(word) <= 4 then '' else pinyin end as pinyin, case when length(word) <= 4 then '' else translation end as translation,
+      cast(case when length(word) <= 4 then length(word) % 4 else 1 end as varchar) as confidence_level from r where k = 1""")
+def e3_upsert(s, d):
+    short = lexicon(s, d).where("length(word) <= 4")
+    return sanitize.upsert_lexicon(short, sanitize.new_lexicon_entries(_paired(s, d), short, ["track_id", "line_no"]))
+
+
+@query("f5_sanitize_summary", f"with {KEPT} select count(*) filter (m = 0) as removed, count(*) filter (m > 0 and m < n) as modified, cast(sum(m) as bigint) as pairs_kept, cast(sum(n - m) as bigint) as pairs_dropped from kp")
 def f5(s, d):
     p = _paired(s, d)
     return sanitize.sanitize_summary(p, sanitize.filter_known_words(p, lexicon(s, d), ["track_id", "line_no"]), ["track_id", "line_no"])
 
 
-@query("f1_word_counts", f"with {WORDS} select word, count(*) as n from (select w[1] as word from gl union all select w[4] from gl) group by word")
+@query("f1_word_counts", f"with {WORDS} select word, count(*) as n from it group by word")
 def f1(s, d):
     return vocab.word_counts(glosses(s, d))
 
 
-@query("e4_find_words", rf"""with {WORDS}, bw as (select item_id, unnest(string_split(trim(regexp_replace(translate(text, '"()[]:,\|{{}}', ''), '\s+', ' ', 'g')), ' ')) as word from benchmark),
-    wl as (select word, cast(row_number() over (order by min(item_id), word) - 1 as integer) as word_index from bw where word <> '' group by word),
-    h as (select line_no, w[1] as word, case when 1 = 1 then w[2] end as pinyin from gl union all select line_no, w[4], case when w[1] = w[4] then w[2] else w[5] end from gl),
-    r as (select h.line_no, word_index, h.word, pinyin, row_number() over (partition by line_no order by word_index) as k from h join wl on h.word = wl.word)
-    select line_no, word_index, word, pinyin, 1000::bigint as begin_ms, 3501::bigint as end_ms, 2250::bigint as mid_ms, 'pt' as translation from r where k = 1""")
+@query("e4_find_words", rf"""with {WORDS}, bw as (select item_id, unnest(w) as word, generate_subscripts(w, 1) as k from (select item_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') as w from benchmark)),
+    wl as (select word, cast(min(item_id * 1000000 + k - 1) as bigint) as word_index from bw group by word),
+    r as (select fi.line_no, word_index, fi.word, pinyin, row_number() over (partition by fi.line_no order by word_index) as n from fi join wl on fi.word = wl.word)
+    select line_no, word_index, word, pinyin, 1000::bigint as begin_ms, 3501::bigint as end_ms, 2250::bigint as mid_ms, 'pt' as translation,
+      (word_index + 1) || '_' || translate(replace(translate(pinyin, '{TONES[0]}', '{TONES[1]}'), ' ', '_'), ':()', '') || '_line' || case when length(cast(line_no as varchar)) < 4 then lpad(cast(line_no as varchar), 4, '0') else cast(line_no as varchar) end || '_ep.png' as picture from r where n = 1""")
 def e4(s, d):
-    clean = F.trim(F.regexp_replace(F.translate("text", '"()[]:,\\|{}', ""), r"\s+", " "))
-    words = table(s, d, "benchmark").select("item_id", F.explode(F.split(clean, " ")).alias("word")).where("word <> ''").groupBy("word").agg(F.min("item_id").alias("_i"))
-    ordered = words.agg(F.array_sort(F.collect_list(F.struct("_i", "word"))).alias("l")).select(F.posexplode("l").alias("word_index", "x")).select("word_index", "x.word")
+    w = F.expr(r"filter(split(coalesce(text, ''), '[^\\p{L}\\p{N}]+'), x -> x <> '')")
+    words = table(s, d, "benchmark").select("item_id", F.posexplode(w).alias("k", "word")).groupBy("word").agg(F.min(F.col("item_id").cast("long") * 1_000_000 + F.col("k")).alias("word_index"))
     base = glosses(s, d).select("track_id", "line_no", F.array(F.col("line_no").cast("string"), F.lit("1.000s"), F.lit("3.501s"), F.lit("x"), "pairs_raw", F.lit("pt")).alias("parts"), F.lit("ep").alias("asset"))
-    return vocab.find_words(base, ordered).drop("track_id", "picture")
+    return vocab.find_words(base, words).drop("track_id")
 
 
 _DICT = [(1, "the", "o"), (2, "and", "e"), (3, "sich", "se"), (4, "les", "os"), (5, "para", "para"), (6, "of", "de")]
@@ -281,9 +298,9 @@ def _dictionary(s):
 def _dictionary_query(name, mode, told):
     @query(name, f"""with {_DICT_SQL}, m as (select conv_id, turn, text, phrase, translation, row_number() over (partition by conv_id, turn order by text <> phrase, dict_order) as k
         from conversations left join dc on contains(text, phrase))
-        select conv_id, turn, md5(case when phrase is null then '[Traduzir: ' || text || ']' else {told} end) as digest from m where k = 1 and text is not null""")
+        select conv_id, turn, md5(case when phrase is null then '[Traduzir: ' || text || ']' else {told} end) as digest from m where k = 1""")
     def run(s, d):
-        t = translate.translate_by_dictionary(table(s, d, "conversations").where("text is not null"), _dictionary(s), mode=mode)
+        t = translate.translate_by_dictionary(table(s, d, "conversations"), _dictionary(s), mode=mode)
         return t.select("conv_id", "turn", F.md5(F.col("translation").cast("binary")).alias("digest"))
 
 
@@ -295,7 +312,31 @@ def _upper(text: str) -> str:
     return text.upper()[::-1]
 
 
-@query("f3_distinct_enrichment", "select conv_id, turn, md5(reverse(upper(text))) as digest from conversations where regexp_matches(text, '^[\\x00-\\x7F]*$')")
+def _digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+@query("f3_distinct_enrichment", "select conv_id, turn, sha256(text) as digest from conversations")
 def f3(s, d):
-    c = table(s, d, "conversations").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return translate.distinct_enrichment(c, "text", _upper).select("conv_id", "turn", F.md5(F.col("enriched").cast("binary")).alias("digest"))
+    c = table(s, d, "conversations")
+    return translate.distinct_enrichment(c, "text", _digest).select("conv_id", "turn", F.col("enriched").alias("digest"))
+
+
+@query("e10_resume_from", f"""with {EV}, l as (select track_id, max(pos) as idx from ev where pos % 3 = 0 and begin_ms < {_LIMIT} group by track_id)
+    select ev.track_id, ev.pos, cast(coalesce(l.idx, 0) + row_number() over (partition by ev.track_id order by begin_ms, ev.pos) as integer) as idx
+    from ev left join l on ev.track_id = l.track_id where begin_ms >= {_LIMIT}""")
+def e10_from(s, d):
+    e = cues(s, d).withColumn("idx", F.col("pos").cast("int"))
+    return resume.resume_filter(e, e.where("pos % 3 = 0"), _LIMIT, order="pos").select("track_id", "pos", "idx")
+
+
+@query("e10_resume_lines", "select conv_id, turn from conversations c where not exists (select 1 from conversations o where o.turn = 0 and o.text = c.text)")
+def e10_lines(s, d):
+    c = table(s, d, "conversations")
+    return resume.resume_lines(c, c.where("turn = 0")).select("conv_id", "turn")
+
+
+@query("g4_rebase_least", f"""with {EV}, {_CHUNKED} select track_id, chunk_no, pos, greatest(begin_ms - 2 * chunk_start_ms, 0) as begin_ms,
+    greatest(end_ms - 2 * chunk_start_ms, greatest(begin_ms - 2 * chunk_start_ms, 0) + 500) as end_ms from cj where pos is not null""")
+def g4_least(s, d):
+    return retime.rebase_chunk_times(_chunked(s, d).where("pos is not null"), 500, True).select("track_id", "chunk_no", "pos", "begin_ms", "end_ms")

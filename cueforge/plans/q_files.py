@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cueforge.operators import catalog, dedup, quality, web
+from cueforge.operators import catalog, dedup, quality, retime, web
 from cueforge.plans.registry import query, table
 from cueforge.plans.stand_ins import EV, FILES, WORDS, cues, files, glosses, scratch
 from cueforge.sources import readers, writers
 
-#: Events by type as tracks, times within a day.
-_DAY = f"{EV}, dy as (select text as track_id, pos, begin_ms % 86400000 as begin_ms, begin_ms % 86400000 + end_ms - begin_ms as end_ms, 'user ' || track_id as text from ev)"
+#: Events by user as tracks, times within a day.
+_DAY = f"{EV}, dy as (select track_id, pos, begin_ms % 86400000 as begin_ms, begin_ms % 86400000 + end_ms - begin_ms as end_ms, 'event ' || text as text from ev)"
 
 
 def _day(s, d):
     e = cues(s, d)
     begin = F.col("begin_ms") % 86_400_000
-    return e.select(F.col("text").alias("track_id"), "pos", begin.alias("begin_ms"), (begin + F.col("end_ms") - F.col("begin_ms")).alias("end_ms"), F.concat(F.lit("user "), "track_id").alias("text"))
+    return e.select("track_id", "pos", begin.alias("begin_ms"), (begin + F.col("end_ms") - F.col("begin_ms")).alias("end_ms"), F.concat(F.lit("event "), "text").alias("text"))
 
 
 @query("a1_read_srt", f"with {_DAY} select track_id, cast(row_number() over (partition by track_id order by pos) as integer) as idx, begin_ms, end_ms, text from dy")
@@ -26,6 +26,13 @@ def a1(s, d):
     return readers.read_srt(s, path).select("track_id", "idx", "begin_ms", "end_ms", "text")
 
 
+@query("a1_read_srt_lenient", f"with {_DAY} select track_id, cast(row_number() over (partition by track_id order by pos) as integer) as idx, begin_ms, end_ms, text || ' twice' as text from dy")
+def a1_lenient(s, d):
+    path = scratch(s, "srt")
+    writers.write_srt(_day(s, d).withColumn("text", F.concat("text", F.lit("\ntwice"))), path)
+    return readers.read_srt(s, path, strict=False).select("track_id", "idx", "begin_ms", "end_ms", "text")
+
+
 @query("a2_read_vtt", f"with {_DAY} select track_id, cast(row_number() over (partition by track_id order by pos) as integer) as idx, begin_ms % 3600000 as begin_ms, begin_ms % 3600000 + 500 as end_ms, text || ' twice' as text from dy")
 def a2(s, d):
     path = scratch(s, "vtt")
@@ -44,21 +51,22 @@ def a3(s, d):
     return readers.read_ttml(s, path).select("track_id", "idx", "begin_ms", "end_ms", "text")
 
 
-_BASE = f"""{WORDS}, b as (select track_id, line_no, (line_no // 2) * 1500 as begin_ms, (line_no // 2) * 1500 + 200 + line_no % 900 as end_ms, w[1] as zht,
-    case when line_no % 5 = 0 then 'N/A' else pairs_raw end as pairs_raw, w[2] as pt from gl)"""
+_BASE = f"""{WORDS}, b as (select track_id, line_no, (line_no // 2) * 1500 as begin_ms, (line_no // 2) * 1500 + 200 + line_no % 900 as end_ms, coalesce(array_to_string(w, ' '), '') as zht,
+    case when line_no % 5 = 0 then 'N/A' else pairs_raw end as pairs_raw, coalesce(array_to_string(w, ' '), '') as pt from gl)"""
 
 
 def _base(s, d):
     g = glosses(s, d)
     begin = F.floor(F.col("line_no") / 2) * 1500
-    return g.select("track_id", "line_no", F.col("line_no").cast("int").alias("idx"), begin.alias("begin_ms"), (begin + 200 + F.col("line_no") % 900).alias("end_ms"), F.col("w")[0].alias("zht"), F.when(F.col("line_no") % 5 == 0, "N/A").otherwise(F.col("pairs_raw")).alias("pairs_raw"), F.col("w")[1].alias("pt"))
+    return g.select("track_id", "line_no", F.col("line_no").cast("int").alias("idx"), begin.alias("begin_ms"), (begin + 200 + F.col("line_no") % 900).alias("end_ms"), F.array_join("w", " ").alias("zht"), F.when(F.col("line_no") % 5 == 0, "N/A").otherwise(F.col("pairs_raw")).alias("pairs_raw"), F.array_join("w", " ").alias("pt"))
 
 
-@query("a4_read_base", f"""with {_BASE}, l as (select *, row_number() over (partition by track_id order by line_no) as n, row_number() over (partition by track_id, begin_ms order by line_no desc) as k from b)
-    select track_id, cast(n as integer) as line_no, cast(line_no as integer) as idx, begin_ms, greatest(end_ms, begin_ms + 500) as end_ms, zht, case when pairs_raw = 'N/A' then '' else pairs_raw end as pairs_raw, pt, 'new' as layout from l where k = 1 and zht <> 'N/A' and zht <> ''""")
+@query("a4_read_base", f"""with {_BASE}, l as (select *, row_number() over (partition by track_id order by line_no) as n, row_number() over (partition by track_id, begin_ms order by zht = '', line_no desc) as k from b)
+    select track_id, cast(n as integer) as line_no, cast(line_no as integer) as idx, begin_ms, case when line_no % 7 = 0 then begin_ms + 3000 else greatest(end_ms, begin_ms + 500) end as end_ms, zht, case when pairs_raw = 'N/A' then '' else pairs_raw end as pairs_raw, pt, 'new' as layout from l where k = 1 and zht <> 'N/A' and zht <> ''""")
 def a4(s, d):
     path = scratch(s, "base")
-    writers.write_base(_base(s, d), path)
+    b = _base(s, d)  # some lines have no end
+    writers.write_base(b.withColumn("end_ms", F.when(F.col("line_no") % 7 != 0, F.col("end_ms"))), path)
     return readers.read_base(s, path)
 
 
@@ -86,6 +94,24 @@ def a7(s, d):
     return writers.render_base(_base(s, d)).select("track_id", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
+@query("a7_render_chunk_base", f"""with {_BASE}, c as (select track_id, begin_ms // 30000 as chunk_no, line_no, begin_ms % 30000 as b, begin_ms % 30000 + end_ms - begin_ms as e, zht, pairs_raw, pt from b),
+    n as (select *, row_number() over (partition by track_id, chunk_no order by b, line_no) as k from c)
+    select track_id, chunk_no, md5(string_agg(concat_ws(chr(9), k, format('{{:d}}.{{:03d}}s', b // 1000, b % 1000), format('{{:d}}.{{:03d}}s', e // 1000, e % 1000), zht, pairs_raw, pt), chr(10) order by k)) as digest from n group by 1, 2""")
+def a7_chunks(s, d):
+    b = _base(s, d)
+    long = b.groupBy("track_id").agg((F.max("begin_ms") + 1).alias("duration_ms"))
+    rows = retime.rebase_chunk_times(retime.chunk_fixed(b, long, 30_000, order="line_no"))
+    return writers.render_chunk_base(rows).select("track_id", "chunk_no", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query("a7_text_base", f"""with {WORDS} select track_id, cast(row_number() over (partition by track_id order by line_no) as integer) as line_no, array_to_string(w, ' ') as value, pairs_raw, 'pt' as translation from gl where len(w) > 0""")
+def a7_text(s, d):
+    path = scratch(s, "text-base")
+    g = glosses(s, d).where("size(w) > 0").select("track_id", "line_no", F.array_join("w", " ").alias("value"), "pairs_raw", F.lit("pt").alias("translation"))
+    writers.write_text_base(g, path)
+    return readers.read_text_base(s, path)
+
+
 @query("a8_render_ttml", f"""with {_DAY} select track_id, md5('<tt xmlns="http://www.w3.org/ns/ttml"><body><div>' || chr(10) || string_agg('<p begin="' || format('{{:d}}.{{:03d}}s', begin_ms // 1000, begin_ms % 1000)
     || '" end="' || format('{{:d}}.{{:03d}}s', end_ms // 1000, end_ms % 1000) || '">' || text || '</p>', chr(10) order by pos) || chr(10) || '</div></body></tt>') as digest from dy group by track_id""")
 def a8(s, d):
@@ -188,14 +214,14 @@ def f7(s, d):
     return catalog.choose_track_pair(table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("track_id"), name.alias("name")))
 
 
-_PICTURES = """pc as (select distinct cast(l_suppkey as varchar) as folder, case when l_linenumber = 1 then lpad(cast(l_partkey % 50 as varchar), 4, '0') || '.png' when l_linenumber = 2 then 'cover' || l_partkey % 50 || '.png' else l_partkey % 50 || '.png' end as name from lineitem)"""
+_PICTURES = """pc as (select distinct cast(l_suppkey as varchar) as folder, case when l_linenumber = 1 then lpad(cast(l_partkey % 50 as varchar), 4, '0') || '.png' when l_linenumber = 2 then 'cover' || l_partkey % 50 || '.png' when l_linenumber = 3 then '0' || l_partkey % 50 || '.png' else l_partkey % 50 || '.png' end as name from lineitem)"""
 _PLAN = """pl as (select folder, name, case when name not like 'cover%' then lpad(replace(name, '.png', ''), 4, '0') || '.png' end as target from pc),
-    st as (select *, case when target is null then 'invalid' when target = name then 'right' when exists (select 1 from pc x where x.folder = pl.folder and x.name = pl.target) then 'exists' else 'renamed' end as status from pl)"""
+    st as (select *, case when target is null then 'invalid' when target = name then 'right' when row_number() over (partition by folder, target order by target <> name, name) = 1 then 'renamed' else 'exists' end as status from pl)"""
 
 
 def _pictures(s, d):
     n = (F.col("l_partkey") % 50).cast("string")
-    name = F.concat(F.when(F.col("l_linenumber") == 1, F.lpad(n, 4, "0")).when(F.col("l_linenumber") == 2, F.concat(F.lit("cover"), n)).otherwise(n), F.lit(".png"))
+    name = F.concat(F.when(F.col("l_linenumber") == 1, F.lpad(n, 4, "0")).when(F.col("l_linenumber") == 2, F.concat(F.lit("cover"), n)).when(F.col("l_linenumber") == 3, F.concat(F.lit("0"), n)).otherwise(n), F.lit(".png"))
     return table(s, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("folder"), name.alias("name")).distinct()
 
 
@@ -223,15 +249,23 @@ def h1(s, d):
 def h2(s, d):
     e = table(s, d, "embeddings")
     md5 = F.md5(F.to_json(F.struct("embedding")).cast("binary"))
-    return dedup.near_duplicates(e.select(F.col("label").cast("string").alias("folder"), F.col("vec_id").alias("file_no"), md5.alias("md5"), dedup.average_hash("embedding").alias("ahash")), threshold=9)
+    return dedup.near_duplicates(e.select(F.col("label").cast("string").alias("folder"), F.col("vec_id").alias("file_no"), md5.alias("md5"), dedup.average_hash("embedding").alias("ahash")), threshold=5)
+
+
+_CARD = r"trim(regexp_replace(regexp_replace(a, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query("h3_extract_episodes", r"""with x as (select page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*href=[\x22\x27][^\x22\x27]*[\x22\x27][^>]*>.*?</a>')) as a, generate_subscripts(regexp_extract_all(html, '(?is)<a\b[^>]*href=[\x22\x27][^\x22\x27]*[\x22\x27][^>]*>.*?</a>'), 1) as k from pages),
-    y as (select page_id, k, regexp_extract(a, '(?i)href=[\x22\x27]([^\x22\x27]*)[\x22\x27]', 1) as url from x),
-    z as (select page_id, url, regexp_extract(url, '^/([^/?]+)', 1) as id, row_number() over (partition by page_id order by k) - 1 as pos from y where regexp_matches(url, '^/[A-Za-z]') and regexp_extract(url, '^/([^/?]+)', 1) <> '')
-    select page_id, cast(pos as integer) as pos, id, url from z""")
+@query("h3_extract_episodes", rf"""with x as (select page_id, unnest(regexp_extract_all(html, '(?is).*?<a\b[^>]*href=[\x22\x27][^\x22\x27]*[\x22\x27][^>]*>.*?</a>')) as piece, generate_subscripts(regexp_extract_all(html, '(?is)<a\b[^>]*href=[\x22\x27][^\x22\x27]*[\x22\x27][^>]*>.*?</a>'), 1) as k from pages),
+    y0 as (select page_id, k, piece, regexp_extract(piece, '(?is)<a\b[^>]*href=[\x22\x27][^\x22\x27]*[\x22\x27][^>]*>.*?</a>$') as a from x),
+    y as (select page_id, k, a, coalesce(regexp_extract_all(piece, '(?is)<h[1-6]\b[^>]*>\s*(\d+)\.\s*(?:[a-z]+)', 1)[-1], '') as heading, regexp_extract(a, '(?i)href=[\x22\x27]([^\x22\x27]*)[\x22\x27]', 1) as url from y0),
+    z as (select page_id, url, heading, {_CARD} as card, regexp_extract(regexp_extract(a, '(?s)^(<a\b[^>]*>)', 1), '(?i)title=[\x22\x27]([^\x22\x27]*)[\x22\x27]', 1) as t, regexp_extract(a, '(?is)<img\b[^>]*alt=[\x22\x27]([^\x22\x27]*)[\x22\x27]', 1) as i,
+        regexp_extract(url, '^/([^/?]+)', 1) as id, row_number() over (partition by page_id order by k) - 1 as pos from y where regexp_matches(url, '^/[A-Za-z]') and regexp_extract(url, '^/([^/?]+)', 1) <> ''),
+    r as (select *, coalesce(nullif(regexp_extract(card, '(?i)(?:^|\s)(\d+)\.\s*(?:[a-z]+)', 1), ''), nullif(regexp_extract(card, '(?i)Epis[óo]dio\s*(\d+)', 1), ''), nullif(regexp_extract(card, '(?i)(?:[a-z]+)\s+(\d+)', 1), ''), nullif(heading, ''), cast(pos + 1 as varchar)) as episode_number,
+        coalesce(nullif(regexp_extract(card, '(?i)Capítulo de\s+(\d{{2}}/\d{{2}}/\d{{4}})', 1), ''), nullif(regexp_extract(card, '(\d{{2}}/\d{{2}}/\d{{4}})', 1), ''), nullif(regexp_extract(t, '(?i)Capítulo de\s+(\d{{2}}/\d{{2}}/\d{{4}})', 1), ''), nullif(regexp_extract(i, '(?i)Capítulo de\s+(\d{{2}}/\d{{2}}/\d{{4}})', 1), '')) as dated from z)
+    select page_id, cast(pos as integer) as pos, id, episode_number, coalesce(dated, 'Capítulo ' || id) as chapter_date, 'Episódio ' || episode_number || coalesce(', ' || dated, '') as title, url, 'episode' as type from r""")
 def h3(s, d):
-    return web.extract_episodes(table(s, d, "pages"), link_re=r"^/[A-Za-z]", id_re=r"^/([^/?]+)").select("page_id", "pos", "id", "url")
+    # Any word may follow a number here, so that the pages have numbers to be found.
+    return web.extract_episodes(table(s, d, "pages"), link_re=r"^/[A-Za-z]", id_re=r"^/([^/?]+)", word_re="[a-z]+")
 
 
 @query("h5_dedupe_by_id", "select id, page_id from (select *, row_number() over (partition by id order by page_id) as k from (select page_id, split_part(url, '/', 3) as id from pages)) where k = 1")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cueforge.functions.text import ZHT_DROPPED
 from cueforge.plans import pipelines
-from cueforge.plans.q_cues import MERGED as _MERGED_SQL, _two_tracks, _upper
+from cueforge.plans.q_cues import KEPT, MERGED as _MERGED_SQL, _digest, _two_tracks, _upper
 from cueforge.plans.registry import query, table
 from cueforge.plans.stand_ins import EV, WORDS, cues, glosses, lexicon, scratch
 from cueforge.streaming import jobs
@@ -21,36 +24,53 @@ def p1(s, d):
 def _lines(s, d):
     g = glosses(s, d)
     begin = F.col("line_no") * 4000
-    return g.select("track_id", "line_no", begin.alias("begin_ms"), (begin + 900).alias("end_ms"), F.lit("【字】x").alias("zht"), "pairs_raw")
+    return g.select("track_id", "line_no", begin.alias("begin_ms"), (begin + 900).alias("end_ms"), F.concat(F.lit("【字】x"), F.translate(F.array_join("w", " "), ZHT_DROPPED, "")).alias("zht"), "pairs_raw")
 
 
-@query("p2_prepare_episode_base", f"""with {WORDS}, t as (select track_id, line_no, w, line_no * 4000 as b, least(line_no * 4000 + 60900, coalesce(lead(line_no) over (partition by track_id order by line_no) * 4000 - 1, line_no * 4000 + 60900)) as e from gl)
-    select track_id, line_no, b // 30000 as chunk_no, b % 30000 as begin_ms, b % 30000 + e - b as end_ms, '字' as zht from t where length(w[1]) % 4 <> 3 or length(w[4]) % 4 <> 3""")
+@query("p2_prepare_episode_base", f"""with {KEPT}, t as (select track_id, line_no, line_no * 4000 as b, least(line_no * 4000 + 60900, coalesce(lead(line_no) over (partition by track_id order by line_no) * 4000 - 1, line_no * 4000 + 60900)) as e,
+      regexp_replace('字' || translate(coalesce(array_to_string(w, ' '), ''), '{ZHT_DROPPED}', ''), '^\\s+|\\s+$', '', 'g') as zht from gl)
+    select track_id, t.line_no, b // 30000 as chunk_no, b % 30000 as begin_ms, b % 30000 + e - b as end_ms, md5(zht) as digest, '[' || coalesce(kept, '') || ']' as pairs_raw
+    from t left join kp on t.line_no = kp.line_no where kept is not null or n is null""")
 def p2(s, d):
+    rows, _ = _prepared(s, d, lexicon(s, d))
+    return rows.where("line_no is not null").select("track_id", "line_no", "chunk_no", "begin_ms", "end_ms", F.md5(F.col("zht").cast("binary")).alias("digest"), "pairs_raw")
+
+
+def _prepared(s, d, known):
     lines = _lines(s, d)
     long = lines.groupBy("track_id").agg((F.max("begin_ms") + 4000).alias("duration_ms"))
-    rows, _ = pipelines.prepare_episode_base(lines, lexicon(s, d), long)
-    return rows.where("line_no is not null").select("track_id", "line_no", "chunk_no", "begin_ms", "end_ms", "zht")
+    return pipelines.prepare_episode_base(lines, known, long)
 
 
-@query("p3_vocabulary_totals", f"with {WORDS}, x as (select w[1] as word from gl union all select w[4] from gl) select count(*) as total, count(distinct word) as words from x")
+@query("p2_new_entries", f"""with {WORDS}, r as (select *, row_number() over (partition by word order by track_id, line_no, pos) as k from it)
+    select word, pinyin, translation, 1 as confidence_level from r where k = 1 and length(word) > 7""")
+def p2_entries(s, d):
+    return _prepared(s, d, lexicon(s, d).where("length(word) <= 7"))[1]
+
+
+@query("p3_vocabulary_totals", f"with {WORDS} select count(*) as total, count(distinct word) as words from it")
 def p3(s, d):
     return pipelines.vocabulary_report(glosses(s, d))[1]
 
 
+@query("p3_vocabulary_counts", f"with {WORDS} select word, count(*) as n from it group by word")
+def p3_counts(s, d):
+    return pipelines.vocabulary_report(glosses(s, d))[0]
+
+
 def _gloss(text: str) -> str:
-    return f'["{text.split()[0]} (x): y"]' if '"' not in text else "[]"
+    word = re.search("[A-Za-z0-9]+", text)
+    return f'["{word[0]} (x): y"]' if word else "[]"
 
 
 @query("p4_text_study_base", r"""with x as (select conv_id, turn, generate_subscripts(string_split(text, chr(10)), 1) as n, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') as value from conversations),
-    y as (select *, string_split(value, ' ')[1] as w from x where regexp_matches(value, '[éèêçñüß]') and not contains(value, '"') and not contains(value, '(') and not contains(value, ':'))
-    select conv_id, turn, n, md5(value) as digest, '["' || w || ' (x): y"]' as pairs_raw from y where length(w) <> 5""")
+    y as (select *, regexp_extract(value, '[A-Za-z0-9]+') as w from x where regexp_matches(value, '[éèêçñüß]'))
+    select conv_id, turn, n, md5(value) as digest, case when w = '' then '[]' else '["' || w || ' (x): y"]' end as pairs_raw, sha256(value) as translation from y where length(w) <> 5""")
 def p4(s, d):
     lines = table(s, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("n", "value")).withColumn("n", F.col("n").cast("long") + 1)
-    lines = lines.where(~F.col("value").rlike(r'["(:]'))
-    known = lines.select(F.split(F.trim("value"), " ")[0].alias("word")).where("length(word) = 5").distinct().withColumns({"confidence_level": F.lit("3")})
-    out = pipelines.text_study_base(lines, _gloss, _upper, known, "[éèêçñüß]", ("conv_id", "turn", "n"))
-    return out.select("conv_id", "turn", "n", F.md5(F.col("value").cast("binary")).alias("digest"), "pairs_raw")
+    known = lines.select(F.regexp_extract("value", "[A-Za-z0-9]+", 0).alias("word")).where("length(word) = 5").distinct().withColumns({"confidence_level": F.lit("3")})
+    out = pipelines.text_study_base(lines, _gloss, _digest, known, "[éèêçñüß]", ("conv_id", "turn", "n"))
+    return out.select("conv_id", "turn", "n", F.md5(F.col("value").cast("binary")).alias("digest"), "pairs_raw", "translation")
 
 
 @query("p5_vtt_to_srt", f"""with {EV}, n as (select *, row_number() over (partition by track_id order by pos) as k, begin_ms % 3600000 as b from ev)
@@ -76,46 +96,57 @@ def p7(s, d):
     return pipelines.translate_track(e, e.where("pos % 4 = 0"), _upper)
 
 
-def _streamed(s, d, df: DataFrame) -> DataFrame:
-    """``df`` as a stream of its Parquet files."""
+#: Parts of the input in order of time, and files of each: what a stream of files over time looks like.
+_PARTS, _FILES = 4, 4
+
+
+def _streamed(s, df: DataFrame, time: str, key: str) -> DataFrame:
+    """``df`` as a stream of files that come in ``_PARTS`` steps of ``time``, each as files dealt by ``key``; every micro-batch takes the files of a step at most."""
     path = scratch(s, "stream-in")
-    df.write.parquet(path)
-    return s.readStream.schema(df.schema).parquet(path)
+    low, high = df.agg(F.min(time), F.max(time)).first()
+    step = [low + (high - low) * k / _PARTS for k in range(_PARTS)] if low is not None else [None]
+    step = [int(x) if isinstance(low, int) else x for x in step if x is not None]
+    for k, begin in enumerate(step):
+        part = df.where(F.col(time) >= F.lit(begin)) if k + 1 == len(step) else df.where((F.col(time) >= F.lit(begin)) & (F.col(time) < F.lit(step[k + 1])))
+        part.repartition(_FILES, key).write.parquet(f"{path}/{k}")
+    if not step:
+        df.write.parquet(f"{path}/0")
+    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", _FILES).parquet(f"{path}/*")
 
 
 def _drained(s, stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream writes until its input is used up."""
+    """What a stream writes until its input is used up; of a complete result what the last batch has."""
     out, marks = scratch(s, "stream-out"), scratch(s, "stream-marks")
     if mode == "append":
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    else:
-        stream.writeStream.foreachBatch(lambda b, k: b.write.mode("overwrite").parquet(f"{out}/{k:06d}")).option("checkpointLocation", marks).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-        out = f"{out}/*"
+        return s.read.parquet(out)
+    stream.writeStream.foreachBatch(lambda b, k: b.write.mode("overwrite").parquet(out)).option("checkpointLocation", marks).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(out)
 
 
 @query("s1_stream_new_cues", f"with {EV} select distinct track_id, begin_ms from ev")
 def s1(s, d):
-    return _drained(s, jobs.stream_new_cues(_streamed(s, d, cues(s, d).coalesce(1))), "append").select("track_id", "begin_ms")
+    return _drained(s, jobs.stream_new_cues(_streamed(s, cues(s, d), "begin_ms", "track_id")), "append").select("track_id", "begin_ms")
 
 
-@query("s2_stream_word_counts", f"with {WORDS} select word, count(*) as n from (select w[1] as word from gl union all select w[4] from gl) group by word")
+@query("s2_stream_word_counts", f"with {WORDS} select word, count(*) as n from it group by word")
 def s2(s, d):
-    return _drained(s, jobs.stream_word_counts(_streamed(s, d, glosses(s, d).select("pairs_raw").coalesce(1))), "complete")
+    return _drained(s, jobs.stream_word_counts(_streamed(s, glosses(s, d).select("line_no", "pairs_raw"), "line_no", "line_no")), "complete")
 
 
+def _timed(s, d, name: str) -> DataFrame:
+    e = table(s, d, "events").select(F.col("event_type").alias(name), "user_id", "ts")
+    return e.withColumn("ts", F.timestamp_millis(F.expr("timestampdiff(MILLISECOND, timestamp_ntz '1970-01-01 00:00:00', ts)")))
+
+
+#: Files of a step come in any order, so the watermark allows for the length of two steps.
 @query("s3_stream_chunks", """with x as (select event_type as track_id, time_bucket(interval '1 hour', ts) as b, count(*) as cues from events group by 1, 2)
-    select track_id, epoch_ms(b) // 1000 as chunk_start_s, cues from x where b + interval '1 hour' <= (select max(ts) - interval '1 minute' from events)""")
+    select track_id, epoch_ms(b) // 1000 as chunk_start_s, cues from x where b + interval '1 hour' <= (select max(ts) - interval '15 days' from events)""")
 def s3(s, d):
-    e = table(s, d, "events").select(F.col("event_type").alias("track_id"), "ts").coalesce(1)
-    utc = e.withColumn("ts", F.timestamp_millis(F.expr("timestampdiff(MILLISECOND, timestamp_ntz '1970-01-01 00:00:00', ts)")))
-    out = _drained(s, jobs.stream_chunks(_streamed(s, d, utc), 3_600_000, "1 minute"), "append")
+    out = _drained(s, jobs.stream_chunks(_streamed(s, _timed(s, d, "track_id"), "ts", "user_id"), 3_600_000, "15 days"), "append")
     return out.select("track_id", F.unix_seconds("chunk_start").alias("chunk_start_s"), "cues")
 
 
-@query("s4_stream_dedupe", "select distinct event_type as id from events")
+@query("s4_stream_dedupe", "select distinct user_id as id from events")
 def s4(s, d):
-    e = table(s, d, "events").select(F.col("event_type").alias("id"), "ts").coalesce(1)
-    utc = e.withColumn("ts", F.timestamp_millis(F.expr("timestampdiff(MILLISECOND, timestamp_ntz '1970-01-01 00:00:00', ts)")))
-    return _drained(s, jobs.stream_dedupe(_streamed(s, d, utc), "id", "3650 days"), "append").select("id")
-
+    return _drained(s, jobs.stream_dedupe(_streamed(s, _timed(s, d, "kind").withColumnRenamed("user_id", "id"), "ts", "kind"), "id", "3650 days"), "append").select("id")

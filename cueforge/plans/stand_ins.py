@@ -21,25 +21,27 @@ def cues(spark: SparkSession, d: str) -> DataFrame:
     return e.select("track_id", "pos", "begin_ms", (F.col("begin_ms") + F.col("_n")).alias("end_ms"), "text")
 
 
-#: Words of documents without marks; glosses of the first six words.
-WORDS = r"""wd as (select doc_id, source, w from (select doc_id, source,
-    string_split(trim(regexp_replace(translate(text, '"()[]:,\|{}', ''), '\s+', ' ', 'g')), ' ') as w from documents) where len(w) >= 6),
-  gl as (select source as track_id, doc_id as line_no, w, '["' || w[1] || ' (' || w[2] || '): ' || w[3] || '", "' || w[4] || ' (' || w[5] || '): ' || w[6] || '"]' as pairs_raw from wd)"""
+#: All words of every document (``wd``), a line for each document with one gloss for every three words (``gl``), the glosses
+#: one by one (``it``), and the first of each word in a line (``fi``). A hundred documents are a track.
+WORDS = r"""wd as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),
+  gs as (select cast(doc_id // 100 as varchar) as track_id, doc_id as line_no, w, list_transform(range(0, (len(w) + 2) // 3), lambda i: {'pos': cast(i as integer), 'word': w[3 * i + 1], 'pinyin': coalesce(w[3 * i + 2], 'x'), 'translation': coalesce(w[3 * i + 3], 'y')}) as g from wd),
+  gl as (select track_id, line_no, w, '[' || coalesce(array_to_string(list_transform(g, lambda x: '"' || x.word || ' (' || x.pinyin || '): ' || x.translation || '"'), ', '), '') || ']' as pairs_raw from gs),
+  it as (select track_id, line_no, x.pos, x.word, x.pinyin, x.translation from (select track_id, line_no, unnest(g) as x from gs)),
+  fi as (select line_no, word, min_by(pinyin, pos) as pinyin, min_by(translation, pos) as translation from it group by line_no, word)"""
 
 
 def glosses(spark: SparkSession, d: str) -> DataFrame:
-    clean = F.trim(F.regexp_replace(F.translate("text", '"()[]:,\\|{}', ""), r"\s+", " "))
-    w = table(spark, d, "documents").select(F.col("source").alias("track_id"), F.col("doc_id").alias("line_no"), F.split(clean, " ").alias("w")).where("size(w) >= 6")
-    item = lambda a: F.format_string('"%s (%s): %s"', *(F.get("w", F.lit(a + k)) for k in range(3)))
-    return w.withColumn("pairs_raw", F.concat(F.lit("["), item(0), F.lit(", "), item(3), F.lit("]")))
-
-
-#: Distinct first and fourth words with a confidence by length.
-LEXICON = "lx as (select distinct word, length(word) % 4 as confidence_level from (select w[1] as word from wd union all select w[4] from wd))"
+    """Rows (track_id, line_no, w, pairs_raw) of all documents: every word, and one gloss for every three."""
+    w = F.expr(r"filter(split(coalesce(text, ''), '[^\\p{L}\\p{N}]+'), x -> x <> '')")
+    item = "concat('\"', v[3 * i], ' (', coalesce(get(v, 3 * i + 1), 'x'), '): ', coalesce(get(v, 3 * i + 2), 'y'), '\"')"
+    places = "if(size(v) = 0, cast(array() as array<int>), sequence(0, cast((size(v) - 1) div 3 as int)))"
+    g = table(spark, d, "documents").select(F.expr("cast(doc_id div 100 as string)").alias("track_id"), F.col("doc_id").alias("line_no"), w.alias("w"))
+    return g.withColumn("pairs_raw", F.expr(f"element_at(transform(array(w), v -> concat('[', array_join(transform({places}, i -> {item}), ', '), ']')), 1)"))
 
 
 def lexicon(spark: SparkSession, d: str) -> DataFrame:
-    g = glosses(spark, d).select(F.explode(F.array(F.col("w")[0], F.col("w")[3])).alias("word")).distinct()
+    """Every word that heads a gloss, with a confidence by its length."""
+    g = glosses(spark, d).select(F.explode_outer(F.expr("filter(w, (x, i) -> i % 3 = 0)")).alias("word")).where("word is not null").distinct()
     return g.select("word", F.lit("").alias("pinyin"), F.lit("").alias("translation"), (F.length("word") % 4).alias("confidence_level"))
 
 

@@ -83,9 +83,10 @@ def read_ttml(spark: SparkSession, path: str) -> DataFrame:
 def parse_base_lines(lines: DataFrame, min_columns: int = 4, dedupe: str | None = "last") -> DataFrame:
     """Base rows of ``lines(track_id, line_no, value)``.
 
-    Six columns or more are the new layout, four or five the old one (no end: 3 s). ``N/A`` becomes
-    empty, one outer ``（…）`` goes; rows without Chinese text or times drop; the shortest duration is 0.5 s. Of
-    rows with the same begin the last line stays (``dedupe`` 'first', or None for all).
+    Six columns or more are the new layout, four or five the old one; without an end, or with one that
+    isn't a time, a row lasts 3 s. ``N/A`` becomes empty, one outer ``（…）`` goes; rows without Chinese text or a begin
+    drop; the shortest duration is 0.5 s. Of rows with the same begin the last line stays (``dedupe`` 'first', or
+    None for all). Empty columns at the end of a line count: lines aren't stripped before they are split.
     """
     p = F.split("value", "\t")
     n = F.size(p)
@@ -96,7 +97,7 @@ def parse_base_lines(lines: DataFrame, min_columns: int = 4, dedupe: str | None
     zht = F.regexp_replace(zht, r"(?s)^（(.*)）$", "$1")
     blank = lambda c: F.when(trim_all(c) == "N/A", "").otherwise(F.coalesce(trim_all(c), F.lit("")))
     begin = secs_to_ms(at(1))
-    end = F.when(new, secs_to_ms(at(2))).otherwise(begin + 3000)
+    end = F.coalesce(F.when(new, secs_to_ms(at(2))), begin + 3000)
     out = lines.where(n >= min_columns).select("track_id", "line_no", trim_all(at(0)).try_cast("int").alias("idx"), begin.alias("begin_ms"), F.greatest(end, begin + 500).alias("end_ms"), zht.alias("zht"), blank(F.when(new, at(4)).otherwise(at(3))).alias("pairs_raw"), blank(F.when(new, at(5)).otherwise(at(4))).alias("pt"), layout.alias("layout"))
     out = out.where("begin_ms is not null and end_ms is not null and zht <> '' and zht <> 'N/A'")
     if dedupe is None:
@@ -117,6 +118,13 @@ def read_base(spark: SparkSession, path: str, min_columns: int = 4, dedupe: str
     return parse_base_lines(read_lines(spark, path), min_columns, dedupe)
 
 
+def read_text_base(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (track_id, line_no, value, pairs_raw, translation) of study tables without times; missing columns are empty."""
+    p = F.split("value", "\t")
+    at = lambda k: F.coalesce(trim_all(F.get(p, F.lit(k))), F.lit(""))
+    return read_lines(spark, path).select("track_id", "line_no", at(0).alias("value"), at(1).alias("pairs_raw"), at(2).alias("translation")).where("value <> ''")
+
+
 def read_with_encoding(spark: SparkSession, path: str) -> DataFrame:
     """Rows (track_id, encoding, text): UTF-8 if valid, else Latin-1; a byte order mark goes."""
     f = spark.read.format("binaryFile").load(path)

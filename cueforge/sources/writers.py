@@ -28,8 +28,9 @@ def _field(c: str) -> Column:
 
 
 def base_line(df: DataFrame) -> Column:
-    """The six-column line of a base row, safe against tabs and line ends."""
-    return F.concat_ws("\t", F.col("idx").cast("string"), ms_to_secs("begin_ms"), ms_to_secs("end_ms"), _field("zht"), _field("pairs_raw"), _field("pt"))
+    """The six-column line of a base row, safe against tabs and line ends; nulls are empty columns."""
+    known = lambda c: F.coalesce(c, F.lit(""))
+    return F.concat_ws("\t", known(F.col("idx").cast("string")), known(ms_to_secs("begin_ms")), known(ms_to_secs("end_ms")), _field("zht"), _field("pairs_raw"), _field("pt"))
 
 
 def render_base(df: DataFrame, track: str = "track_id", order: str = "line_no") -> DataFrame:
@@ -37,6 +38,22 @@ def render_base(df: DataFrame, track: str = "track_id", order: str = "line_no")
     return _joined(df, track, order, base_line(df), "\n")
 
 
+def render_chunk_base(df: DataFrame, track: str = "track_id", chunk: str = "chunk_no") -> DataFrame:
+    """Rows (track_id, chunk_no, content): the base lines of each chunk in order of begin, numbered from 1.
+
+    ``df`` has the rows of ``rebase_chunk_times``; chunks without lines have no file.
+    """
+    w = Window.partitionBy(track, chunk).orderBy("begin_ms", "line_no")
+    lines = df.where("begin_ms is not null").withColumn("idx", F.row_number().over(w))
+    e = lines.select(F.col(track).alias("track_id"), F.col(chunk).alias("chunk_no"), F.struct("idx", base_line(lines).alias("b")).alias("x"))
+    return e.groupBy("track_id", "chunk_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]), "\n").alias("content"))
+
+
+def render_text_base(df: DataFrame, track: str = "track_id", order: str = "line_no") -> DataFrame:
+    """Rows (track_id, content): study lines without times (text, glosses, translation)."""
+    return _joined(df, track, order, F.concat_ws("\t", _field("value"), _field("pairs_raw"), _field("translation")), "\n")
+
+
 def _escaped(c: str) -> Column:
     out = F.col(c)
     for char, name in (("&", "amp"), ("<", "lt"), (">", "gt")):
@@ -65,6 +82,16 @@ def write_base(df: DataFrame, path: str) -> None:
     _store(render_base(df), path)
 
 
+def write_chunk_base(df: DataFrame, path: str) -> None:
+    """Base files, a folder for each track and chunk."""
+    render_chunk_base(df).select("track_id", "chunk_no", F.col("content").alias("value")).write.mode("overwrite").partitionBy("track_id", "chunk_no").option("lineSep", "\n").text(path)
+
+
+def write_text_base(df: DataFrame, path: str) -> None:
+    """Study files without times, a folder for each track."""
+    _store(render_text_base(df), path)
+
+
 def write_ttml_secs(df: DataFrame, path: str) -> None:
     """TTML files, a folder for each track."""
     _store(render_ttml_secs(df), path)

@@ -122,3 +122,19 @@ def test_word_spans(spark):
 def test_pairs_column(spark):
     df = spark.createDataFrame([("a", 1, "1\tx\ty"), ("a", 2, f"1\tx\t{SAMPLE}"), ("a", 3, f"{SAMPLE}\tx")], "track_id string, line_no int, value string")
     assert [tuple(r) for r in P.find_pairs_column(df).collect()] == [("a", 2)]
+
+
+def test_items_of_other_shapes(spark):
+    got = spark.createDataFrame([('["三(sān)", " x y", "(a) b", "a b (c): d", "w (p): t"]',)], "s string").select(P.parse_pairs("s").alias("p")).first().p
+    assert [tuple(x) for x in got] == [("三", "", ""), ("a", "", ""), ("w", "p", "t")]
+
+
+def test_long_lines(spark):
+    words = [f"w{i % 50}" for i in range(20_000)]
+    row = spark.createDataFrame([(" ".join(words), words, "[" + ", ".join(f'"{w}"' for w in words) + "]")], "t string, w array<string>, j string")
+    got = row.select(T.balance_two_lines("w").alias("b"), F.length(P.keep_json_string_list("j")).alias("n")).first()
+    assert len(got.b) == 2 and "".join(got.b) == "".join(words) and abs(len(got.b[0]) - len(got.b[1])) < 12 and got.n == len(row.first().j) - 19_999
+    spans = P.word_spans(row.select("t", F.lit('["w1 (x): y"]').alias("p")), "t", "p")
+    starts = sorted(r.span_start for r in spans.collect())
+    line = " ".join(words)
+    assert starts == [i for i in range(len(line)) if line.startswith("w1", i)]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cueforge.functions.pairs import PAIR
 from cueforge.operators import align, catalog, dedup, frames, playlist, quality, resume, retime, sanitize, translate, vocab, web
 from cueforge.plans import pipelines
+from cueforge.sources import readers
 
 CUE = "track_id string, pos int, begin_ms long, end_ms long, text string"
 
@@ -258,3 +259,41 @@ def test_pipelines(spark):
     assert got == [(1, "你 好", "[你 好]", "oi"), (2, "嗎", "[嗎]", "N/A")]
     done = spark.createDataFrame([("a", 0)], "track_id string, begin_ms long")
     assert rows(pipelines.translate_track(zht, done, str.upper), "begin_ms", "text") == [(5000, "嗎")]
+
+
+def test_episode_titles_and_headings(spark):
+    html = '<h2>7. Capítulo</h2><a href="/v/1/?s=0s">x</a><h3>8. other</h3><a href="/v/2/?s=0s">Capítulo de 01/02/2024</a>'
+    got = rows(web.extract_episodes(spark.createDataFrame([(1, html)], "page_id long, html string")), "pos", "episode_number", "chapter_date", "title")
+    assert got == [(0, "7", "Capítulo 1", "Episódio 7"), (1, "2", "01/02/2024", "Episódio 2, 01/02/2024")]
+
+
+def test_rename_plan_never_gives_a_name_twice(spark):
+    names = ["5.png", "05.png", "7.png", "0007.png", "x.png"]
+    got = {r.name: r.status for r in catalog.rename_plan(spark.createDataFrame([("f", n) for n in names], "folder string, name string")).collect()}
+    assert got == {"05.png": "renamed", "5.png": "exists", "7.png": "exists", "0007.png": "right", "x.png": "invalid"}
+
+
+@pytest.mark.parametrize("bound", [0, 20_000])
+def test_phrases_of_any_length(spark, bound, monkeypatch):
+    monkeypatch.setattr(translate, "BROADCAST_PHRASES", bound)
+    phrases = ["a", "bc", "def", "ghij", "klmnop", "qrstuvwx", "qrstuvwxyz", "😀é"]
+    texts = [None, "", "zz", "xa", "bcx", "\ndef", "ghijklmnop", "..qrstuvwxyz..", "qrstuvwx", "z😀é z"]
+    d = spark.createDataFrame([(len(phrases) - i, p, p.upper()) for i, p in enumerate(phrases)], "dict_order int, phrase string, translation string")
+    got = {r.text: r.translation for r in translate.translate_by_dictionary(spark.createDataFrame([(t,) for t in texts], "text string"), d).collect()}
+    for t in texts:
+        hits = sorted((t != p, len(phrases) - i, p) for i, p in enumerate(phrases) if t and p in t)
+        assert got[t] == (None if t is None else hits[0][2].upper() if hits else f"[Traduzir: {t}]")
+
+
+def test_filter_known_words_keeps_other_columns(spark):
+    pairs = lambda *w: [(x, "p", "t") for x in w]
+    df = spark.createDataFrame([(1, "a", pairs("x", "y")), (2, "b", pairs("x")), (3, "c", []), (4, None, pairs("y", "", "y")), (5, "e", None), (6, "f", pairs(" "))], "k int, note string, pairs array<struct<word:string,pinyin:string,translation:string>>")
+    lexicon = spark.createDataFrame([("x", "3"), ("y", "1"), ("y", "abc")], "word string, confidence_level string")
+    got = {r.k: (r.note, None if r.pairs is None else [p.word for p in r.pairs]) for r in sanitize.filter_known_words(df, lexicon, ["k"]).collect()}
+    assert got == {1: ("a", ["y"]), 3: ("c", []), 4: (None, ["y", "y"]), 5: ("e", None)}
+
+
+def test_base_rows_without_an_end(spark):
+    lines = [("t", 1, "1\t1.0s\tx\t字\tN/A\tp"), ("t", 2, "2\t9.0s\t9.1s\t（字）\t[]\t"), ("t", 3, "3\tbad\t9.1s\t字\t[]\tp")]
+    got = rows(readers.parse_base_lines(spark.createDataFrame(lines, "track_id string, line_no int, value string")), "begin_ms", "end_ms", "zht", "pt", "layout")
+    assert got == [(1000, 4000, "字", "p", "new"), (9000, 9500, "字", "", "new")]

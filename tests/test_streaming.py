@@ -1,5 +1,7 @@
 """Streams give what the batch gives."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from cueforge.streaming import jobs
@@ -14,13 +16,15 @@ def drain(df, tmp_path, mode="append"):
 def source(spark, tmp_path, batches, schema):
     for k, b in enumerate(batches):
         spark.createDataFrame(b, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in" / "*"))
+        for f in (tmp_path / "in" / f"{k}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))  # files are read by age
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
 
 
 def test_new_cues(spark, tmp_path):
-    s = source(spark, tmp_path, [[("a", 0, 100), ("a", 1, 200)], [("a", 2, 150), ("a", 3, 300)]], "track_id string, pos int, begin_ms long")
-    got = {r.begin_ms for r in drain(jobs.stream_new_cues(s), tmp_path).collect()}
-    assert got in ({100, 200, 300}, {150, 300})  # by the order in which the files come
+    s = source(spark, tmp_path, [[("a", 0, 100), ("a", 1, 200)], [("a", 2, 150), ("a", 3, 300), ("b", 0, 50)], [("a", 4, 300), ("b", 1, 60)]], "track_id string, pos int, begin_ms long")
+    got = sorted((r.track_id, r.begin_ms) for r in drain(jobs.stream_new_cues(s), tmp_path).collect())
+    assert got == [("a", 100), ("a", 200), ("a", 300), ("b", 50), ("b", 60)]
 
 
 def test_word_counts(spark, tmp_path):
