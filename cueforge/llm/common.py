@@ -11,11 +11,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are cut into slices of about this many bytes, so that a Python worker's memory has a bound.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +39,34 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote and that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def hash_limit(bound: int, n: int) -> int:
+    """Below this value are the 63-bit hashes of ``bound`` of ``n`` rows."""
+    return bound * (1 << 63) // max(n, bound, 1) if n > bound else (1 << 63) - 1
+
+
+def drawn(rows: DataFrame, bound: int, n: int, key: Column, salt: str) -> DataFrame:
+    """About ``bound`` of the ``n`` rows, drawn by a 63-bit hash of ``key``; all if they are no more."""
+    if n <= bound:
+        return rows
+    return rows.where(F.xxhash64(key, F.lit(salt)).bitwiseAND(F.lit((1 << 63) - 1)) < F.lit(hash_limit(bound, n)))
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts (one narrow aggregate over the column)."""
     return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0

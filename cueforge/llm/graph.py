@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueforge.llm.common import materialize
+from cueforge.llm.common import discard, materialize
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
@@ -19,17 +19,20 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round attaches the larger neighbours of a node to its smallest one (large star), then
     the smaller ones (small star); a logarithmic number of rounds leaves one star per component.
     Every step is a join and a grouping; the edges never leave the executors, and each half
-    round is a table in the shared folder. Null ends and loops are ignored.
+    round is a table in the shared folder, removed when the next one is written. Null ends and loops are ignored.
     """
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = materialize(both.join(_least_neighbour(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        before = _least_neighbour(both)
+        large = materialize(both.join(before, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = _least_neighbour(large)
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        small = materialize(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(edges, before, large, least)
+        edges = small
         if now == state:
             break
         state = now
