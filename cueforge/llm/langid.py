@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cueforge.llm.common import slices
+from cueforge.llm.common import drawn, slices
 
 DIM = 1024
+#: Grid of a document's unit vector in the sums.
+UNIT = 1 << 36
 GRAM = 3
 #: Texts bundled at once; the n-gram counts of so many are one matrix.
 BUNDLE = 192
@@ -104,7 +106,8 @@ class Profiles:
             return ["und"] * len(texts), np.zeros(len(texts))
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) - self.mean
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        cos = v @ self.rows.T
+        # Row by row: a matrix product's last bits depend on how many texts are scored together.
+        cos = np.stack([(v * row).sum(axis=1) for row in self.rows], axis=1)
         best = cos.argmax(axis=1)
         score = np.where(letters > 0, np.clip((1 + cos[np.arange(len(texts)), best]) / 2, 0, 1), 0.0)
         return [self.names[k] if n else "und" for k, n in zip(best, letters, strict=True)], score
@@ -114,30 +117,30 @@ def fit(docs: DataFrame, bound: int = 20_000) -> Profiles:
     """Prototype of each language from at most about ``bound`` documents with a language, drawn by a hash of doc_id.
 
     A prototype is the sum of the unit vectors of its documents. Null languages and documents
-    without a letter take no part; with none left every prediction is 'und'. Languages are few: their
-    prototypes (8 kB each) are what the driver holds.
+    without a letter take no part; with none left every prediction is 'und'. The driver holds one prototype (8 kB) for
+    each language of the sample, at most ``bound``.
     """
     known = docs.where("lang is not null")
-    share = min(1.0, bound / max(known.count(), 1))
-    drawn = known.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit("lang")), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = drawn(known, bound, known.count(), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "lang")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch, limit=1 << 20):
                 v, letters = bundles(part.column("text").to_pylist())
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                # Whole numbers, so that sums are the same in any order.
+                v = np.rint(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) * UNIT).astype(np.int64)
                 lang = np.array(part.column("lang").to_pylist(), dtype=object)
                 for name in set(lang[letters > 0]):
                     sums[name] = sums.get(name, 0) + v[(lang == name) & (letters > 0)].sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([s.round(9).tolist() for s in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.int64()))], names=["lang", "v"])
 
-    parts = drawn.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "lang string, v array<double>")
-    flat = parts.select("lang", F.posexplode("v").alias("k", "x")).groupBy("lang", "k").agg(F.sum(F.col("x").cast("decimal(28,9)")).cast("double").alias("x"))
+    parts = sample.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "lang string, v array<long>")
+    flat = parts.select("lang", F.posexplode("v").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
     got = sorted(flat.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("v")).collect(), key=lambda r: r["lang"])
     if not got:
         return Profiles([], np.zeros(DIM), np.zeros((0, DIM)))
-    rows_ = np.array([[x["x"] for x in r["v"]] for r in got])
+    rows_ = np.array([[x["x"] for x in r["v"]] for r in got], float)
     rows_ /= np.maximum(np.linalg.norm(rows_, axis=1, keepdims=True), 1e-12)
     mean = rows_.mean(axis=0) if len(got) > 1 else np.zeros(DIM)
     rows_ = rows_ - mean
@@ -148,7 +151,8 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """Rows (doc_id, lang_pred, score), one per document, from every letter of the whole text.
 
     score is the cosine to the best prototype moved to 0..1; a null text or one without a letter
-    is 'und' with score 0. Ties go to the first language by name.
+    is 'und' with score 0. Ties go to the first language by name. Rows are independent: repeated rows give repeated
+    results, an empty table none, and how the rows are partitioned changes no bit of a score.
     """
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
