@@ -11,14 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cueforge.llm.common import slices, split_words
+from cueforge.llm.common import drawn, hash_words, slices, split_words
 
 #: Words of a passage.
 PASSAGE = 64
 #: Classes of bytes whose shares describe a passage.
 CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,", b"!?", b"|", b"#$%&*@^~", b"<>{}[]()=/\\", b"-_+:;'\"`", b"\n\r")
 SHAPES = ("words", "mean_length", "long_words", "short_words", "distinct", "top_word", "repeat_next", "ends_marked")
-N = len(CLASSES) + 2 + len(SHAPES)
+#: Buckets into which a passage's words are hashed.
+BUCKETS = 32
+PLAIN = len(CLASSES) + 2 + len(SHAPES)
+N = PLAIN + BUCKETS
 
 _CLASS = np.full(256, len(CLASSES), np.uint8)
 for _k, _c in enumerate(CLASSES):
@@ -63,7 +66,9 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     np.maximum.at(most, owner, times)
     again = np.concatenate(([False], (code[1:] == code[:-1]) & (passage[1:] == passage[:-1])))
     last = kinds[np.maximum(edges[1:] - 1, 0)]
-    out[:, k:] = np.stack([np.minimum(held / PASSAGE, 1), per(size) / 10, per(size > 14), per(size <= 2), np.bincount(owner, minlength=n) / some, most / some, per(again), per((last > 2) & (last < len(CLASSES)))], axis=1)
+    bucket = (hash_words(coded.dictionary, 7) % np.uint64(BUCKETS)).astype(np.int64)[code]
+    out[:, PLAIN:] = np.sqrt(np.bincount(passage * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS) / some[:, None])
+    out[:, k:PLAIN] = np.stack([np.minimum(held / PASSAGE, 1), per(size) / 10, per(size > 14), per(size <= 2), np.bincount(owner, minlength=n) / some, most / some, per(again), per((last > 2) & (last < len(CLASSES)))], axis=1)
     return out, first
 
 
@@ -134,10 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 12_000) -> AttentionMod
     (every score one half).
     """
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
-    n = marks.count()
-    share = min(1.0, bound / max(n, 1))
-    marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000)) < int(share * 1_000_000))
-    drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marks, "doc_id").select("text", "quality")
+    marks = drawn(marks, bound, marks.count(), F.col("doc_id"), "quality")
+    bags = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marks, "doc_id").select("text", "quality")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 12_000) -> AttentionMod
                 yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array(own, pa.binary())], names=["quality", "x"])
 
     model = AttentionModel()
-    got = drawn.mapInArrow(rows, "quality int, x binary").collect()
+    got = bags.mapInArrow(rows, "quality int, x binary").collect()
     label = np.array([r["quality"] for r in got], float)
     if len(set(label.tolist())) < 2:
         return model
@@ -160,7 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 12_000) -> AttentionMod
 def score(docs: DataFrame, model: AttentionModel, out: str = "score") -> DataFrame:
     """``docs`` with ``out`` (0 to 1) from every passage of the whole text; null and empty texts too.
 
-    Rows are independent; give ``out`` another name where ``docs`` has a column of that name."""
+    Rows are independent: repeated rows give repeated results, an empty table none. A column named
+    ``out`` is replaced."""
+    docs = docs.drop(out)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
     text = docs.columns.index("text")
 
