@@ -50,17 +50,19 @@ _BLOCK = 256
 def _occurrences(text: str, regex: str, guard: list[str]) -> str:
     """SQL: array of (start, end, value, before, after) of the leftmost non-overlapping matches.
 
-    One pass marks the matches; the pieces between the marks give the places. Pieces are summed in
-    blocks, so the work stays near linear in texts with very many matches.
+    One pass marks the matches; the pieces between the marks give the places. The place goes from block to
+    block of pieces, so the work is linear in the matches.
     """
     quoted = regex.replace("\\", "\\\\").replace("'", "\\'")
     cut = f"split(regexp_replace(translate({text}, '\\u0001', '\\u0002'), '{quoted}', '\\u0001$0\\u0001'), '\\u0001')"
     item = "named_struct('start', a.at, 'end', a.at + length(x), 'value', x, 'before', right(p[a.k - 1], 30), 'after', left(p[a.k + 1], 1))"
-    empty = "cast(array() as array<struct<start: bigint, end: bigint, value: string, before: string, after: string>>)"
-    block = f"""aggregate(slice(p, b * {_BLOCK} + 1, {_BLOCK}),
-        named_struct('at', aggregate(slice(p, 1, b * {_BLOCK}), 0L, (s, x) -> s + length(x)), 'k', b * {_BLOCK}, 'out', {empty}),
-        (a, x) -> named_struct('at', a.at + length(x), 'k', a.k + 1, 'out', if(a.k % 2 = 1, array_append(a.out, {item}), a.out)), a -> a.out)"""
-    found = f"element_at(transform(array({cut}), p -> flatten(transform(sequence(0, (size(p) - 1) div {_BLOCK}), b -> {block}))), 1)"
+    span = "struct<start: bigint, end: bigint, value: string, before: string, after: string>"
+    empty = f"cast(array() as array<{span}>)"
+    block = f"""aggregate(slice(p, b * {_BLOCK} + 1, {_BLOCK}), named_struct('at', s.at, 'k', b * {_BLOCK}, 'out', {empty}),
+        (a, x) -> named_struct('at', a.at + length(x), 'k', a.k + 1, 'out', if(a.k % 2 = 1, array_append(a.out, {item}), a.out)))"""
+    blocks = f"""aggregate(sequence(0, (size(p) - 1) div {_BLOCK}), named_struct('at', 0L, 'outs', cast(array() as array<array<{span}>>)),
+        (s, b) -> element_at(transform(array({block}), r -> named_struct('at', r.at, 'outs', array_append(s.outs, r.out))), 1), s -> flatten(s.outs))"""
+    found = f"element_at(transform(array({cut}), p -> {blocks}), 1)"
     tried = " or ".join(f"instr({text}, '{g}') > 0" for g in guard) or "true"
     return f"if({tried}, {found}, {empty})"
 
@@ -207,20 +209,23 @@ def fit(docs: DataFrame, text: str = "text") -> SpanModel:
     return model
 
 
-def detect(docs: DataFrame, text: str = "text", model: SpanModel | None = None) -> DataFrame:
-    """``docs`` with ``spans``: array of (kind, start, end, base, score), by kind as listed, then start.
+def detect(docs: DataFrame, text: str = "text", model: SpanModel | None = None, out: str = "spans") -> DataFrame:
+    """``docs`` with ``out``: array of (kind, start, end, base, score), by kind as listed, then start.
 
     Places count code points, ends are exclusive. Base spans always stay; a further candidate
     stays if the classifier gives it over one half and it overlaps no span before it. Null and
-    empty texts have no spans. Rows are independent: repeated rows give repeated results.
+    empty texts have no spans. Rows are independent: repeated rows give repeated results, an empty table none. All
+    columns stay, but one named ``out`` is replaced.
     """
     model = fit(docs.select(text), text) if model is None else model
     scored = f"transform(_spans, x -> named_struct('rank', array_position(array({_list(' '.join(KINDS))}), x.kind), 'start', x.start, 'end', x.end, 'kind', x.kind, 'base', x.base, 'score', 1 / (1 + exp(-({model.sql('x')})))))"
     kept = f"array_sort(filter({scored}, x -> x.base or x.score > 0.5))"
-    out = candidates(docs, text).withColumn("_spans", F.expr(kept))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = candidates(docs.select(whole, F.col(f"`{text}`").cast("string").alias("text"))).withColumn("_spans", F.expr(kept))
     clear = "not exists(_spans, y -> not y.base and y.rank < x.rank and y.start < x.end and x.start < y.end)"
-    out = out.withColumn("_spans", F.expr(f"filter(_spans, x -> x.base or {clear})"))
-    return out.withColumn("spans", F.expr("transform(_spans, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'base', x.base, 'score', x.score))")).drop("_spans")
+    found = found.withColumn("_spans", F.expr(f"filter(_spans, x -> x.base or {clear})"))
+    told = F.expr("transform(_spans, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'base', x.base, 'score', x.score))").alias(out)
+    return found.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() != out.lower()], told)
 
 
 def span_list(spans: str) -> Column:
