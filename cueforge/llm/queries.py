@@ -81,13 +81,13 @@ QUERIES = {f.__name__: f for f in (op1_pii, op2_license_scan, op3_mixing, op4_la
 ORACLES = {
     "op5_exact_topk": """
         with v as (
-            select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
-            from embeddings where embedding is not null and len(embedding) > 0
+            select distinct vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+            from embeddings where vec_id is not null and embedding is not null and len(embedding) > 0
               and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-        s as (
-            select q.vec_id as query_id, c.vec_id as vec_id,
-                   cast(list_inner_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) as score
-            from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+        p as (
+            select q.vec_id as query_id, c.vec_id as vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: cast(q.v[i] as hugeint) * c.v[i])) as score
+            from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0),
+        s as (select distinct query_id, vec_id, cast(least(greatest(score, -9223372036854775808), 9223372036854775807) as bigint) as score from p),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
     "op9_substring_dedup": r"""
