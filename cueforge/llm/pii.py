@@ -50,19 +50,20 @@ _BLOCK = 256
 def _occurrences(text: str, regex: str, guard: list[str]) -> str:
     """SQL: array of (start, end, value, before, after) of the leftmost non-overlapping matches.
 
-    One pass marks the matches; the pieces between the marks give the places. The place goes from block to
-    block of pieces, so the work is linear in the matches.
+    One pass marks the matches; the pieces between the marks give the places. Pieces are summed by
+    block first, so the work is near linear in the matches.
     """
     quoted = regex.replace("\\", "\\\\").replace("'", "\\'")
     cut = f"split(regexp_replace(translate({text}, '\\u0001', '\\u0002'), '{quoted}', '\\u0001$0\\u0001'), '\\u0001')"
     item = "named_struct('start', a.at, 'end', a.at + length(x), 'value', x, 'before', right(p[a.k - 1], 30), 'after', left(p[a.k + 1], 1))"
     span = "struct<start: bigint, end: bigint, value: string, before: string, after: string>"
     empty = f"cast(array() as array<{span}>)"
-    block = f"""aggregate(slice(p, b * {_BLOCK} + 1, {_BLOCK}), named_struct('at', s.at, 'k', b * {_BLOCK}, 'out', {empty}),
-        (a, x) -> named_struct('at', a.at + length(x), 'k', a.k + 1, 'out', if(a.k % 2 = 1, array_append(a.out, {item}), a.out)))"""
-    blocks = f"""aggregate(sequence(0, (size(p) - 1) div {_BLOCK}), named_struct('at', 0L, 'outs', cast(array() as array<array<{span}>>)),
-        (s, b) -> element_at(transform(array({block}), r -> named_struct('at', r.at, 'outs', array_append(s.outs, r.out))), 1), s -> flatten(s.outs))"""
-    found = f"element_at(transform(array({cut}), p -> {blocks}), 1)"
+    blocks = f"sequence(0, (size(p) - 1) div {_BLOCK})"
+    own = f"slice(p, b * {_BLOCK} + 1, {_BLOCK})"
+    block = f"""aggregate({own}, named_struct('at', aggregate(slice(sums, 1, b), 0L, (s, x) -> s + x), 'k', b * {_BLOCK}, 'out', {empty}),
+        (a, x) -> named_struct('at', a.at + length(x), 'k', a.k + 1, 'out', if(a.k % 2 = 1, array_append(a.out, {item}), a.out)), a -> a.out)"""
+    sums = f"transform({blocks}, b -> aggregate({own}, 0L, (s, x) -> s + length(x)))"
+    found = f"element_at(transform(array({cut}), p -> element_at(transform(array({sums}), sums -> flatten(transform({blocks}, b -> {block}))), 1)), 1)"
     tried = " or ".join(f"instr({text}, '{g}') > 0" for g in guard) or "true"
     return f"if({tried}, {found}, {empty})"
 
@@ -99,7 +100,7 @@ _GAZETTEER = {
     "phone": f"if(exists(array({_list(CALLING_CODES)}), c -> startswith(ltrim('+', x.value), c)), 1, -1)",
     "secret": "if(lower(x.value) rlike '^(password|passwd|secret|api)', 1, 0)",
 }
-_REGEX = {k: f"if({v}, 1, 0)" for k, v in VALID.items()} | {"secret": "if(x.value rlike '=', 1, 0)"}
+_REGEX = {k: f"if({v}, 1, {-1 if k == 'card' else 0})" for k, v in VALID.items()} | {"secret": "if(x.value rlike '=', 1, 0)"}
 
 
 def _context(kind: str) -> str:
@@ -107,7 +108,8 @@ def _context(kind: str) -> str:
     return f"if(lower(x.before) rlike '({no})', -1, if(lower(x.before) rlike '({yes})', 1, 0))"
 
 
-_EDGE = "if(right(x.before, 1) rlike '[A-Za-z0-9_]' or x.after rlike '[A-Za-z0-9_]', -1, 1)"
+#: A span cut out of a longer word speaks against it; a whole word says nothing.
+_EDGE = "if(right(x.before, 1) rlike '[A-Za-z0-9_]' or x.after rlike '[A-Za-z0-9_]', -1, 0)"
 LABELERS = ("regex", "form", "gazetteer", "context", "edge")
 
 
