@@ -74,11 +74,12 @@ def segment_longest_match(text: Column | str, pairs: Column | str) -> Column:
     return bound(glosses, lambda g: F.transform(placed, lambda x: F.struct(x["text"].alias("text"), told(g, x, "pinyin"), told(g, x, "translation"))))
 
 
-#: SQL: starts of the word that parts ``_gaps``, summed in blocks so that the work is linear in the occurrences.
-_STARTS = """aggregate(sequence(0, greatest(size(_gaps) - 2, 0) div 256), named_struct('at', 0, 'outs', cast(array() as array<array<int>>)), (s, b) -> element_at(transform(array(
-    aggregate(slice(_gaps, cast(b * 256 as int) + 1, cast(least(256, size(_gaps) - 1 - b * 256) as int)), named_struct('at', s.at, 'out', cast(array() as array<int>)),
-        (a, x) -> named_struct('at', a.at + length(x) + length(word), 'out', array_append(a.out, a.at + length(x))))),
-    r -> named_struct('at', r.at, 'outs', array_append(s.outs, r.out))), 1), s -> flatten(s.outs))"""
+_BLOCK = "slice(_gaps, cast(b * 256 as int) + 1, cast(least(256, size(_gaps) - 1 - b * 256) as int))"
+_BLOCKS = "sequence(0, greatest(size(_gaps) - 2, 0) div 256)"
+#: SQL: starts of the word that parts ``_gaps``; gaps are summed by block first, so that the work is near linear in the occurrences.
+_STARTS = f"""element_at(transform(array(transform({_BLOCKS}, b -> aggregate({_BLOCK}, 0, (s, x) -> s + length(x) + length(word)))), sums -> flatten(transform({_BLOCKS}, b ->
+    aggregate({_BLOCK}, named_struct('at', aggregate(slice(sums, 1, cast(b as int)), 0, (s, x) -> s + x), 'out', cast(array() as array<int>)),
+        (a, x) -> named_struct('at', a.at + length(x) + length(word), 'out', array_append(a.out, a.at + length(x))), a -> a.out)))), 1)"""
 
 
 def word_spans(df: DataFrame, text: str, pairs: str) -> DataFrame:
