@@ -125,7 +125,7 @@ def test_pii_numbers_that_are_no_cards(spark):
     r = random.Random(8)
     numbers = [str(r.randrange(10**15, 10**16)) for _ in range(400)]
     mails = [f"{prose(r, 5)} write to a{i}@b{i}.com or +1 (555) 555-{1000 + i} {prose(r, 5)}" for i in range(200)]
-    docs = documents(spark, [f"{prose(r, 8)} {n} {prose(r, 8)}" for n in numbers] + mails)
+    docs = documents(spark, [f"the number {n} is here" for n in numbers] + mails)
     out = {x.doc_id: x.text for x in pii.redact(docs).collect()}
     assert all((n not in out[i]) == luhn(n) for i, n in enumerate(numbers))
 
