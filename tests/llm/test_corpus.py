@@ -138,16 +138,47 @@ def test_pii_weak_labels():
 # 2 licenses
 
 
-def test_license_scan(spark):
+def brute_licenses(text, templates, share=0.8):
+    """Best containment of each template piece in each text: any window as long as the piece."""
+    words = [x for x in (re.sub(r"^[^\w]+|[^\w]+$", "", w.lower()) for w in re.findall("[^\x20\x09-\x0d]+", text or "")) if x]
+    found = {}
+    for name, body in templates.items():
+        whole = [x for x in (re.sub(r"^[^\w]+|[^\w]+$", "", w.lower()) for w in body.split()) if x]
+        n = len(whole)
+        for k in range(max(1, -(-n // licenses.PIECE))):
+            first = max(0, min(k * licenses.PIECE, n - licenses.PIECE))
+            piece = whole[first : first + licenses.PIECE]
+            size, m = len(piece), min(licenses.SHINGLE, len(piece))
+            grams = lambda w, m=m: {tuple(w[i : i + m]) for i in range(len(w) - m + 1)}
+            want = grams(piece)
+            best = max((len(want & grams(words[i : i + size])) / len(want) for i in range(len(words) - size + 1)), default=0)
+            if best >= share:
+                found[name if n <= licenses.PIECE else f"{name}/{k + 1}"] = round(best, 6)
+    return found
+
+
+def test_license_scan_equals_brute_force(spark):
     r = random.Random(1)
-    apache = licenses.TEMPLATES["apache-notice"]
-    grant = licenses.TEMPLATES["mit-grant"]
-    changed = grant.replace("charge", "cost")
-    texts = [f"{prose(r, 40)} {apache} {prose(r, 10)} {apache.upper()}", f"{prose(r, 9)}\n{changed}", prose(r, 3000), None, "", "released under the", apache]
-    got = {(x.doc_id, x.template, x.first_word, round(x.containment, 2)) for x in licenses.scan(documents(spark, texts)).collect()}
-    assert {(0, "apache-notice", 40, 1.0), (0, "apache-notice", 57, 1.0), (6, "apache-notice", 0, 1.0)} <= got
-    assert {x[:3] for x in got if x[0] == 1} == {(1, "mit-grant", 9)}
-    assert {x[0] for x in got} == {0, 1, 6} and licenses.scan(empty(spark)).count() == 0
+    all_ = licenses.TEMPLATES
+    some = {k: all_[k] for k in ("mit", "apache-notice", "gpl-header", "cc-by-sa-4.0", "cc-by-nc-4.0-short", "zlib", "mpl-header")}
+    texts = [None, "", "released under the", "same " * 200, all_["apache-notice"], f"{all_['apache-notice']} {all_['apache-notice'].upper()}"]
+    for name in some:
+        w = all_[name].split()
+        texts += [f"{prose(r, 40)} {all_[name]} {prose(r, 20)}", " ".join(w[: len(w) * 2 // 3]) + " " + prose(r, 30)]
+        for at in r.sample(range(len(w)), min(3, len(w))):
+            w[at] = "changed"
+        texts.append(f"{prose(r, 5000 if name == 'mit' else 9)}\n{' '.join(w)}")
+    docs = documents(spark, [*texts, texts[-1]])
+    got = {}
+    for x in licenses.scan(docs.withColumn("template", F.lit(1)), some).collect():
+        got.setdefault(x.doc_id, {})[x.template] = max(round(x.containment, 6), got.get(x.doc_id, {}).get(x.template, 0))
+    want = {i: found for i, t in enumerate([*texts, texts[-1]]) if (found := brute_licenses(t, some))}
+    assert got == want
+    twice = sorted((x.first_word, x.end_word) for x in licenses.scan(docs.where("doc_id = 5"), {"apache-notice": all_["apache-notice"]}).collect())
+    assert twice == [(0, 7), (7, 14)]
+    assert licenses.scan(empty(spark)).count() == 0
+    names = {x.template for x in licenses.scan(documents(spark, [all_["mit"] + " " + all_["bsd"], "Licensed under CC BY-ND 3.0."])).collect()}
+    assert {"mit/1", "mit/2", "mit/3", "bsd/1", "bsd/5", "cc-by-nd-3.0-short"} <= names
 
 
 # 3 mixing
@@ -299,6 +330,19 @@ def brute_shingles(text, k=5):
     return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
+def test_shingles_of_sliced_texts():
+    import pyarrow as pa
+
+    r = random.Random(5)
+    texts = [prose(r, r.randint(0, 40)).title() for _ in range(50)] + [None, ""]
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, kind)], names=["text"])
+        sets = [s for part in common.slices(batch, limit=700) for s in neardup.shingle_sets(part.column("text"), 5)]
+        whole = neardup.shingle_sets(batch.column("text"), 5)
+        assert [len(s) for s in sets] == [len(brute_shingles(t)) for t in texts]
+        assert all(a.tolist() == b.tolist() for a, b in zip(sets, whole, strict=True))
+
+
 @pytest.mark.parametrize("small", [0, 8])
 def test_near_copies_equal_brute_force(spark, small, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", small)
