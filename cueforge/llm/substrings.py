@@ -119,7 +119,8 @@ def _spread(doc: np.ndarray, at: np.ndarray, window: int, buckets: int) -> Itera
     first = np.flatnonzero(new)
     last = np.concatenate((first[1:] - 1, [len(doc) - 1]))[: len(first)]
     doc, at = doc[first], np.stack((at[first], at[last]), axis=1).astype("<i4")
-    bucket = doc % buckets
+    # Mixed, so that ids of a common stride spread over all buckets.
+    bucket = (mix(doc.astype(np.uint64), np.full(len(doc), np.uint64(0x5851F42D4C957F2D))) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket, doc, at = bucket[order], doc[order].astype("<i8"), at[order]
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else np.zeros(1, int)
