@@ -12,20 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueforge.llm.common import slices, split_words, window_hashes
+from cueforge.llm.license_texts import templates
 
-#: Notices as the licenses' owners word them.
-TEMPLATES = {
-    "mit-notice": "Released under the MIT License.",
-    "cc-by-nc-notice": "Licensed under CC BY-NC 4.0.",
-    "cc-by-notice": "Licensed under CC BY 4.0.",
-    "apache-notice": "Licensed under the Apache License, Version 2.0.",
-    "gpl-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "cc-by-sa-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-    "apache-header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "bsd-terms": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-}
+#: Templates of more words are looked for in pieces of so many, the last one taken from the end.
+PIECE = 40
+TEMPLATES = templates()
 SHINGLE = 5
 #: Bands of one row each: a window with a Jaccard similarity of 0.8 to a template is missed with probability 0.2^16.
 BANDS = 16
@@ -54,10 +45,14 @@ class _Index:
     def __init__(self, templates: dict[str, str]):
         self.classes: dict[int, list[tuple[str, set, np.ndarray]]] = {}
         for name, text in sorted(templates.items()):
-            h, _ = _normal(split_words(pa.array([text]))[1])
-            s = _shingles(h)
-            if len(s):
-                self.classes.setdefault(len(h), []).append((name, set(s.tolist()), np.array([(s * f).min() for f in _FACTORS])))
+            whole, _ = _normal(split_words(pa.array([text]))[1])
+            n = len(whole)
+            for k in range(max(1, -(-n // PIECE))):
+                first = max(0, min(k * PIECE, n - PIECE))
+                h = whole[first : first + PIECE]
+                s = _shingles(h)
+                if len(s):
+                    self.classes.setdefault(len(h), []).append((name if n <= PIECE else f"{name}/{k + 1}", set(s.tolist()), np.array([(s * f).min() for f in _FACTORS])))
 
     def matches(self, h: np.ndarray, doc: np.ndarray, share: float) -> Iterator[tuple[int, str, int, int, float]]:
         """(document, template, first, end, containment) of windows that hold a template; overlapping ones give their best."""
@@ -105,7 +100,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, share: float =
 
     A window has as many words as the template and starts at every word; its MinHash bands of
     five-word shingles retrieve templates, and the part of the template's shingles that the window
-    holds must be at least ``share``. A template of fewer words is one shingle. Words are
+    holds must be at least ``share``. A template of over 40 words is looked for in pieces of 40, told as ``name/1`` and
+    so on, so that an excerpt is found; one of fewer words than a shingle is one shingle, so that a notice of a few
+    words is found as it is worded only. Words are
     compared lower-cased, without marks at the ends; places count all words of the text. Null and empty texts have
     no row; repeated rows give repeated results.
     """
