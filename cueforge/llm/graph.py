@@ -8,9 +8,18 @@ from pyspark.sql import functions as F
 from cueforge.llm.common import discard, materialize
 
 
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
 def _least_neighbour(edges: DataFrame) -> DataFrame:
     """Per node the smallest of itself and its neighbours; partial sums absorb a node with many edges."""
-    return materialize(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    return edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every component is a star around its smallest node: a node with a smaller neighbour has no other."""
+    return _both(edges).groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).where("m < u and n > 1").isEmpty()
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -22,20 +31,16 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     round is a table in the shared folder, removed when the next one is written. Null ends and loops are ignored.
     """
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
     for _ in range(rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        before = _least_neighbour(both)
-        large = materialize(both.join(before, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        if _settled(edges):
+            break
+        both = _both(edges)
+        large = materialize(both.join(_least_neighbour(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = _least_neighbour(large)
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = materialize(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
-        now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(edges, before, large, least)
+        discard(edges, large)
         edges = small
-        if now == state:
-            break
-        state = now
     else:
         raise RuntimeError("the components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
