@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueforge.llm.common import materialize
+from cueforge.llm.common import discard, materialize
 
 #: Dimensions that are raked.
 MARGINS = ("source", "language", "topic")
 #: Cells (combinations of the margins) that are raked on the driver; more are raked by Spark.
 DRIVER_CELLS = 50_000
+UNSETTLED = "raking did not settle: the weights meet the last margin only"
 
 
 def topic_of(text: Column) -> Column:
@@ -50,6 +53,8 @@ def _rake_here(rows: list, targets: dict[str, dict], rounds: int, tolerance: flo
             weight = [w * factor[r[margin]] for r, w in zip(rows, weight, strict=True)]
         if worst < tolerance:
             break
+    else:
+        warnings.warn(UNSETTLED, stacklevel=3)
     return weight
 
 
@@ -57,7 +62,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 50, tole
     """``cells`` (margins, tokens) with ``weight``, so that weighted tokens meet the target share of every margin.
 
     Iterative proportional fitting: each margin in turn scales its values to their targets, until
-    no factor differs from one. Margin values without a target get weight 0. A table of up to
+    no factor differs from one by ``tolerance``; if ``rounds`` don't suffice there is a warning. Margin values without a target get weight 0. A table of up to
     ``DRIVER_CELLS`` cells is fitted on the driver, a larger one by joins, one table a round.
     """
     spark = cells.sparkSession
@@ -68,16 +73,21 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 50, tole
         out = [(*(r[m] for m in MARGINS), r["tokens"], w) for r, w in zip(rows, weight, strict=True)]
         return spark.createDataFrame(out, "source string, language string, topic string, tokens long, weight double")
     total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
-    fitted = cells.select(*MARGINS, "tokens", F.lit(1.0).alias("weight"))
+    fitted, written = cells.select(*MARGINS, "tokens", F.lit(1.0).alias("weight")), []
     for _ in range(rounds):
-        before = fitted
+        worst = 0.0
         for margin in MARGINS:
             have = fitted.groupBy(margin).agg(F.sum(F.col("weight") * F.col("tokens")).alias("have"))
             factor = have.join(targets[margin].withColumnRenamed("value", margin), margin, "left").select(margin, F.when(F.col("have") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("have")).otherwise(1.0).alias("factor"))
-            fitted = materialize(fitted.join(materialize(factor, "factor"), margin).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor"), "raked")
-        worst = fitted.join(before.select(*MARGINS, F.col("weight").alias("old")), list(MARGINS)).agg(F.max(F.abs(F.col("weight") - F.col("old")))).first()[0]
-        if (worst or 0) < tolerance:
+            factor = materialize(factor, "factor")
+            worst = max(worst, factor.agg(F.max(F.abs(F.col("factor") - 1))).first()[0] or 0.0)
+            scaled = materialize(fitted.join(factor, margin).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor"), "raked")
+            discard(factor, *written)
+            fitted, written = scaled, [scaled]
+        if worst < tolerance:
             break
+    else:
+        warnings.warn(UNSETTLED, stacklevel=2)
     return fitted.select(*MARGINS, "tokens", "weight")
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueforge.llm.common import materialize, slices, split_words
+from cueforge.llm.common import drawn, materialize, slices, split_words
 
 #: Hashed features of each family: the word, and its first five and four characters.
 FEATURES = 1 << 20
@@ -107,11 +107,10 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 15_000) -> OrdinalModel
     labels of a document count as their greatest. Without labels of both kinds the model has no weights and calls nothing toxic.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    share = min(1.0, bound / max(marks.count(), 1))
-    marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000)) < int(share * 1_000_000))
-    drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marks, "doc_id").select("text", "toxic").distinct()
-    drawn = materialize(drawn, "toxic-sample")
-    n = {r["toxic"]: r["count"] for r in drawn.groupBy("toxic").count().collect()}
+    marks = drawn(marks, bound, marks.count(), F.col("doc_id"), "toxic")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marks, "doc_id").select("text", "toxic").distinct()
+    sample = materialize(sample, "toxic-sample")
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = n.pop(1, 0), sum(n.values())
     if not n1 or not n0:
         return OrdinalModel()
@@ -128,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 15_000) -> OrdinalModel
 
     in1, in0 = F.col("n1"), F.col("n0")
     gain = F.log((in1 + 0.5) / (n1 + 1)) - F.log((in0 + 0.5) / (n0 + 1))
-    found = drawn.mapInArrow(counts, "f long, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    found = sample.mapInArrow(counts, "f long, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     told = np.array(sorted(r["f"] for r in found.where((in1 >= max(3, 0.004 * n1)) & (gain > 2)).select("f").collect()), np.int64)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 15_000) -> OrdinalModel
                 own = [f[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(own, pa.binary())], names=["toxic", "f"])
 
-    got = sorted((r["f"], r["toxic"]) for r in drawn.mapInArrow(rows, "toxic int, f binary").collect())
+    got = sorted((r["f"], r["toxic"]) for r in sample.mapInArrow(rows, "toxic int, f binary").collect())
     toxic = np.array([t for _, t in got], np.int64)
     f = np.frombuffer(b"".join(x for x, _ in got), "<i4").astype(np.int64)
     doc = np.repeat(np.arange(len(got)), [len(x) // 4 for x, _ in got])
@@ -153,7 +152,8 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """Rows (doc_id, severity, toxic), one per document.
 
     severity is the expected grade, 0 to 3; toxic is 1 if a grade of at least 1 is likelier than not. Null and
-    empty texts have no features: their severity is that of the cuts alone.
+    empty texts have no features: their severity is that of the cuts alone. Rows that repeat a doc_id are scored one
+    by one, equal texts alike; an empty table gives none; other columns, whatever their names, don't matter.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

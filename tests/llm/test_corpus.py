@@ -207,9 +207,14 @@ def test_raking_by_joins_equals_the_driver(spark, monkeypatch):
     cells = spark.createDataFrame([("a", "x", "p", 5), ("a", "y", "p", 7), ("b", "x", "q", 3), ("b", "y", "p", 2)], "source string, language string, topic string, tokens long")
     targets = {m: mixing.flattened(cells, m, 0.5) for m in mixing.MARGINS}
     here = {x[:3]: x.weight for x in mixing.rake(cells, targets, rounds=4).collect()}
+    settled = {x[:3]: x.weight for x in mixing.rake(cells, targets, tolerance=1e-2).collect()}
     monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
-    there = {x[:3]: x.weight for x in mixing.rake(cells, targets, rounds=4).collect()}
+    with pytest.warns(UserWarning, match="did not settle"):
+        there = {x[:3]: x.weight for x in mixing.rake(cells, targets, rounds=4, tolerance=0.0).collect()}
     assert here.keys() == there.keys() and all(abs(here[k] - there[k]) < 1e-9 for k in here)
+    there = {x[:3]: x.weight for x in mixing.rake(cells, targets, tolerance=1e-2).collect()}
+    assert settled.keys() == there.keys() and all(abs(settled[k] - there[k]) < 1e-9 for k in settled)
+    assert cells.count() == 4
 
 
 # 4 language
@@ -452,6 +457,11 @@ def test_toxicity(spark):
     few, many = ([out[i].severity for i in held if truth[i] and sum(w.lower() in {"foo,", "bar,", "baz,"} for w in set(texts[i].split())) == k] for k in (1, 3))
     assert np.mean(many) > np.mean(few)
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).where("toxic = 1").count() == 0
+    model = toxicity.fit(docs, labels)
+    rude = documents(spark, [texts[0] * 300, texts[0] * 300, "foo bar baz", "foo bar baz"]).withColumn("doc_id", F.lit(7)).withColumn("severity", F.lit("x")).withColumn("toxic", F.lit("y"))
+    again = [(x.doc_id, x.severity) for x in toxicity.score(rude, model).collect()]
+    assert [i for i, _ in again] == [7] * 4 and len(set(again)) == 2
+    assert toxicity.score(empty(spark), model).count() == 0 and not len(toxicity.fit(empty(spark), labels).index)
 
 
 # 9 substrings
