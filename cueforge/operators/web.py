@@ -2,49 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueforge.functions.text import html_to_text
-from cueforge.functions.timecode import _col
-
-
-def _first(text: Column, *patterns: str) -> Column:
-    """Group 1 of the first pattern that is found, ignoring case in any script; empty if none is."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns], F.lit(""))
+from cueforge.functions.pages import DATE_FORMS, episode_links
 
+_LINK = "struct<url:string,title:string,alt:string,number:string,heading:string,date:string>"
 
-def episode_number(text: Column | str, word_re: str = "Cap[íi]tulo|Epis[óo]dio") -> Column:
-    """Number of a card: ``N. word``, else ``Episódio N``, else ``word N``; empty if none."""
-    return _first(_col(text), rf"(?iu)(?:^|\s)(\d+)\.\s*(?:{word_re})", r"(?iu)Epis[óo]dio\s*(\d+)", rf"(?iu)(?:{word_re})\s+(\d+)")
 
+def _named_date(text: Column) -> Column:
+    """The date that a title or a picture's text names."""
+    return F.nullif(F.regexp_extract(text, rf"(?iu){DATE_FORMS['named date']}", 1), F.lit(""))
 
-def chapter_date(card: Column | str, title: Column | str, alt: Column | str) -> Column:
-    """``DD/MM/YYYY`` of a card, else of the link's title, else of the picture's text."""
-    named = r"(?iu)Capítulo de\s+(\d{2}/\d{2}/\d{4})"
-    return F.coalesce(*[F.nullif(x, F.lit("")) for x in (_first(_col(card), named, r"(\d{2}/\d{2}/\d{4})"), _first(_col(title), named), _first(_col(alt), named))], F.lit(""))
 
-
-def extract_episodes(pages: DataFrame, page: str = "page_id", html: str = "html", link_re: str = r"/v/[^\x22'?]*\?s=0s", id_re: str = r"/v/([^/?]+)", word_re: str = "Cap[íi]tulo|Epis[óo]dio", kind: str = "episode") -> DataFrame:
+def extract_episodes(pages: DataFrame, page: str = "page_id", html: str = "html", link_re: str = r"/v/[^\x22'?]*\?s=0s", id_re: str = r"/v/([^/?]+)", word_re: str = "Cap[íi]tulo|Epis[óo]dio", kind: str = "episode", card_class: str = "episode|card|item|chapter|video|content") -> DataFrame:
     """Rows (page, pos, id, episode_number, chapter_date, title, url, type) of the episode links of each page.
 
-    Only links whose address matches ``link_re`` count. The number is that of the link's text, else of the last
-    heading between the link before and this one (``N. word`` at its start), else the place of the link; the date
-    falls back to ``Capítulo {id}``, which the title then leaves out.
+    Only links whose address matches ``link_re`` count. What a link's card says decides: the text of its nearest ancestor
+    with a class that ``card_class`` is found in, else that of its parent, else its own. The number is ``N. word`` in it, else ``Episódio N``,
+    else ``word N``, else that of the last heading between the link before and this one (``N. word`` at its start), else
+    the place of the link; the date is that of the card, else of the link's title, else of its picture (or the card's first);
+    it falls back to ``Capítulo {id}``, which the title then leaves out.
+
+    Pages are read in one pass each, in the tasks that hold them; nothing is shuffled. A null page has no links, an unclosed
+    element ends with its parent or the page, rows that repeat a page are read alike.
     """
-    # Each piece is a link and what stands before it.
-    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is).*?<a\b[^>]*href=[\x22'][^\x22']*[\x22'][^>]*>.*?</a>"), F.lit(0))
-    each = pages.select(F.col(page), F.posexplode(tags).alias("_k", "_piece"))
-    headed = F.regexp_extract_all("_piece", F.lit(rf"(?isu)<h[1-6]\b[^>]*>\s*(\d+)\.\s*(?:{word_re})"), F.lit(1))
-    link = F.regexp_extract("_piece", r"(?is)<a\b[^>]*href=[\x22'][^\x22']*[\x22'][^>]*>.*?</a>$", 0)
-    each = each.select(page, "_k", link.alias("_a"), F.coalesce(F.try_element_at(headed, F.lit(-1)), F.lit("")).alias("_heading"))
-    each = each.withColumn("url", F.regexp_extract("_a", r"(?i)href=[\x22']([^\x22']*)[\x22']", 1)).where(F.col("url").rlike(link_re)).where(F.regexp_extract("url", id_re, 1) != "")
-    opening = F.regexp_extract("_a", r"(?s)^(<a\b[^>]*>)", 1)
-    each = each.select(page, "_k", "url", "_heading", F.regexp_extract("url", id_re, 1).alias("id"), html_to_text("_a").alias("_card"), F.regexp_extract(opening, r"(?i)title=[\x22']([^\x22']*)[\x22']", 1).alias("_title"), F.regexp_extract("_a", r"(?is)<img\b[^>]*alt=[\x22']([^\x22']*)[\x22']", 1).alias("_alt"))
-    # The place counts links of the page only; pages are independent, so this needs no shuffle beyond the page.
-    listed = each.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("_k", "url", "id", "_heading", "_card", "_title", "_alt"))).alias("l")).select(page, F.posexplode("l").alias("pos", "e")).select(page, "pos", "e.*")
-    number = F.coalesce(F.nullif(episode_number("_card", word_re), F.lit("")), F.nullif("_heading", F.lit("")), (F.col("pos") + 1).cast("string"))
-    done = listed.select(page, "pos", "id", number.alias("episode_number"), F.nullif(chapter_date("_card", "_title", "_alt"), F.lit("")).alias("_date"), "url", F.lit(kind).alias("type"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([episode_links(text, card_class, word_re) for text in batch.column("_html").to_pylist()], made)
+            yield pa.RecordBatch.from_arrays([batch.column(page), found], [page, "_links"])
+
+    made = pa.list_(pa.struct([(n, pa.string()) for n in ("url", "title", "alt", "number", "heading", "date")]))
+    read = pages.select(page, F.col(html).alias("_html"))
+    linked = read.mapInArrow(run, f"`{page}` {pages.schema[page].dataType.simpleString()}, _links array<{_LINK}>")
+    own = F.filter("_links", lambda x: x["url"].rlike(link_re) & (F.regexp_extract(x["url"], id_re, 1) != ""))
+    each = linked.select(page, F.posexplode(own).alias("pos", "e")).select(page, "pos", "e.*").withColumn("id", F.regexp_extract("url", id_re, 1))
+    number = F.coalesce(F.nullif("number", F.lit("")), F.nullif("heading", F.lit("")), (F.col("pos") + 1).cast("string"))
+    dated = F.coalesce(F.nullif("date", F.lit("")), _named_date(F.col("title")), _named_date(F.col("alt")))
+    done = each.select(page, "pos", "id", number.alias("episode_number"), dated.alias("_date"), "url", F.lit(kind).alias("type"))
     date = F.coalesce("_date", F.concat(F.lit("Capítulo "), F.col("id")))
     title = F.concat(F.lit("Episódio "), F.col("episode_number"), F.coalesce(F.concat(F.lit(", "), F.col("_date")), F.lit("")))
     return done.select(page, "pos", "id", "episode_number", date.alias("chapter_date"), title.alias("title"), "url", "type")
