@@ -11,10 +11,10 @@ from collections import defaultdict
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|</([A-Za-z][^\s/>]*+)[^>]*+>?|<([A-Za-z][^\s/>]*+)((?:[^>=]|=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+|))*+)>?""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))""")
 
-#: Fixed values of HTML: elements without an end, with raw text, that don't part words, and that end an open paragraph.
+#: Fixed values of HTML: elements without an end, with raw text, that don't part words (links do here), and that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style".split())
-INLINE = frozenset("a abbr b bdi bdo cite code data em font i kbd mark q s samp small span strong sub sup time tt u var wbr".split())
+INLINE = frozenset("abbr b bdi bdo cite code data em font i kbd mark q s samp small span strong sub sup time tt u var wbr".split())
 BLOCK = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: An open element of the name ends where the next begins, but not beyond one of these.
 ENDS_BEFORE = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "option": ("select",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "a": (), "p": ("table", "button")}
@@ -24,10 +24,10 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 class _Element:
     """An open element: where its text, pictures and headings begin, and its number as a card if it is one."""
 
-    __slots__ = ("card", "heading", "images", "link", "name", "text")
+    __slots__ = ("card", "heading", "images", "link", "links", "name", "text")
 
-    def __init__(self, name: str, text: int, images: int):
-        self.name, self.text, self.images = name, text, images
+    def __init__(self, name: str, text: int, images: int, links: int):
+        self.name, self.text, self.images, self.links = name, text, images, links
         self.card = self.link = self.heading = None
 
 
@@ -41,7 +41,7 @@ def _attributes(source: str) -> dict[str, str]:
 def card_links(page: str | None, card_class: str) -> tuple[str, list[dict], list[dict], list[tuple[int, int]], list[str]]:
     """(text, links, cards, headings, picture texts) of a page.
 
-    A link's card is its nearest ancestor with a class that ``card_class`` is found in, else its parent, else the link. Cards and
+    A link's card is its nearest ancestor with a class that ``card_class`` is found in, else its parent if that holds no other link, else the link. Cards and
     headings are places in the text, so nested ones cost nothing. The work is linear in the page.
     """
     page = page or ""
@@ -69,7 +69,7 @@ def card_links(page: str | None, card_class: str) -> tuple[str, list[dict], list
             if classed and classed[-1] == len(stack):
                 classed.pop()
             if e.card is not None:
-                cards[e.card] |= {"end": size, "images": (e.images, len(images))}
+                cards[e.card] |= {"end": size, "images": (e.images, len(images)), "links": len(links) - e.links}
             if e.link is not None:
                 links[e.link] |= {"images": (e.images, len(images))}
             if e.heading is not None:
@@ -116,20 +116,25 @@ def card_links(page: str | None, card_class: str) -> tuple[str, list[dict], list
                 stop = re.compile(rf"</{begun}\b[^>]*>?", re.I).search(page, at)
                 at = stop.end() if stop else len(page)
                 continue
-            e = _Element(begun, size, len(images))
+            e = _Element(begun, size, len(images), len(links))
             stack.append(e)
             open_at[begun].append(len(stack) - 1)
             known = _attributes(tag[3]) if "=" in tag[3] else {}
             if begun == "a" and "href" in known:
-                holder = stack[classed[-1]] if classed else stack[-2] if len(stack) > 1 else e
                 e.link = len(links)
-                links.append({"url": known["href"], "title": known.get("title", ""), "card": card_of(holder), "headings": len(headings)})
+                own = card_of(e)
+                card = card_of(stack[classed[-1]]) if classed else None
+                parent = card_of(stack[-2]) if len(stack) > 1 else own
+                links.append({"url": known["href"], "title": known.get("title", ""), "card": card, "parent": parent, "own": own, "headings": len(headings)})
             if begun in HEADINGS:
                 e.heading = len(headings)
                 headings.append([size, size])
             if is_card.search(known.get("class", "")):
                 classed.append(len(stack) - 1)
     close(0)
+    for x in links:
+        if x["card"] is None:
+            x["card"] = x["parent"] if cards[x["parent"]]["links"] == 1 else x["own"]
     return "".join(piece), links, cards, [tuple(h) for h in headings], images
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cueforge.functions.matching import longest_segments, occurrences
 from cueforge.functions.text import trim_all
 from cueforge.functions.timecode import _col
 
@@ -60,48 +66,78 @@ def lookup_pinyin(word: Column | str, pairs: Column | str) -> Column:
 
 
 def segment_longest_match(text: Column | str, pairs: Column | str) -> Column:
-    """Greedy split of ``text`` by the longest gloss word at each place, else one character; each with its gloss."""
-    line, glosses = _col(text), F.filter(_col(pairs), lambda p: p["word"] != "")
-    # Longest first, in list order among equals.
-    order = F.array_sort(F.transform(glosses, lambda p, i: F.struct((-F.length(p["word"])).alias("n"), i.alias("i"), p["word"].alias("w"))))
-    quoted = F.transform(order, lambda o: F.concat(F.lit(r"\Q"), F.replace(o["w"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
-    regex = F.array_join(F.concat(quoted, F.array(F.lit("(?s:.)"))), "|")
-    parts = F.regexp_extract_all(line, regex, F.lit(0))
-    # One-element arrays bind a value that every part uses.
-    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
-    placed = bound(F.transform(glosses, lambda p: p["word"]), lambda words: F.transform(parts, lambda x: F.struct(x.alias("text"), F.array_position(words, x).cast("int").alias("k"))))
-    told = lambda g, x, name: F.when(x["k"] > 0, F.get(g, x["k"] - 1)[name]).otherwise("").alias(name)
-    return bound(glosses, lambda g: F.transform(placed, lambda x: F.struct(x["text"].alias("text"), told(g, x, "pinyin"), told(g, x, "translation"))))
-
-
-_BLOCK = "slice(_gaps, cast(b * 256 as int) + 1, cast(least(256, size(_gaps) - 1 - b * 256) as int))"
-_BLOCKS = "sequence(0, greatest(size(_gaps) - 2, 0) div 256)"
-#: SQL: starts of the word that parts ``_gaps``; gaps are summed by block first, so that the work is near linear in the occurrences.
-_STARTS = f"""element_at(transform(array(transform({_BLOCKS}, b -> aggregate({_BLOCK}, 0, (s, x) -> s + length(x) + length(word)))), sums -> flatten(transform({_BLOCKS}, b ->
-    aggregate({_BLOCK}, named_struct('at', aggregate(slice(sums, 1, cast(b as int)), 0, (s, x) -> s + x), 'out', cast(array() as array<int>)),
-        (a, x) -> named_struct('at', a.at + length(x) + length(word), 'out', array_append(a.out, a.at + length(x))), a -> a.out)))), 1)"""
+    """Greedy split of ``text`` by the longest gloss word at each place, else one character; each with its gloss.
 
+    An automaton of a line's words finds them in one pass. Of equal words the first counts; a null text gives null, null pairs none.
+    """
+    return _segments(_col(text), _col(pairs))
+
+
+_SEGMENT = ("text", "pinyin", "translation")
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in _SEGMENT])))
+def _segments(texts: pa.Array, pairs: pa.Array) -> pa.Array:
+    off, parts, glosses, at, null = [0], [], [("", "")], [], []
+    for text, own in zip(texts.to_pylist(), pairs.to_pylist(), strict=True):
+        own = [p for p in own or [] if p is not None and p["word"]]
+        begin = len(glosses)
+        glosses += [(p["pinyin"], p["translation"]) for p in own]
+        for x, k in longest_segments(text or "", [p["word"] for p in own]):
+            parts.append(x)
+            at.append(begin + k if k >= 0 else 0)
+        null.append(text is None)
+        off.append(len(parts))
+    place = pa.array(at, pa.int32())
+    told = [pa.array([g[k] for g in glosses], pa.string()).take(place) for k in (0, 1)]
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays([pa.array(parts, pa.string()), *told], _SEGMENT), mask=pa.array(null))
 
-def word_spans(df: DataFrame, text: str, pairs: str) -> DataFrame:
-    """Every occurrence of each gloss word in the line: ``df`` with pair_no, word, span_start, span_end (code points).
 
-    A line in which no word occurs gives one span a character, with pair_no -1.
+def word_places(df: DataFrame, text: str, pairs: str, out: str = "places") -> DataFrame:
+    """``df`` with ``out``: structs (pair_no, word, starts) of the gloss words that occur in the line, places in code points.
+
+    All words of a line are found in one pass by an automaton of them; occurrences of a word don't overlap each other. Glosses that are no list
+    of strings are split at commas. A line in which no word occurs gives each of its characters, with pair_no -1; a null text is empty.
     """
     listed = F.from_json(F.col(pairs), "array<string>", {"allowSingleQuotes": "true"})
     loose = F.transform(F.split(F.translate(F.col(pairs), '[]"', ""), ","), lambda x: trim_all(x))
     head = lambda x: trim_all(F.when(F.instr(x, "(") > 0, F.substring_index(x, "(", 1)).otherwise(F.substring_index(x, ":", 1)))
-    words = F.transform(F.coalesce(listed, loose), head)
-    base = df.withColumn("_words", words).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    each = base.select("*", F.posexplode_outer("_words").alias("pair_no", "word"))
-    gaps = F.split(F.col("_text"), F.concat(F.lit(r"\Q"), F.replace("word", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), -1)
-    each = each.withColumn("_gaps", F.when((F.col("word") != "") & F.col("word").isNotNull(), gaps).otherwise(F.array(F.lit(""))))
-    each = each.withColumn("_starts", F.expr(_STARTS))
-    keys = df.columns
-    hit = each.select(*keys, "pair_no", "word", F.explode("_starts").alias("span_start")).withColumn("span_end", F.col("span_start") + F.length("word"))
-    none = base.where(~F.exists("_words", lambda w: (w != "") & (F.instr(F.col("_text"), w) > 0)) | F.col("_words").isNull())
-    chars = F.filter(F.split("_text", ""), lambda x: x != "")
-    one = none.select(*keys, F.lit(-1).alias("pair_no"), F.posexplode(chars).alias("span_start", "word")).withColumn("span_end", F.col("span_start") + 1)
-    return hit.unionByName(one.select(*hit.columns))
+    base = df.withColumn("_words", F.transform(F.coalesce(listed, loose), head)).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    made = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.StructType([T.StructField("pair_no", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("starts", T.ArrayType(T.IntegerType()))])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # A few lines at a time: a line's places may be many times its length.
+            for k in range(0, batch.num_rows, 64):
+                rows = batch.slice(k, 64)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-2], _placed(rows.column("_text"), rows.column("_words"))], made.names)
+
+    return base.mapInArrow(run, made)
+
+
+def _placed(texts: pa.Array, words: pa.Array) -> pa.Array:
+    of, number, word, size, starts = [0], [], [], [], [np.zeros(0, np.int32)]
+    for text, own in zip(texts.to_pylist(), words.to_pylist(), strict=True):
+        found = [(k, own[k], s) for k, s in enumerate(occurrences(text, own or [])) if len(s)]
+        for k, w, s in found or [(-1, c, np.array([i], np.int32)) for i, c in enumerate(text)]:
+            number.append(k)
+            word.append(w)
+            size.append(len(s))
+            starts.append(s)
+        of.append(len(number))
+    places = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(np.concatenate(starts)))
+    items = pa.StructArray.from_arrays([pa.array(number, pa.int32()), pa.array(word, pa.string()), places], ["pair_no", "word", "starts"])
+    return pa.ListArray.from_arrays(pa.array(of, pa.int32()), items)
+
+
+def word_spans(df: DataFrame, text: str, pairs: str) -> DataFrame:
+    """Every occurrence of each gloss word in the line: ``df`` with pair_no, word, span_start, span_end (code points).
+
+    See ``word_places``, which gives one row a line.
+    """
+    each = word_places(df, text, pairs, "_places").select(*df.columns, F.explode("_places").alias("_p"))
+    hit = each.select(*df.columns, F.col("_p.pair_no").alias("pair_no"), F.col("_p.word").alias("word"), F.explode("_p.starts").alias("span_start"))
+    return hit.withColumn("span_end", F.col("span_start") + F.length("word"))
 
 
 def find_pairs_column(lines: DataFrame, track: str = "track_id", line_no: str = "line_no", value: str = "value") -> DataFrame:

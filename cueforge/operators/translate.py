@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Phrase tables up to this size are broadcast.
-BROADCAST_PHRASES = 20_000
+from cueforge.functions.matching import Rewriter, automaton
+
+#: Phrase tables of up to so many rows and bytes are one automaton, which every task builds.
+AUTOMATON_PHRASES, AUTOMATON_BYTES = 20_000, 1 << 20
 
 
 def translate_by_dictionary(df: DataFrame, dictionary: DataFrame, text: str = "text", mode: str = "value", out: str = "translation") -> DataFrame:
@@ -18,31 +21,88 @@ def translate_by_dictionary(df: DataFrame, dictionary: DataFrame, text: str = "t
 
     ``mode='replace'`` puts the contained phrase's translation in its place. Without any phrase
     ``[Traduzir: …]``. ``dictionary(dict_order, phrase, translation)``; each distinct text is looked up once.
-    A text and a phrase meet by an equi-join on the first 8 (4, 2, 1, for shorter ones) characters of the phrase, which
-    a text that contains it holds; the whole phrase decides. Phrase tables of up to ``BROADCAST_PHRASES``
-    rows are broadcast, larger ones joined by a shuffle. A null text has a null translation.
+    Phrases within ``AUTOMATON_PHRASES`` and ``AUTOMATON_BYTES`` are found in one pass over a text; in a larger table, a text and a phrase
+    meet by an equi-join on the first 8 (4, 2, 1, for shorter ones) characters of the phrase, which a text that contains it holds, and the whole
+    phrase decides. A null text has a null translation.
     """
     d = dictionary.select("dict_order", "phrase", "translation").where("phrase <> ''")
+    texts = df.select(F.col(text).alias("_t")).where("_t is not null").distinct()
+    rows, size = d.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()
+    first = _first_by_automaton(texts, d) if rows <= AUTOMATON_PHRASES and size <= AUTOMATON_BYTES else _first_by_join(texts, d)
+    told = F.col("h.translation") if mode == "value" else F.when(F.col("h.part"), F.replace("_t", F.col("h.phrase"), F.col("h.translation"))).otherwise(F.col("h.translation"))
+    return df.join(first.select(F.col("_t").alias(text), told.alias(out)), text, "left").withColumn(out, F.coalesce(out, F.concat(F.lit("[Traduzir: "), F.col(text), F.lit("]")))).select(*df.columns, out)
+
+
+def _first_by_automaton(texts: DataFrame, d: DataFrame) -> DataFrame:
+    """Rows (_t, h): the phrase that counts for each text that has one."""
+    table = [tuple(r) for r in d.orderBy("dict_order", "phrase", "translation").collect()]
+    sent = texts.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = [p for _, p, _ in sent.value]
+        machine, whole = automaton(phrases), {p: k for k, p in reversed(list(enumerate(phrases)))}
+        for batch in batches:
+            made = []
+            for t in batch.column("_t").to_pylist() if machine else ():
+                k = whole[t] if t in whole else min((k for _, k in machine.iter(t)), default=None)
+                if k is not None:
+                    made.append({"_t": t, "h": {"part": t != phrases[k], "phrase": phrases[k], "translation": sent.value[k][2]}})
+            yield pa.RecordBatch.from_pylist(made, pa.schema([("_t", pa.string()), ("h", pa.struct([("part", pa.bool_()), ("phrase", pa.string()), ("translation", pa.string())]))]))
+
+    return texts.mapInArrow(run, "_t string, h struct<part:boolean,phrase:string,translation:string>")
+
+
+def _first_by_join(texts: DataFrame, d: DataFrame) -> DataFrame:
+    """As ``_first_by_automaton``, for tables of any size."""
     n = F.when(F.length("phrase") >= 8, 8).when(F.length("phrase") >= 4, 4).when(F.length("phrase") >= 2, 2).otherwise(1)
     d = d.withColumn("_n", n).withColumn("_g", F.expr("left(phrase, _n)"))
-    sizes = {r["_n"]: r["count"] for r in d.groupBy("_n").count().collect()}
-    d = F.broadcast(d) if sum(sizes.values()) <= BROADCAST_PHRASES else d
-    texts = df.select(F.col(text).alias("_t")).where("_t is not null").distinct()
     chars = texts.withColumn("_c", F.regexp_extract_all("_t", F.lit("(?s)."), F.lit(0)))
-    grams = [f"transform(if(size(_c) < {k}, cast(array() as array<int>), sequence(1, size(_c) - {k - 1})), i -> named_struct('_n', {k}, '_g', array_join(slice(_c, i, {k}), '')))" for k in sorted(sizes)]
-    keyed = chars.select("_t", F.explode_outer(F.array_distinct(F.expr(f"concat({', '.join(grams)})"))).alias("_k")).select("_t", "_k.*") if grams else texts.selectExpr("_t", "0 as _n", "'' as _g")
+    grams = [f"transform(if(size(_c) < {k}, cast(array() as array<int>), sequence(1, size(_c) - {k - 1})), i -> named_struct('_n', {k}, '_g', array_join(slice(_c, i, {k}), '')))" for k in (1, 2, 4, 8)]
+    keyed = chars.select("_t", F.explode_outer(F.array_distinct(F.expr(f"concat({', '.join(grams)})"))).alias("_k")).select("_t", "_k.*")
     hit = keyed.join(d, ["_n", "_g"]).where(F.col("_t").contains(F.col("phrase")))
-    first = hit.groupBy("_t").agg(F.min(F.struct((F.col("_t") != F.col("phrase")).alias("part"), "dict_order", "phrase", "translation")).alias("h"))
-    told = F.col("h.translation") if mode == "value" else F.when(F.col("h.part"), F.replace("_t", F.col("h.phrase"), F.col("h.translation"))).otherwise(F.col("h.translation"))
-    return df.join(first.select(F.col("_t").alias(text), told.alias(out)), text, "left").withColumn(out, F.coalesce(out, F.concat(F.lit("[Traduzir: "), F.col(text), F.lit("]")))).select(*df.columns, out)
+    return hit.groupBy("_t").agg(F.min(F.struct((F.col("_t") != F.col("phrase")).alias("part"), "dict_order", "phrase", "translation")).alias("h"))
+
+
+def replace_phrases(df: DataFrame, phrases: DataFrame | list[tuple[str, str]], text: str = "text", out: str = "traditional") -> DataFrame:
+    """``df`` with ``out``: the phrases replaced one after another, in order; what one makes, a later one sees.
+
+    ``phrases(dict_order, phrase, translation)`` of any number (ties in order of phrase, then translation), or a list of (old, new). The table is cut in
+    order into parts of at most ``AUTOMATON_PHRASES`` and about ``AUTOMATON_BYTES``, each one pass over the texts: only phrases that occur
+    in a text cost anything there. Empty and null phrases are left out, a null translation is empty, a null text stays null.
+    """
+    if isinstance(phrases, DataFrame):
+        listed = phrases.where("phrase <> ''").select("dict_order", "phrase", F.coalesce("translation", F.lit("")).alias("translation")).orderBy("dict_order", "phrase", "translation").select("phrase", "translation").toLocalIterator(prefetchPartitions=True)
+    else:
+        listed = ((old, new) for old, new in phrases if old)
+    done = df.withColumn(out, F.col(text))
+    for part in _parts(listed):
+        done = _rewritten(done, out, df.sparkSession.sparkContext.broadcast(part))
+    return done
 
 
-def replace_phrases(df: DataFrame, phrases: list[tuple[str, str]], text: str = "text", out: str = "traditional") -> DataFrame:
-    """``df`` with ``out``: the phrases replaced one after another, in order."""
-    c = F.col(text)
+def _parts(phrases: Iterable[tuple[str, str]]) -> Iterator[list[tuple[str, str]]]:
+    """Consecutive phrases within the bounds of one automaton."""
+    part: list[tuple[str, str]] = []
+    size = 0
     for old, new in phrases:
-        c = F.replace(c, F.lit(old), F.lit(new))
-    return df.withColumn(out, c)
+        more = len(old.encode()) + len(new.encode())
+        if part and (len(part) >= AUTOMATON_PHRASES or size + more > AUTOMATON_BYTES):
+            yield part
+            part, size = [], 0
+        part.append((old, new))
+        size += more
+    if part:
+        yield part
+
+
+def _rewritten(df: DataFrame, column: str, sent) -> DataFrame:
+    @F.arrow_udf("string")
+    def rewrite(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        rewriter = Rewriter(sent.value)
+        for texts in batches:
+            yield pa.array(map(rewriter, texts.to_pylist()), pa.string())
+
+    return df.withColumn(column, rewrite(column))
 
 
 def distinct_enrichment(df: DataFrame, text_col: str, fn: Callable[[str], str], out: str = "enriched", retries: int = 3, base_delay: float = 2.0, parallelism: int | None = None, permanent: tuple[type[Exception], ...] = (ValueError,)) -> DataFrame:

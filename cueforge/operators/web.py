@@ -22,7 +22,7 @@ def extract_episodes(pages: DataFrame, page: str = "page_id", html: str = "html"
     """Rows (page, pos, id, episode_number, chapter_date, title, url, type) of the episode links of each page.
 
     Only links whose address matches ``link_re`` count. What a link's card says decides: the text of its nearest ancestor
-    with a class that ``card_class`` is found in, else that of its parent, else its own. The number is ``N. word`` in it, else ``Episódio N``,
+    with a class that ``card_class`` is found in, else that of its parent if no other link is in it, else its own. The number is ``N. word`` in it, else ``Episódio N``,
     else ``word N``, else that of the last heading between the link before and this one (``N. word`` at its start), else
     the place of the link; the date is that of the card, else of the link's title, else of its picture (or the card's first);
     it falls back to ``Capítulo {id}``, which the title then leaves out.

@@ -54,7 +54,7 @@ def vtt_to_srt(cues: DataFrame) -> DataFrame:
     return render_srt(cues)
 
 
-def to_traditional(df: DataFrame, phrases: list[tuple[str, str]], dictionary: DataFrame | None = None, text: str = "text") -> DataFrame:
+def to_traditional(df: DataFrame, phrases: DataFrame | list[tuple[str, str]], dictionary: DataFrame | None = None, text: str = "text") -> DataFrame:
     """``df`` with ``traditional`` and, given a phrase table, its ``translation``."""
     out = replace_phrases(df, phrases, text, "traditional")
     return out if dictionary is None else translate_by_dictionary(out, dictionary, "traditional")

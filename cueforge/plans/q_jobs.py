@@ -88,6 +88,19 @@ def p6(s, d):
     return pipelines.to_traditional(table(s, d, "conversations"), _PHRASES).select("conv_id", "turn", F.md5(F.col("traditional").cast("binary")).alias("digest"))
 
 
+_LETTERS = r"'[^\p{L}]+'"
+
+
+@query("p6_phrase_table", f"""with p as (select distinct w from (select unnest(regexp_split_to_array(lower(text), {_LETTERS})) as w from benchmark) where length(w) > 2),
+    t as (select list({{'old': w, 'new': reverse(w)}} order by w) as l from p)
+    select conv_id, turn, md5(list_reduce(list_prepend({{'old': text, 'new': ''}}, l), lambda a, x: {{'old': replace(a.old, x.old, x.new), 'new': ''}}).old) as digest from conversations, t""")
+def p6_table(s, d):
+    """Every word of the benchmark, in alphabetical order, turned round wherever it occurs."""
+    words = table(s, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("phrase")).where("length(phrase) > 2").distinct()
+    phrases = words.select(F.lit(0).alias("dict_order"), "phrase", F.reverse("phrase").alias("translation"))
+    return pipelines.to_traditional(table(s, d, "conversations"), phrases).select("conv_id", "turn", F.md5(F.col("traditional").cast("binary")).alias("digest"))
+
+
 @query("p7_translate_track", f"""with {EV}, old as (select track_id, begin_ms from ev where pos % 4 = 0)
     select track_id, begin_ms, max(end_ms) as end_ms, reverse(upper(min_by(text, pos))) as text from ev e
     where not exists (select 1 from old o where o.track_id = e.track_id and o.begin_ms = e.begin_ms) group by track_id, begin_ms""")

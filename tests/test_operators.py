@@ -275,7 +275,7 @@ def test_rename_plan_never_gives_a_name_twice(spark):
 
 @pytest.mark.parametrize("bound", [0, 20_000])
 def test_phrases_of_any_length(spark, bound, monkeypatch):
-    monkeypatch.setattr(translate, "BROADCAST_PHRASES", bound)
+    monkeypatch.setattr(translate, "AUTOMATON_PHRASES", bound)
     phrases = ["a", "bc", "def", "ghij", "klmnop", "qrstuvwx", "qrstuvwxyz", "😀é"]
     texts = [None, "", "zz", "xa", "bcx", "\ndef", "ghijklmnop", "..qrstuvwxyz..", "qrstuvwx", "z😀é z"]
     d = spark.createDataFrame([(len(phrases) - i, p, p.upper()) for i, p in enumerate(phrases)], "dict_order int, phrase string, translation string")
@@ -297,3 +297,20 @@ def test_base_rows_without_an_end(spark):
     lines = [("t", 1, "1\t1.0s\tx\t字\tN/A\tp"), ("t", 2, "2\t9.0s\t9.1s\t（字）\t[]\t"), ("t", 3, "3\tbad\t9.1s\t字\t[]\tp")]
     got = rows(readers.parse_base_lines(spark.createDataFrame(lines, "track_id string, line_no int, value string")), "begin_ms", "end_ms", "zht", "pt", "layout")
     assert got == [(1000, 4000, "字", "p", "new"), (9000, 9500, "字", "", "new")]
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 12])
+def test_phrase_tables_are_a_chain_of_replaces(spark, bound, monkeypatch):
+    monkeypatch.setattr(translate, "AUTOMATON_BYTES", bound)
+    table = [(2, "an", "na"), (1, "ba", "an"), (3, "nana", "x"), (None, "q", "ba"), (4, "", "y"), (5, None, "y"), (6, "x", None), (2, "an", "zz")]
+    texts = ["banana", None, "", "qq an", "bab nanana", "ban"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    phrases = spark.createDataFrame(table, "dict_order int, phrase string, translation string")
+    chain = sorted((-1 if o is None else o, old, new or "") for o, old, new in table if old)
+    for given in (phrases, [(old, new) for _, old, new in chain]):
+        got = {r.k: r.traditional for r in translate.replace_phrases(df, given).collect()}
+        for k, t in enumerate(texts):
+            for _, old, new in chain if t else ():
+                t = t.replace(old, new)
+            assert got[k] == t
+    assert translate.replace_phrases(df, phrases.limit(0)).where("not (traditional <=> text)").count() == 0

@@ -64,7 +64,7 @@ def expected(root):
         while n is not None:
             up.append(n)
             n = n.parent
-        card = next((n for n in up if re.search(CARDS, n.attrs.get("class", ""))), up[0])
+        card = next((n for n in up if re.search(CARDS, n.attrs.get("class", ""))), None) or (up[0] if sum(n.name == "a" for n in up[0].walk()) == 1 else a)
         text = card.text()
         first = lambda *forms, text=text: next((m[1] for f in forms if (m := re.search(f, text, re.I))), "")
         number = first(*pages.number_forms("Cap[íi]tulo|Epis[óo]dio").values())
