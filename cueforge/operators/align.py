@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cueforge.operators.scan import islands
+
 
 def merge_same_begin(df: DataFrame, track: str = "track_id", order: str = "pos", sep: str = " ") -> DataFrame:
     """Neighbouring cues of equal begin become one (gaps and islands): texts joined, the latest end.
 
-    Rows (track, pos, begin_ms, end_ms, text); pos is that of the first cue. Empty texts are skipped.
+    Rows (track, pos, begin_ms, end_ms, text); pos is that of the first cue. Empty texts are skipped. A track may be larger than a task.
     """
-    w = Window.partitionBy(track).orderBy(order)
-    new = F.when(F.col("begin_ms").eqNullSafe(F.lag("begin_ms").over(w)) & F.lag(F.lit(1)).over(w).isNotNull(), 0).otherwise(1)
-    marked = df.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = islands(df, track, [order], "begin_ms", "_island")
     texts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t")))), lambda x: x["t"])
     merged = marked.groupBy(track, "_island").agg(F.min(order).alias(order), F.first("begin_ms").alias("begin_ms"), F.max("end_ms").alias("end_ms"), texts.alias("_texts"))
     return merged.select(track, order, "begin_ms", "end_ms", F.array_join(F.filter("_texts", lambda t: t != ""), sep).alias("text"))

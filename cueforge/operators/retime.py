@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueforge.functions.timecode import shifted
+from cueforge.operators.scan import next_value, running
 
 
 def adjust_end_times(lines: DataFrame, track: str = "track_id", order: str = "line_no", extend_ms: int = 60_000, gap_ms: int = 1) -> DataFrame:
     """``lines`` with end_ms extended up to just before the next physical line.
 
     A next line that is absent or has no time lets the whole extension stand; an end that isn't
-    after the begin becomes begin + ``gap_ms``. Lines without a time are dropped after the look ahead.
+    after the begin becomes begin + ``gap_ms``. Lines without a time are dropped after the look ahead. A track may be larger than a task.
     """
-    after = F.lead("begin_ms").over(Window.partitionBy(track).orderBy(order))
+    lines, columns = next_value(lines, track, [order], "begin_ms", "_after"), lines.columns
+    after = F.col("_after")
     end = F.least(F.col("end_ms") + extend_ms, F.coalesce(after - gap_ms, F.col("end_ms") + extend_ms))
     moved = lines.withColumn("end_ms", F.when(end <= F.col("begin_ms"), F.col("begin_ms") + gap_ms).otherwise(end))
-    return moved.where("begin_ms is not null and end_ms is not null")
+    return moved.where("begin_ms is not null and end_ms is not null").select(*columns)
 
 
 def shift_times(df: DataFrame, delta_ms: int) -> DataFrame:
@@ -26,11 +28,12 @@ def shift_times(df: DataFrame, delta_ms: int) -> DataFrame:
 
 
 def first_window(df: DataFrame, limit_ms: int = 60_000, track: str = "track_id", order: str = "pos", clamp: bool = True) -> DataFrame:
-    """Cues in file order up to the first that begins at ``limit_ms`` or later, ends clamped, renumbered as ``idx``."""
-    w = Window.partitionBy(track).orderBy(order)
-    past = F.max(F.when(F.col("begin_ms") >= limit_ms, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    kept = df.withColumn("_past", past).where("_past = 0").drop("_past")
-    return kept.withColumn("end_ms", F.least("end_ms", F.lit(limit_ms))).withColumn("idx", F.row_number().over(w)) if clamp else kept
+    """Cues in file order up to the first that begins at ``limit_ms`` or later, ends clamped, renumbered as ``idx``; a track may be larger than a task."""
+    past = F.when(F.col("begin_ms") >= limit_ms, 1).otherwise(0)
+    kept = running(df, track, [order], {"_past": past, "_idx": F.lit(1)}).where("_past = 0")
+    if not clamp:
+        return kept.select(*df.columns)
+    return kept.withColumn("end_ms", F.least("end_ms", F.lit(limit_ms))).withColumn("idx", F.col("_idx").cast("int")).drop("_past", "_idx")
 
 
 def first_window_base(df: DataFrame, limit_ms: int = 60_000, track: str = "track_id", order: str = "line_no") -> DataFrame:

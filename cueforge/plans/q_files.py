@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cueforge.operators import catalog, dedup, quality, retime, web
 from cueforge.plans.registry import query, table
 from cueforge.plans.stand_ins import EV, FILES, WORDS, cues, files, glosses, scratch
-from cueforge.sources import readers, writers
+from cueforge.sources import readers, tracks, writers
 
 #: Events by user as tracks, times within a day.
 _DAY = f"{EV}, dy as (select track_id, pos, begin_ms % 86400000 as begin_ms, begin_ms % 86400000 + end_ms - begin_ms as end_ms, 'event ' || text as text from ev)"
@@ -26,6 +26,14 @@ def a1(s, d):
     return readers.read_srt(s, path).select("track_id", "idx", "begin_ms", "end_ms", "text")
 
 
+@query("a1_srt_cut", f"with {_DAY} select track_id, cast(row_number() over (partition by track_id order by pos) as integer) as idx, begin_ms, end_ms, text from dy")
+def a1_cut(s, d):
+    """One named file a track, then each file read in byte ranges."""
+    path = scratch(s, "srt")
+    tracks.write_srt_files(_day(s, d), path)
+    return readers.read_srt(s, path, split=True).select("track_id", "idx", "begin_ms", "end_ms", "text")
+
+
 @query("a1_read_srt_lenient", f"with {_DAY} select track_id, cast(row_number() over (partition by track_id order by pos) as integer) as idx, begin_ms, end_ms, text || ' twice' as text from dy")
 def a1_lenient(s, d):
     path = scratch(s, "srt")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueforge.functions.text import squeeze, trim_all
 from cueforge.functions.timecode import secs_to_ms, srt_to_ms, ticks_to_secs, vtt_to_ms
+from cueforge.operators.scan import SPAN, ranked
 
 BOM = "﻿"
 
@@ -29,55 +30,143 @@ def _blocks(texts: DataFrame, text: Column) -> DataFrame:
     return texts.select("track_id", F.posexplode(F.split(trim_all(text), r"\n[ \t]*\n\s*")).alias("pos", "_b")).select("track_id", "pos", F.split("_b", "\n").alias("lines"))
 
 
-def read_srt(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def _pieces(spark: SparkSession, path: str, sep: str, streamed: bool = False) -> DataFrame:
+    """Rows (track_id, at, text) of the pieces of files between ``sep``: Spark cuts a large file in byte ranges there, so many tasks read it.
+
+    ``at`` rises in file order. A piece may hold several blocks (other line ends, blanks in the empty line); the next step parts them.
+    """
+    raw = (spark.readStream if streamed else spark.read).option("lineSep", sep).text(path)
+    body = F.regexp_replace(F.replace("value", F.lit(BOM), F.lit("")), "\r\n?", "\n")
+    track = _track(F.col("_metadata.file_path")).alias("track_id")
+    if streamed:
+        return raw.select(track, body.alias("text"))
+    # The start of the byte range, and the row in its task: fewer rows than bytes, so the next range comes after it.
+    at = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return raw.select(track, at.alias("at"), body.alias("text"))
+
+
+#: Blocks of one piece that keep their order in ``pos``.
+_IN_PIECE = 1 << 24
+
+
+def _split_blocks(pieces: DataFrame) -> DataFrame:
+    """Rows (track_id, pos, lines) of the blocks of pieces; ``pos`` rises in file order but isn't consecutive."""
+    each = pieces.where(trim_all("text") != "").select("track_id", "at", F.posexplode(F.split(trim_all("text"), r"\n[ \t]*\n\s*")).alias("_k", "_b"))
+    return each.select("track_id", (F.col("at") * _IN_PIECE + F.col("_k")).alias("pos"), F.split("_b", "\n").alias("lines"))
+
+
+def read_srt(spark: SparkSession, path: str, strict: bool = True, split: bool = False, line_end: str = "\n") -> DataFrame:
     """Cues of SRT files: (track_id, pos, idx, begin_ms, end_ms, text).
 
     Strict: blocks need a whole-number index, a time line and text; text keeps its line ends. Lenient: the
     index is not looked at, lines join with a space, empty texts drop. Malformed blocks are skipped.
+
+    ``split``: large files are cut at empty lines (of ``line_end``, which only decides where a file can be cut) and read by many tasks; ``pos`` then rises in file order with gaps.
     """
-    b = _blocks(_texts(spark, path), F.col("text")).where("size(lines) >= 3")
+    b = _split_blocks(_pieces(spark, path, line_end * 2)) if split else _blocks(_texts(spark, path), F.col("text"))
+    return _srt_cues(b, strict)
+
+
+def _srt_cues(b: DataFrame, strict: bool) -> DataFrame:
+    keys = [c for c in b.columns if c != "lines"]
+    b = b.where("size(lines) >= 3")
     times = F.split(F.col("lines")[1], " --> ")
     b = b.where(F.size(times) == 2)
     sep = "\n" if strict else " "
     body = trim_all(F.array_join(F.slice("lines", 3, F.size("lines")), sep))
-    out = b.select("track_id", "pos", trim_all(F.col("lines")[0]).try_cast("int").alias("idx"), srt_to_ms(times[0], not strict).alias("begin_ms"), srt_to_ms(times[1], not strict).alias("end_ms"), body.alias("text"))
+    out = b.select(*keys, trim_all(F.col("lines")[0]).try_cast("int").alias("idx"), srt_to_ms(times[0], not strict).alias("begin_ms"), srt_to_ms(times[1], not strict).alias("end_ms"), body.alias("text"))
     return out.where("idx is not null and begin_ms is not null and end_ms is not null") if strict else out.where("text <> ''")
 
 
-def read_vtt(spark: SparkSession, path: str, truncate: bool = False, hours: bool = True) -> DataFrame:
-    """Cues of VTT files; blocks must begin with their time line; lines join with a space; empty texts drop."""
-    texts = _texts(spark, path)
-    b = _blocks(texts, F.regexp_replace("text", r"^WEBVTT[^\n]*\n\n", "")).where(F.instr(F.col("lines")[0], "-->") > 0)
+def stream_srt(spark: SparkSession, path: str, strict: bool = True, line_end: str = "\n") -> DataFrame:
+    """Cues (track_id, idx, begin_ms, end_ms, text) of SRT files as they arrive in a folder; rules of ``read_srt``, with files cut as there.
+
+    A stream has no place in a file: ``idx`` and the times tell the order.
+    """
+    pieces = _pieces(spark, path, line_end * 2, streamed=True).where(trim_all("text") != "")
+    blocks = pieces.select("track_id", F.explode(F.split(trim_all("text"), r"\n[ \t]*\n\s*")).alias("_b")).select("track_id", F.split("_b", "\n").alias("lines"))
+    return _srt_cues(blocks, strict)
+
+
+def read_vtt(spark: SparkSession, path: str, truncate: bool = False, hours: bool = True, split: bool = False, line_end: str = "\n") -> DataFrame:
+    """Cues of VTT files; blocks must begin with their time line; lines join with a space; empty texts drop.
+
+    ``split``: as in ``read_srt``; ``idx`` is then the order among all cues of a track all the same.
+    """
+    if split:
+        b = _split_blocks(_pieces(spark, path, line_end * 2))
+    else:
+        texts = _texts(spark, path)
+        b = _blocks(texts, F.regexp_replace("text", r"^WEBVTT[^\n]*\n\n", ""))
+    b = b.where(F.instr(F.col("lines")[0], "-->") > 0)
     times = F.split(F.col("lines")[0], r"\s*-->\s*")
     body = trim_all(F.array_join(F.slice("lines", 2, F.size("lines")), " "))
     out = b.where(F.size(times) == 2).select("track_id", "pos", vtt_to_ms(times[0], truncate, hours).alias("begin_ms"), vtt_to_ms(times[1], truncate, hours).alias("end_ms"), body.alias("text"))
-    w = Window.partitionBy("track_id").orderBy("pos")
-    return out.where("text <> ''").withColumn("idx", F.row_number().over(w)).select("track_id", "pos", "idx", "begin_ms", "end_ms", "text")
+    return ranked(out.where("text <> ''"), "track_id", ["pos"], "idx", SPAN * _IN_PIECE if split else SPAN).select("track_id", "pos", "idx", "begin_ms", "end_ms", "text")
+
+
+#: The end of an element of XML, and character references to Unicode's characters.
+_PARAGRAPH = r"(?s)<(?:\w+:)?p(?:\s[^>]*)?(?:/>|>.*?</(?:\w+:)?p\s*>)"
+_REFERENCE = r"&(?:#(\d{1,7})|#[xX]([0-9A-Fa-f]{1,6})|(lt|gt|quot|apos|amp));"
+
+
+def xml_text(c: Column | str) -> Column:
+    """Character data of an XML fragment: comments and processing instructions go, CDATA stays as it is, tags go, references become characters.
+
+    A reference to no character, and any other name, stay as they are.
+    """
+    # CDATA apart: odd pieces are what stands in it.
+    bare = F.regexp_replace(c, r"(?s)<!--.*?-->|<\?.*?\?>", "")
+    pieces = F.split(F.regexp_replace(bare, r"(?s)<!\[CDATA\[(.*?)\]\]>", "\u0001$1\u0001"), "\u0001")
+
+    def told(piece: Column) -> Column:
+        # Each part after the first begins with a reference.
+        parts = F.split(F.regexp_replace(piece, r"<[^>]*>", ""), rf"(?={_REFERENCE})")
+        code = lambda x: F.coalesce(F.regexp_extract(x, f"^{_REFERENCE}", 1).try_cast("int"), F.conv(F.nullif(F.regexp_extract(x, f"^{_REFERENCE}", 2), F.lit("")), 16, 10).try_cast("int"))
+        known = F.create_map(*[F.lit(x) for pair in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")) for x in pair])
+        valid = lambda n: (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        char = lambda x: F.when(valid(code(x)), _character(code(x))).otherwise(known[F.regexp_extract(x, f"^{_REFERENCE}", 3)])
+        return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(f"^{_REFERENCE}"), F.coalesce(F.concat(char(x), F.regexp_replace(x, f"^{_REFERENCE}", "")), x)).otherwise(x)), "")
+
+    return F.array_join(F.transform(pieces, lambda x, k: F.when(k % 2 == 1, x).otherwise(told(x))), "")
+
+
+def _character(n: Column) -> Column:
+    """The character of a code point, by its four bytes of UTF-32."""
+    return F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
 
 
-def read_ttml(spark: SparkSession, path: str) -> DataFrame:
+def read_ttml(spark: SparkSession, path: str, split: bool = False, paragraph_end: str = "</p>") -> DataFrame:
     """Cues of TTML files in order of begin: every ``<p>`` of any prefix, nested text joined, white space collapsed.
 
-    A missing begin is 0, a missing end the begin; ticks use the document's tick rate; other times are skipped.
+    A missing begin is 0, a missing end the begin; ticks use the document's tick rate; other times are skipped. References and CDATA are
+    characters, comments are nothing. ``split``: large files are cut after ``paragraph_end`` and read by many tasks.
     """
-    t = _texts(spark, path)
-    rate = F.regexp_extract("text", r"tickRate\s*=\s*[\x22'](\d{1,12})[\x22']", 1).try_cast("long")
-    parts = F.regexp_extract_all("text", F.lit(r"(?s)<(?:\w+:)?p(?:\s[^>]*)?(?:/>|>.*?</(?:\w+:)?p>)"), F.lit(0))
-    e = t.select("track_id", rate.alias("_rate"), F.posexplode(parts).alias("_k", "_p"))
+    if split:
+        pieces = _pieces(spark, path, paragraph_end)
+        t = pieces.select("track_id", "at", F.concat("text", F.lit(paragraph_end)).alias("text"))
+    else:
+        t = _texts(spark, path).withColumn("at", F.lit(0).cast("long"))
+    hidden = F.regexp_replace("text", r"(?s)<!--.*?-->", "")
+    told = F.regexp_extract("text", r"tickRate\s*=\s*[\x22'](\d{1,12})[\x22']", 1).try_cast("long")
+    e = t.select("track_id", "at", told.alias("_own"), F.posexplode(F.regexp_extract_all(hidden, F.lit(_PARAGRAPH), F.lit(0))).alias("_k", "_p"))
+    if split:
+        # The rate stands before the first paragraph of a file: few pieces have one.
+        rates = t.where(told.isNotNull()).groupBy("track_id").agg(F.min_by(told, "at").alias("_rate"))
+        e = e.join(rates, "track_id", "left")
+    else:
+        e = e.withColumn("_rate", F.col("_own"))
     opening = F.regexp_extract("_p", r"^(<[^>]*>)", 1)
 
     def attr(name: str, default: Column) -> Column:
         raw = F.regexp_extract(opening, rf"\s{name}\s*=\s*[\x22']([^\x22']*)[\x22']", 1)
         return F.when(raw == "", default).otherwise(secs_to_ms(ticks_to_secs(raw, F.col("_rate")), True))
 
-    body = F.regexp_replace(F.regexp_replace("_p", r"^<[^>]*>|</(?:\w+:)?p>$", ""), r"<[^>]*>", "")
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
-        body = F.replace(body, F.lit(f"&{name};"), F.lit(char))
-    begin = attr("begin", F.lit(0).cast("long"))
-    e = e.withColumn("begin_ms", begin)
+    body = xml_text(F.regexp_replace("_p", r"^<[^>]*>|</(?:\w+:)?p\s*>$", ""))
+    e = e.withColumn("begin_ms", attr("begin", F.lit(0).cast("long")))
     e = e.withColumn("end_ms", attr("end", F.col("begin_ms"))).where("begin_ms is not null and end_ms is not null")
-    w = Window.partitionBy("track_id").orderBy("begin_ms", "_k")
-    return e.select("track_id", (F.row_number().over(w) - 1).alias("pos"), F.row_number().over(w).alias("idx"), "begin_ms", "end_ms", squeeze(body).alias("text"))
+    n = ranked(e, "track_id", ["begin_ms", "at", "_k"], "idx", span=1 << 22)
+    return n.select("track_id", (F.col("idx") - 1).alias("pos"), "idx", "begin_ms", "end_ms", squeeze(body).alias("text"))
 
 
 def parse_base_lines(lines: DataFrame, min_columns: int = 4, dedupe: str | None = "last") -> DataFrame:

@@ -54,7 +54,8 @@ def render_text_base(df: DataFrame, track: str = "track_id", order: str = "line_
     return _joined(df, track, order, F.concat_ws("\t", _field("value"), _field("pairs_raw"), _field("translation")), "\n")
 
 
-def _escaped(c: str) -> Column:
+def escaped(c: str) -> Column:
+    """Text of XML."""
     out = F.col(c)
     for char, name in (("&", "amp"), ("<", "lt"), (">", "gt")):
         out = F.replace(out, F.lit(char), F.lit(f"&{name};"))
@@ -63,7 +64,7 @@ def _escaped(c: str) -> Column:
 
 def render_ttml_secs(df: DataFrame, track: str = "track_id", order: str = "pos") -> DataFrame:
     """Rows (track_id, content): TTML with times in seconds."""
-    line = F.concat(F.lit('<p begin="'), ms_to_secs("begin_ms"), F.lit('" end="'), ms_to_secs("end_ms"), F.lit('">'), _escaped("text"), F.lit("</p>"))
+    line = F.concat(F.lit('<p begin="'), ms_to_secs("begin_ms"), F.lit('" end="'), ms_to_secs("end_ms"), F.lit('">'), escaped("text"), F.lit("</p>"))
     body = _joined(df, track, order, line, "\n")
     return body.withColumn("content", F.concat(F.lit('<tt xmlns="http://www.w3.org/ns/ttml"><body><div>\n'), "content", F.lit("\n</div></body></tt>")))
 
