@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ast
+import contextlib
+import json
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +36,43 @@ def parse_pairs(c: Column | str) -> Column:
     text = trim_all(c)
     items = F.regexp_extract_all(text, F.lit('"([^"]*)"'), F.lit(1))
     whole = lambda x, k: F.regexp_extract(x, _ITEM, k)
-    made = F.transform(items, lambda x: F.when(x.rlike(_ITEM), _struct(trim_all(whole(x, 1)), trim_all(whole(x, 2)), trim_all(whole(x, 3)))).otherwise(_struct(F.regexp_extract(x, r"(?U)^([^\s(]+)", 1), F.lit(""), F.lit(""))))
+    head = lambda x: _struct(F.regexp_extract(x, r"(?U)^([^\s(]+)", 1), F.lit(""), F.lit(""))
+    # The item's form is matched once, which parts it at a mark; one that holds the mark itself is matched for each part.
+    mark = "\u0001"
+    parted = F.transform(items, lambda x: F.struct(x.alias("x"), F.split(F.regexp_replace(x, _ITEM, f"$1{mark}$2{mark}$3"), mark).alias("p")))
+    marked = lambda x: F.when(x.rlike(_ITEM), _struct(trim_all(whole(x, 1)), trim_all(whole(x, 2)), trim_all(whole(x, 3)))).otherwise(head(x))
+    plain = lambda y: F.when(F.size(y["p"]) == 3, _struct(trim_all(y["p"][0]), trim_all(y["p"][1]), trim_all(y["p"][2]))).otherwise(head(y["x"]))
+    made = F.transform(parted, lambda y: F.when(y["x"].contains(mark), marked(y["x"])).otherwise(plain(y)))
     kept = F.filter(made, lambda x: x["word"] != "")
     return F.when(text.startswith("[") & text.endswith("]"), kept).otherwise(F.array().cast(f"array<{PAIR}>"))
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _list_literal(texts: pa.Array) -> pa.Array:
+    """The strings of a list literal as Python reads it; null if it is none."""
+
+    def read(text: str | None) -> list[str] | None:
+        if not text or not text.strip():
+            return None
+        if "\\" not in text:
+            with contextlib.suppress(ValueError, RecursionError):
+                plain = json.loads(text)
+                if isinstance(plain, list) and all(isinstance(x, str) for x in plain):
+                    return plain
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                told = ast.literal_eval(text)
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            return None
+        return [x.encode("utf-8", "replace").decode() for x in told if isinstance(x, str)] if isinstance(told, list) else None
+
+    return pa.array(map(read, texts.to_pylist()), pa.list_(pa.string()))
+
+
 def parse_pairs_strict(c: Column | str) -> Column:
-    """Structs of a list literal with single or double quotes; items need a colon; bad lists are empty."""
-    listed = F.from_json(trim_all(c), "array<string>", {"allowSingleQuotes": "true"})
+    """Structs of a Python list literal: any quotes, escapes and a last comma; items need a colon, others are left out; bad lists are empty."""
+    listed = _list_literal(_col(c))
     left = lambda x: trim_all(F.substring_index(x, ":", 1))
     pinyin = lambda x: F.regexp_extract(left(x), r"\(([^)]+)\)", 1)
     bare = lambda x: trim_all(F.replace(left(x), F.concat(F.lit("("), pinyin(x), F.lit(")")), F.lit("")))
@@ -141,11 +174,11 @@ def word_spans(df: DataFrame, text: str, pairs: str) -> DataFrame:
 
 
 def find_pairs_column(lines: DataFrame, track: str = "track_id", line_no: str = "line_no", value: str = "value") -> DataFrame:
-    """Rows (track_id, col): the first column that looks like a gloss list, by the first line that has one."""
+    """Rows (track_id, col, line_no): the first column that looks like a gloss list, by the first line that has one."""
     parts = F.split(value, "\t")
     looks = lambda x: trim_all(x).startswith("[") & x.contains(": ") & ((x.contains("(") & x.contains(")")) | (F.length(x) - F.length(F.replace(x, F.lit('"'), F.lit(""))) >= 2))
     at = F.array_position(F.transform(parts, looks), True).cast("int") - 1
-    return lines.select(F.col(track).alias("track_id"), F.col(line_no).alias("line_no"), at.alias("at")).where("at >= 0").groupBy("track_id").agg(F.min_by("at", "line_no").alias("col"))
+    return lines.select(F.col(track).alias("track_id"), F.col(line_no).alias("line_no"), at.alias("at")).where("at >= 0").groupBy("track_id").agg(F.min_by("at", "line_no").alias("col"), F.min("line_no").alias("line_no"))
 
 
 def keep_json_string_list(c: Column | str) -> Column:

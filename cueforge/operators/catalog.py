@@ -43,6 +43,13 @@ def choose_track_pair(files: DataFrame, track: str = "track_id", name: str = "na
     return counts.select(track, case.alias("case"), F.col("_f_zht").alias("zht"), f_other.alias("other"), "other_kind")
 
 
+def choose_subtitle_file(files: DataFrame, track: str = "track_id", name: str = "name") -> DataFrame:
+    """Rows (track, name, ext): the subtitle file of each folder, VTT before SRT, the first by name; folders without one have no row."""
+    ext = F.regexp_extract(name, r"(?i)\.(vtt|srt)$", 1)
+    known = files.select(track, F.col(name).alias("name"), F.lower(ext).alias("ext")).where("ext <> ''")
+    return known.groupBy(track).agg(F.min(F.struct((F.col("ext") != "vtt").alias("o"), "name", "ext")).alias("f")).select(track, "f.name", "f.ext")
+
+
 def rename_plan(files: DataFrame, folder: str = "folder", name: str = "name") -> DataFrame:
     """Rows (folder, name, target, status): ``renamed``, ``right``, ``invalid`` or ``exists``.
 

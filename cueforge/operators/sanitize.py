@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cueforge.functions.pairs import find_pairs_column, format_pairs, parse_pairs_strict
 from cueforge.functions.text import trim_all
 from cueforge.functions.timecode import _col
 
@@ -56,6 +57,23 @@ def filter_known_words(df: DataFrame, lexicon: DataFrame, keys: list[str], pairs
     return lists.select(*[F.col(c) if c in keys else told if c == pairs else F.col(f"_rest.`{c}`") for c in df.columns])
 
 
+def filter_known_in_lines(lines: DataFrame, lexicon: DataFrame, track: str = "track_id", line_no: str = "line_no", value: str = "value", small_lexicon: bool = False) -> DataFrame:
+    """``lines`` of tab-separated study files with the known words gone from their glosses, wherever these stand.
+
+    The gloss column is found by itself, once for a track, by its first line that has one (``find_pairs_column``); lines before that one, lines without
+    that column, and glosses that are no list stay as they are. A line whose glosses all go is dropped. Rules of
+    ``filter_known_words``; ``line_no`` tells the lines of a track apart.
+    """
+    at = find_pairs_column(lines, track, line_no, value).select(F.col("track_id").alias("_t"), F.col("col").alias("_col"), F.col("line_no").alias("_from"))
+    found = lines.join(at, F.col(track).eqNullSafe(F.col("_t")), "left").drop("_t").withColumn("_parts", F.split(value, "\t"))
+    own = F.when(F.col(line_no) >= F.col("_from"), F.get("_parts", F.col("_col")))
+    parsed = found.withColumn("_pairs", parse_pairs_strict(own))
+    kept = filter_known_words(parsed, lexicon, [track, line_no], "_pairs", small_lexicon=small_lexicon)
+    told = F.transform("_parts", lambda x, i: F.when(i == F.col("_col"), format_pairs("_pairs")).otherwise(x))
+    line = F.when(F.size("_pairs") > 0, F.array_join(told, "\t")).otherwise(F.col(value))
+    return kept.select(*[line.alias(c) if c == value else F.col(c) for c in lines.columns])
+
+
 def new_lexicon_entries(df: DataFrame, lexicon: DataFrame, order: list[str], pairs: str = "pairs") -> DataFrame:
     """Lexicon rows of words that it lacks, from their first occurrence by ``order``, confidence 1."""
     each = df.select(*order, F.posexplode_outer(pairs).alias("_no", "_pair")).where(trim_all("_pair.word") != "")

@@ -157,7 +157,7 @@ def c7(s, d):
 @query("c8_find_pairs_column", f"with {WORDS} select distinct track_id, 2 as col from gl where len(w) > 0")
 def c8(s, d):
     g = glosses(s, d).select("track_id", "line_no", F.concat_ws("\t", F.col("line_no").cast("string"), F.array_join("w", " "), "pairs_raw").alias("value"))
-    return P.find_pairs_column(g)
+    return P.find_pairs_column(g).select("track_id", "col")
 
 
 @query("c9_keep_json_list", f"""with {WORDS} select line_no, case when line_no % 3 = 0 then '["' || coalesce(array_to_string(w, '","'), '') || '"]' when line_no % 3 = 1 and len(w) > 0 then array_to_string(w, ' ') else 'N/A' end as kept from gl""")

@@ -197,12 +197,13 @@ def g6(s, d):
     return frames.sort_frames(_names(s, d)).select("track_id", "name", "second", "frame")
 
 
-@query("g8_frame_artifacts", f"""with {WORDS}, b as (select line_no % 1000 as second, max_by(list_transform(range(0, (len(w) + 2) // 3), lambda i: 'b' || chr(cast(97 + i as integer))), line_no) as letters from gl group by 1),
-    f as (select distinct 's' as track_id, lpad(cast(l_partkey % 1500 as varchar), 5, '0') || '_1.png' as name, l_partkey % 1500 as second from lineitem)
-    select 's' as track_id, name, unnest(case when b.second is null then ['resize'] else list_concat(['a'], letters, ['c']) end) as artifact from f left join b on f.second = b.second""")
+@query("g8_frame_artifacts", f"""with {WORDS}, b as (select track_id, line_no % 100 as second, max_by(list_transform(range(0, (len(w) + 2) // 3), lambda i: 'b' || chr(cast(97 + i as integer))), line_no) as letters from gl group by 1, 2),
+    f as (select distinct cast(l_suppkey as varchar) as track_id, lpad(cast(l_partkey % 150 as varchar), 5, '0') || '_1.png' as name, l_partkey % 150 as second from lineitem)
+    select f.track_id, name, unnest(case when b.second is null then ['resize'] else list_concat(['a'], letters, ['c']) end) as artifact from f left join b on f.track_id = b.track_id and f.second = b.second""")
 def g8(s, d):
-    base = glosses(s, d).select(F.lit("s").alias("track_id"), "line_no", (F.col("line_no") % 1000 * 1000).alias("begin_ms"), (F.col("line_no") % 1000 * 1000 + 900).alias("end_ms"), parse_pairs("pairs_raw").alias("pairs"))
-    f = table(s, d, "lineitem").select(F.lit("s").alias("track_id"), F.concat(F.lpad((F.col("l_partkey") % 1500).cast("string"), 5, "0"), F.lit("_1.png")).alias("name")).distinct()
+    """Documents as lines of a second each, a hundred a track; suppliers' parts as the frames of the track of that number."""
+    base = glosses(s, d).select("track_id", "line_no", (F.col("line_no") % 100 * 1000).alias("begin_ms"), (F.col("line_no") % 100 * 1000 + 900).alias("end_ms"), parse_pairs("pairs_raw").alias("pairs"))
+    f = table(s, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("track_id"), F.concat(F.lpad((F.col("l_partkey") % 150).cast("string"), 5, "0"), F.lit("_1.png")).alias("name")).distinct()
     return frames.frame_artifacts(f, base, policy="begin").select("track_id", "name", "artifact")
 
 
@@ -250,6 +251,14 @@ def e2(s, d):
     return out.select("line_no", format_pairs("pairs").alias("kept"), F.md5(F.col("zht").cast("binary")).alias("digest"))
 
 
+@query("e2_known_in_lines", f"""with {KEPT} select gl.line_no, md5(gl.line_no || chr(9) || '[' || coalesce(kept, '') || ']') as digest
+    from gl left join kp on gl.line_no = kp.line_no where kept is not null or n is null""")
+def e2_lines(s, d):
+    """Study lines whose glosses stand in the second column, which is found by itself."""
+    lines = glosses(s, d).select("track_id", "line_no", F.concat_ws("\t", F.col("line_no").cast("string"), "pairs_raw").alias("value"))
+    return sanitize.filter_known_in_lines(lines, lexicon(s, d)).select("line_no", F.md5(F.col("value").cast("binary")).alias("digest"))
+
+
 @query("e3_new_lexicon_entries", f"""with {WORDS}, r as (select *, row_number() over (partition by word order by track_id, line_no, pos) as k from it)
     select word, pinyin, translation, 1 as confidence_level from r where k = 1 and length(word) > 4""")
 def e3(s, d):

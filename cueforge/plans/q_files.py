@@ -138,7 +138,8 @@ def _episodes(s, d):
 @query("a9_a10_episodes_json", f"with {_EPISODES} select id, episode_number, chapter_date, title, url, type from ep")
 def a9(s, d):
     path = scratch(s, "episodes")
-    writers.write_episodes_json(_episodes(s, d), path, "https://example.org", "2024-01-01")
+    e = _episodes(s, d)
+    writers.write_episodes_json(e.withColumn("season", F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(50))), path, "https://example.org", "2024-01-01", source="season")
     return readers.read_episodes(s, path)
 
 
@@ -222,6 +223,15 @@ def f7(s, d):
     return catalog.choose_track_pair(table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("track_id"), name.alias("name")))
 
 
+@query("f7_subtitle_file", """with n as (select cast(l_orderkey as varchar) as track_id, l_suppkey || case when l_linenumber % 3 = 0 then '.vtt' when l_linenumber % 3 = 1 then '.srt' else '.mp4' end as name from lineitem),
+    k as (select *, row_number() over (partition by track_id order by name not like '%.vtt', name) as k from n where name not like '%.mp4')
+    select track_id, name, right(name, 3) as ext from k where k = 1""")
+def f7_file(s, d):
+    k = F.col("l_linenumber") % 3
+    name = F.concat(F.col("l_suppkey").cast("string"), F.when(k == 0, ".vtt").when(k == 1, ".srt").otherwise(".mp4"))
+    return catalog.choose_subtitle_file(table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("track_id"), name.alias("name")))
+
+
 _PICTURES = """pc as (select distinct cast(l_suppkey as varchar) as folder, case when l_linenumber = 1 then lpad(cast(l_partkey % 50 as varchar), 4, '0') || '.png' when l_linenumber = 2 then 'cover' || l_partkey % 50 || '.png' when l_linenumber = 3 then '0' || l_partkey % 50 || '.png' else l_partkey % 50 || '.png' end as name from lineitem)"""
 _PLAN = """pl as (select folder, name, case when name not like 'cover%' then lpad(replace(name, '.png', ''), 4, '0') || '.png' end as target from pc),
     st as (select *, case when target is null then 'invalid' when target = name then 'right' when row_number() over (partition by folder, target order by target <> name, name) = 1 then 'renamed' else 'exists' end as status from pl)"""

@@ -98,16 +98,22 @@ def write_ttml_secs(df: DataFrame, path: str) -> None:
     _store(render_ttml_secs(df), path)
 
 
-def episodes_envelope(df: DataFrame, source_url: str, extraction_date: str, order: str = "pos") -> DataFrame:
-    """One row (value): the JSON envelope of a source's episodes."""
+def episodes_envelope(df: DataFrame, source_url: str, extraction_date: str, order: str = "pos", source: str | None = None) -> DataFrame:
+    """One row (value) of all, or a row (source, value) a source, with the JSON envelope of its episodes.
+
+    A source's address is ``source_url`` and its name. Each envelope is made where its source's episodes meet.
+    """
     e = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*EPISODE_COLUMNS).alias("e")))), lambda x: x["e"])
-    meta = F.struct(F.lit(source_url).alias("source_url"), F.lit(extraction_date).alias("extraction_date"), F.count("*").cast("int").alias("total_episodes"))
-    return df.agg(F.to_json(F.struct(meta.alias("metadata"), e.alias("episodes"))).alias("value"))
+    address = F.lit(source_url) if source is None else F.concat(F.lit(source_url + "/"), F.coalesce(F.col(source).cast("string"), F.lit("")))
+    meta = F.struct(address.alias("source_url"), F.lit(extraction_date).alias("extraction_date"), F.count("*").cast("int").alias("total_episodes"))
+    value = F.to_json(F.struct(meta.alias("metadata"), e.alias("episodes"))).alias("value")
+    return df.agg(value) if source is None else df.groupBy(source).agg(value)
 
 
-def write_episodes_json(df: DataFrame, path: str, source_url: str, extraction_date: str, order: str = "pos") -> None:
-    """The envelope as a file."""
-    episodes_envelope(df, source_url, extraction_date, order).write.mode("overwrite").text(path)
+def write_episodes_json(df: DataFrame, path: str, source_url: str, extraction_date: str, order: str = "pos", source: str | None = None) -> None:
+    """The envelope as a file; with ``source`` a folder for each source."""
+    told = episodes_envelope(df, source_url, extraction_date, order, source).write.mode("overwrite")
+    (told if source is None else told.partitionBy(source)).text(path)
 
 
 def write_episodes_csv(df: DataFrame, path: str) -> None:

@@ -121,7 +121,7 @@ def test_word_spans(spark):
 
 def test_pairs_column(spark):
     df = spark.createDataFrame([("a", 1, "1\tx\ty"), ("a", 2, f"1\tx\t{SAMPLE}"), ("a", 3, f"{SAMPLE}\tx")], "track_id string, line_no int, value string")
-    assert [tuple(r) for r in P.find_pairs_column(df).collect()] == [("a", 2)]
+    assert [tuple(r) for r in P.find_pairs_column(df).collect()] == [("a", 2, 2)]
 
 
 def test_items_of_other_shapes(spark):
@@ -138,3 +138,22 @@ def test_long_lines(spark):
     starts = sorted(r.span_start for r in spans.collect())
     line = " ".join(words)
     assert starts == [i for i in range(len(line)) if line.startswith("w1", i)]
+
+
+def test_list_literals_as_python_reads_them(spark):
+    import ast
+
+    texts = [r"""['it\'s (x): a', "say \"b\": c", 'd: e',]""", r"""["a\u4f60 (b): c", 'x' ' y: z', "t:\ttab"]""", "[1, None, 'a: b', ['c: d']]", "('a: b',)", '["a: b", true]', "['a: b'", "['''long: q''']", " ['p: q']", "['p: q'] x", "", None, "[]", r"['\ud800: x']", '["a: b"]', "['" + "w (p): t', '" * 3000 + "z: y']"]
+    got = [r.p for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", P.parse_pairs_strict("t").alias("p")).orderBy("i").collect()]
+    for text, found in zip(texts, got, strict=True):
+        try:
+            listed = ast.literal_eval(text) if text and text.strip() else []
+        except (SyntaxError, ValueError):
+            listed = []
+        own = [x.encode("utf-8", "replace").decode() for x in listed if isinstance(x, str) and ":" in x] if isinstance(listed, list) else []
+        assert [x.translation for x in found] == [x.split(":", 1)[1].strip() for x in own]
+
+
+def test_marks_in_items(spark):
+    got = spark.createDataFrame([('["w\u0001v (p): t", "a\u0001 b", "w (p\u0001): t", "x (y): z"]',)], "s string").select(P.parse_pairs("s").alias("p")).first().p
+    assert [tuple(x) for x in got] == [("w\u0001v", "p", "t"), ("a\u0001", "", ""), ("w", "p\u0001", "t"), ("x", "y", "z")]

@@ -314,3 +314,34 @@ def test_phrase_tables_are_a_chain_of_replaces(spark, bound, monkeypatch):
                 t = t.replace(old, new)
             assert got[k] == t
     assert translate.replace_phrases(df, phrases.limit(0)).where("not (traditional <=> text)").count() == 0
+
+
+def test_known_words_go_wherever_the_glosses_stand(spark):
+    g = lambda *w: "[" + ", ".join(f'"{x} (p): t"' for x in w) + "]"
+    lines = [("a", 1, "[SOM]\tx"), ("a", 2, f"1\tz\t{g('x', 'y')}\tpt"), ("a", 3, f"2\tz\t{g('x')}\tpt"), ("a", 4, "3"), ("a", 5, "4\tz\t[broken\tpt"), ("a", 6, f"{g('x')}\tz\t[]"), ("b", 1, f"{g('x')}\t{g('y')}"), ("b", 2, f"{g('y')}\tk"), ("c", 1, "x"), (None, 1, f"q\t{g('y', 'x')}")]
+    df = spark.createDataFrame([(*x, "keep") for x in lines], "track_id string, line_no int, value string, extra string")
+    lexicon = spark.createDataFrame([("x", 3), ("y", 1)], "word string, confidence_level int")
+    got = {(r.track_id, r.line_no): r.value for r in sanitize.filter_known_in_lines(df, lexicon).collect()}
+    want = {(t, n): v for t, n, v in lines} | {("a", 2): f"1\tz\t{g('y')}\tpt", (None, 1): f"q\t{g('y')}"}
+    del want["a", 3], want["b", 1]
+    assert got == want
+    assert sanitize.filter_known_in_lines(df, lexicon).columns == df.columns
+
+
+def test_subtitle_file_of_a_folder(spark):
+    names = [("a", "x.srt"), ("a", "z.vtt"), ("a", "b.vtt"), ("b", "n.srt"), ("b", "m.srt"), ("c", "x.mp4"), ("d", "a.vtt.bak"), ("d", "Q.VTT"), (None, "s.srt")]
+    got = {tuple(r) for r in catalog.choose_subtitle_file(spark.createDataFrame(names, "track_id string, name string")).collect()}
+    assert got == {("a", "b.vtt", "vtt"), ("b", "m.srt", "srt"), ("d", "Q.VTT", "vtt"), (None, "s.srt", "srt")}
+
+
+def test_episodes_by_source(spark, tmp_path):
+    from cueforge.sources import readers, writers
+
+    rows = [(f"s{k % 3}", k, str(k), "1", "01/01/2024", 'a "t"\nb', f"/v/{k}", "episode") for k in range(20)]
+    df = spark.createDataFrame(rows, "source string, pos int, id string, episode_number string, chapter_date string, title string, url string, type string")
+    writers.write_episodes_json(df, "file://" + str(tmp_path / "x"), "https://e.org", "2024", source="source")
+    got = [tuple(r) for r in readers.read_episodes(spark, "file://" + str(tmp_path / "x")).collect()]
+    assert sorted(got) == sorted(r[2:] for r in rows)
+    envelopes = {r.source: r for r in writers.episodes_envelope(df, "https://e.org", "2024", source="source").selectExpr("source", "from_json(value, 'metadata struct<source_url:string,total_episodes:int>, episodes array<struct<id:string>>') as v").select("source", "v.*").collect()}
+    assert {k: (v.metadata.source_url, v.metadata.total_episodes) for k, v in envelopes.items()} == {"s0": ("https://e.org/s0", 7), "s1": ("https://e.org/s1", 7), "s2": ("https://e.org/s2", 6)}
+    assert [e.id for e in envelopes["s1"].episodes] == ["1", "4", "7", "10", "13", "16", "19"]
