@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueforge.functions.matching import Rewriter, automaton
@@ -132,3 +133,63 @@ def distinct_enrichment(df: DataFrame, text_col: str, fn: Callable[[str], str],
     texts = texts.repartition(parallelism, "_t") if parallelism else texts
     done = texts.mapInPandas(rows, f"_t string, `{out}` string")
     return df.join(done.withColumnRenamed("_t", text_col), text_col, "left").select(*df.columns, out)
+
+
+ANSWERS = "model string, key string, answer string, error string, attempts int, tried_at double, next_try double"
+
+
+def _known_answers(spark: SparkSession, cache: str, model: str) -> DataFrame:
+    """Rows (key, answer, attempts, next_try): the last that is known of each text, answers before failures."""
+    try:
+        stored = spark.read.schema(ANSWERS).parquet(cache)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], ANSWERS)
+    last = F.struct(F.col("answer").isNotNull().alias("told"), "tried_at", "attempts", "answer", "next_try")
+    return stored.where(F.col("model") == model).groupBy("key").agg(F.max(last).alias("r")).select("key", "r.answer", "r.attempts", "r.next_try")
+
+
+def cached_enrichment(df: DataFrame, text_col: str, fn: Callable[[str], str], cache: str, model: str, out: str = "enriched", rounds: int = 1, parallelism: int | None = None, per_second: float | None = None, retry_after_s: float = 60.0, permanent: tuple[type[Exception], ...] = (ValueError,), now: float | None = None) -> DataFrame:
+    """``df`` with ``out`` = ``fn(text)``, asked once for each text and ``model`` in all runs that share the table ``cache``.
+
+    Answers and failures are appended to the table by (model, SHA-256 of the text); each of ``rounds`` shares of the new texts is a job whose rows
+    appear when it is committed, so a run that is killed loses the share in hand and no other. A failure is asked again when
+    its next try is due: after ``retry_after_s``, doubled with each attempt; an error in ``permanent`` never is. Until then ``out`` is null.
+    ``per_second`` bounds the calls of all tasks together, of which there are ``parallelism`` (the session's shuffle partitions if None).
+
+    Null texts are not asked; equal texts are asked once; ``now`` (seconds since 1970) is the clock if it is not given.
+    """
+    spark = df.sparkSession
+    clock = time.time() if now is None else now
+    tasks = parallelism or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pause = tasks / per_second if per_second else 0.0
+    key = F.sha2(F.col("_t").cast("binary"), 256)
+    texts = df.select(F.col(text_col).cast("string").alias("_t")).where("_t is not null").distinct().withColumn("key", key)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free = 0.0
+        for batch in batches:
+            rows = []
+            for k, text, attempts in zip(*(batch.column(c).to_pylist() for c in ("key", "_t", "attempts")), strict=True):
+                time.sleep(max(0.0, free - time.monotonic()))
+                free = time.monotonic() + pause
+                n, answer, error, due = (attempts or 0) + 1, None, None, None
+                try:
+                    answer = fn(text)
+                    error = "no answer" if answer is None else None
+                except Exception as e:
+                    error = f"{type(e).__name__}: {e}"[:500]
+                    due = None if isinstance(e, permanent) else clock + retry_after_s * 2 ** (n - 1)
+                rows.append({"model": model, "key": k, "answer": answer, "error": error, "attempts": n, "tried_at": clock, "next_try": due})
+            yield pa.RecordBatch.from_pylist(rows, stored)
+
+    text, number = pa.string(), pa.float64()
+    stored = pa.schema([("model", text), ("key", text), ("answer", text), ("error", text), ("attempts", pa.int32()), ("tried_at", number), ("next_try", number)])
+    for k in range(rounds):
+        known = _known_answers(spark, cache, model)
+        share = texts.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == k).join(known, "key", "left")
+        due = share.where("answer is null and (attempts is null or next_try <= {})".format(repr(clock)))
+        due.select("key", "_t", "attempts").repartition(tasks, "key").mapInArrow(ask, ANSWERS).write.mode("append").parquet(cache)
+    told = _known_answers(spark, cache, model).where("answer is not null").select(F.col("key").alias("_key"), F.col("answer").alias(out))
+    return df.withColumn("_key", F.sha2(F.col(text_col).cast("string").cast("binary"), 256)).join(told, "_key", "left").select(*df.columns, out)

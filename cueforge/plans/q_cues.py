@@ -46,15 +46,18 @@ MERGED = f"""{EV}, {_VIEWS},
     al as (select sm.*, coalesce(mt.text, 'N/A') as match from sm left join mt on sm.track_id = mt.track_id and sm.pos = mt.pos and k = 1)"""
 
 
-def _two_tracks(s, d):
+def two_tracks(s, d):
     e = cues(s, d)
     return e.where("text = 'view'"), e.where("text <> 'view'").withColumn("text", F.concat("text", F.lit("#"), F.col("pos").cast("string")))
 
 
-@query("e1_align_tracks", f"""with {_MATCH} select src.track_id, src.pos, src.begin_ms, src.end_ms, src.text, coalesce(met.text || '#' || o_pos, 'N/A') as match
-    from src left join met on src.track_id = met.track_id and src.pos = met.pos and k = 1""")
+ALIGNED = f"""with {_MATCH} select src.track_id, src.pos, src.begin_ms, src.end_ms, src.text, coalesce(met.text || '#' || o_pos, 'N/A') as match
+    from src left join met on src.track_id = met.track_id and src.pos = met.pos and k = 1"""
+
+
+@query("e1_align_tracks", ALIGNED)
 def e1(s, d):
-    a, o = _two_tracks(s, d)
+    a, o = two_tracks(s, d)
     return align.align_tracks(a, o, bin_ms=3_600_000).select("track_id", "pos", "begin_ms", "end_ms", "text", "match")
 
 
@@ -321,14 +324,14 @@ def _upper(text: str) -> str:
     return text.upper()[::-1]
 
 
-def _digest(text: str) -> str:
+def digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
 @query("f3_distinct_enrichment", "select conv_id, turn, sha256(text) as digest from conversations")
 def f3(s, d):
     c = table(s, d, "conversations")
-    return translate.distinct_enrichment(c, "text", _digest).select("conv_id", "turn", F.col("enriched").alias("digest"))
+    return translate.distinct_enrichment(c, "text", digest).select("conv_id", "turn", F.col("enriched").alias("digest"))
 
 
 @query("e10_resume_from", f"""with {EV}, l as (select track_id, max(pos) as idx from ev where pos % 3 = 0 and begin_ms < {_LIMIT} group by track_id)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueforge.functions.text import ZHT_DROPPED
-from cueforge.plans import pipelines
-from cueforge.plans.q_cues import KEPT, MERGED as _MERGED_SQL, _digest, _two_tracks, _upper
+from cueforge.operators import translate
+from cueforge.plans import pipelines, q_cues
+from cueforge.plans.q_cues import KEPT, MERGED as _MERGED_SQL, _upper, digest, two_tracks
 from cueforge.plans.registry import query, table
 from cueforge.plans.stand_ins import EV, WORDS, cues, glosses, lexicon, scratch
 from cueforge.streaming import jobs
@@ -17,7 +18,7 @@ from cueforge.streaming import jobs
 
 @query("p1_build_base", f"with {_MERGED_SQL} select track_id, cast(row_number() over (partition by track_id order by begin_ms, pos) as integer) as idx, begin_ms, end_ms, text as zht, 'N/A' as pairs_raw, match as pt from al")
 def p1(s, d):
-    a, o = _two_tracks(s, d)
+    a, o = two_tracks(s, d)
     return pipelines.build_base(a, o).select("track_id", "idx", "begin_ms", "end_ms", "zht", "pairs_raw", "pt")
 
 
@@ -69,7 +70,7 @@ def _gloss(text: str) -> str:
 def p4(s, d):
     lines = table(s, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("n", "value")).withColumn("n", F.col("n").cast("long") + 1)
     known = lines.select(F.regexp_extract("value", "[A-Za-z0-9]+", 0).alias("word")).where("length(word) = 5").distinct().withColumns({"confidence_level": F.lit("3")})
-    out = pipelines.text_study_base(lines, _gloss, _digest, known, "[éèêçñüß]", ("conv_id", "turn", "n"))
+    out = pipelines.text_study_base(lines, _gloss, digest, known, "[éèêçñüß]", ("conv_id", "turn", "n"))
     return out.select("conv_id", "turn", "n", F.md5(F.col("value").cast("binary")).alias("digest"), "pairs_raw", "translation")
 
 
@@ -163,3 +164,24 @@ def s3(s, d):
 @query("s4_stream_dedupe", "select distinct user_id as id from events")
 def s4(s, d):
     return _drained(s, jobs.stream_dedupe(_streamed(s, _timed(s, d, "kind").withColumnRenamed("user_id", "id"), "ts", "kind"), "id", "3650 days"), "append").select("id")
+
+
+def _closed(df: DataFrame, days: int) -> DataFrame:
+    """``df`` with a cue so much later that all others can come out of a stream."""
+    last = df.agg((F.max("begin_ms") + days * 86_400_000).alias("begin_ms")).where("begin_ms is not null")
+    return df.unionByName(last.select(F.lit("~end").alias("track_id"), F.lit(-1).cast("long").alias("pos"), "begin_ms", (F.col("begin_ms") + 1).alias("end_ms"), F.lit("end").alias("text")))
+
+
+@query("e1_stream_align", q_cues.ALIGNED)
+def e1_stream(s, d):
+    """The two tracks of ``e1_align_tracks`` as two streams."""
+    a, o = (_streamed(s, _closed(x, 60), "begin_ms", "track_id") for x in two_tracks(s, d))
+    return _drained(s, jobs.stream_align(a, o, "20 days", "1 day"), "append").select("track_id", "pos", "begin_ms", "end_ms", "text", "match")
+
+
+@query("f3_lasting_answers", "select conv_id, turn, sha256(text) as digest from conversations")
+def f3_lasting(s, d):
+    """Answers in a table that a second run reads: the first run asks for what users say."""
+    c, cache = table(s, d, "conversations"), scratch(s, "answers")
+    translate.cached_enrichment(c.where("role = 'user'"), "text", digest, cache, "sha256")
+    return translate.cached_enrichment(c, "text", digest, cache, "sha256").select("conv_id", "turn", F.col("enriched").alias("digest"))

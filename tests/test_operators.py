@@ -345,3 +345,58 @@ def test_episodes_by_source(spark, tmp_path):
     envelopes = {r.source: r for r in writers.episodes_envelope(df, "https://e.org", "2024", source="source").selectExpr("source", "from_json(value, 'metadata struct<source_url:string,total_episodes:int>, episodes array<struct<id:string>>') as v").select("source", "v.*").collect()}
     assert {k: (v.metadata.source_url, v.metadata.total_episodes) for k, v in envelopes.items()} == {"s0": ("https://e.org/s0", 7), "s1": ("https://e.org/s1", 7), "s2": ("https://e.org/s2", 6)}
     assert [e.id for e in envelopes["s1"].episodes] == ["1", "4", "7", "10", "13", "16", "19"]
+
+
+def test_answers_are_asked_once_in_all_runs(spark, tmp_path):
+    calls, cache = spark.sparkContext.accumulator(0), "file://" + str(tmp_path / "answers")
+
+    def fn(text):
+        calls.add(1)
+        if text.startswith("bad"):
+            raise ValueError("never")
+        if text.startswith("busy"):
+            raise TimeoutError("later")
+        return text.upper()
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, "bad"), (6, "busy"), (7, "")], "k int, t string")
+    told = lambda df, fn, now, **more: {x.k: x.enriched for x in translate.cached_enrichment(df, "t", fn, cache, "m", now=now, retry_after_s=10, **more).collect()}
+    assert told(df, fn, 100.0, rounds=3) == {1: "A", 2: "B", 3: "A", 4: None, 5: None, 6: None, 7: ""}
+    assert calls.value == 5
+    assert told(df, fn, 105.0)[1] == "A" and calls.value == 5
+    assert told(df, fn, 111.0)[6] is None and calls.value == 6
+    assert told(df, fn, 125.0)[6] is None and calls.value == 6
+    assert told(df, lambda t: t + "!", 131.0) == {1: "A", 2: "B", 3: "A", 4: None, 5: None, 6: "busy!", 7: ""}
+    assert told(df.limit(0), fn, 131.0) == {}
+    dead = spark.read.parquet(cache).where("answer is null and next_try is null")
+    assert [(x.error, x.attempts) for x in dead.collect()] == [("ValueError: never", 1)]
+
+
+def test_calls_of_all_tasks_are_paced(spark, tmp_path):
+    import time
+
+    df = spark.createDataFrame([(str(k),) for k in range(12)], "t string")
+    began = time.time()
+    assert translate.cached_enrichment(df, "t", str.upper, "file://" + str(tmp_path / "a"), "m", parallelism=2, per_second=6).where("enriched is null").count() == 0
+    assert time.time() - began > 0.6
+
+
+def test_a_killed_run_loses_only_its_share(spark, tmp_path):
+    cache = "file://" + str(tmp_path / "answers")
+    df = spark.createDataFrame([(str(k),) for k in range(40)], "t string")
+
+    def dies(text):
+        if text == "7":
+            raise SystemExit("killed")
+        return text
+
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        translate.cached_enrichment(df, "t", dies, cache, "m", rounds=8)
+    kept = spark.read.parquet(cache).count()
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        calls.add(1)
+        return text
+
+    assert translate.cached_enrichment(df, "t", count, cache, "m").where("enriched = t").count() == 40
+    assert calls.value == 40 - kept < 40
