@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -21,31 +22,33 @@ def automaton(words: Iterable[str]) -> ahocorasick.Automaton | None:
     return machine
 
 
-def longest_segments(text: str, words: Sequence[str | None]) -> Iterator[tuple[str, int]]:
-    """(part, k) from left to right: the longest word that begins at a place and its first place in ``words``, else one character and -1."""
+def longest_segments(text: str, words: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and words of the parts of ``text`` from left to right: the longest word that begins at a place, as its first place in ``words``, else one character and -1."""
     machine = automaton(w or "" for w in words)
     if machine is None:
-        yield from ((c, -1) for c in text)
-        return
+        return np.arange(len(text)), np.full(len(text), -1)
     best = np.full(len(text), -1)
-    found = np.array(list(machine.iter(text)), np.int64).reshape(-1, 2)
+    after = np.arange(1, len(text) + 1)
+    found = np.fromiter(chain.from_iterable(machine.iter(text)), np.int64).reshape(-1, 2)
     length = np.array([len(w or "") for w in words])[found[:, 1]]
     order = np.argsort(length, kind="stable")
-    best[(found[:, 0] + 1 - length)[order]] = found[order, 1]  # of several at a place the last one stays, the longest
-    at = 0
-    best = best.tolist()
+    begin = (found[:, 0] + 1 - length)[order]
+    # Of several at a place the last one stays, the longest.
+    best[begin] = found[order, 1]
+    after[begin] = begin + length[order]
+    onward, starts, at = after.tolist(), [], 0
     while at < len(text):
-        k = best[at]
-        part = text[at] if k < 0 else words[k]
-        yield part, k
-        at += len(part)
+        starts.append(at)
+        at = onward[at]
+    starts = np.array(starts, np.int64)
+    return starts, best[starts]
 
 
 def occurrences(text: str, words: Sequence[str | None]) -> list[np.ndarray]:
     """Starts of the occurrences of each word, none overlapping another of the same word; equal words have equal starts."""
     none = np.zeros(0, np.int32)
     machine = automaton(w or "" for w in words)
-    found = np.array(list(machine.iter(text)) if machine else [], np.int64).reshape(-1, 2)
+    found = np.fromiter(chain.from_iterable(machine.iter(text)) if machine else (), np.int64).reshape(-1, 2)
     order = np.argsort(found[:, 1], kind="stable")
     k, end = found[order, 1], found[order, 0]
     own: dict[str, np.ndarray] = {}

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,19 +112,30 @@ _SEGMENT = ("text", "pinyin", "translation")
 
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in _SEGMENT])))
 def _segments(texts: pa.Array, pairs: pa.Array) -> pa.Array:
-    off, parts, glosses, at, null = [0], [], [("", "")], [], []
-    for text, own in zip(texts.to_pylist(), pairs.to_pylist(), strict=True):
-        own = [p for p in own or [] if p is not None and p["word"]]
-        begin = len(glosses)
-        glosses += [(p["pinyin"], p["translation"]) for p in own]
-        for x, k in longest_segments(text or "", [p["word"] for p in own]):
-            parts.append(x)
-            at.append(begin + k if k >= 0 else 0)
-        null.append(text is None)
-        off.append(len(parts))
-    place = pa.array(at, pa.int32())
-    told = [pa.array([g[k] for g in glosses], pa.string()).take(place) for k in (0, 1)]
-    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays([pa.array(parts, pa.string()), *told], _SEGMENT), mask=pa.array(null))
+    """The parts of a text follow each other in its bytes: only where they begin is computed."""
+    flat = pairs.flatten()
+    fields = dict(zip([f.name for f in flat.type], flat.flatten(), strict=True))
+    words, cut = fields["word"].to_pylist(), np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(pairs), 0).to_numpy()))).tolist()
+    raw, begins, told, count, base = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0], 0
+    for i, text in enumerate(texts.to_pylist()):
+        text = text or ""
+        starts, k = longest_segments(text, words[cut[i] : cut[i + 1]])
+        own = text.encode()
+        if len(own) > len(text):
+            starts = np.flatnonzero((np.frombuffer(own, np.uint8) & 0xC0) != 0x80)[starts]
+        raw.append(own)
+        begins.append(starts + base)
+        told.append(np.where(k < 0, -1, k + cut[i]))
+        count.append(len(starts))
+        base += len(own)
+    place = np.concatenate(told)
+    taken = pa.array(place, mask=place < 0)
+    parts = pa.Array.from_buffers(pa.string(), len(place), [None, pa.py_buffer(np.append(np.concatenate(begins), base).astype(np.int32)), pa.py_buffer(b"".join(raw))])
+    # A part that is no word has empty fields; a gloss's own null stays null.
+    other = pa.array(place < 0)
+    given = [pc.if_else(other, "", fields[n].take(taken)) for n in ("pinyin", "translation")]
+    items = pa.StructArray.from_arrays([parts, *given], _SEGMENT)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(count).astype(np.int32)), items, mask=pc.is_null(texts))
 
 
 def word_places(df: DataFrame, text: str, pairs: str, out: str = "places") -> DataFrame:

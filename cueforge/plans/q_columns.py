@@ -151,7 +151,8 @@ def c6(s, d):
     select line_no, pos as pair_no, cast((length(t) - length(replace(t, word, ''))) // length(word) as bigint) as spans, strpos(t, word) - 1 as first_start from x""")
 def c7(s, d):
     g = glosses(s, d).select("line_no", F.array_join("w", " ").alias("t"), "pairs_raw")
-    return P.word_spans(g, "t", "pairs_raw").groupBy("line_no", "pair_no").agg(F.count("*").alias("spans"), F.min("span_start").cast("long").alias("first_start"))
+    places = P.word_places(g, "t", "pairs_raw").select("line_no", F.explode("places").alias("p"))
+    return places.select("line_no", "p.pair_no", F.size("p.starts").cast("long").alias("spans"), F.array_min("p.starts").cast("long").alias("first_start"))
 
 
 @query("c8_find_pairs_column", f"with {WORDS} select distinct track_id, 2 as col from gl where len(w) > 0")
