@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cueforge.operators import catalog, dedup, quality, retime, web
-from cueforge.plans.registry import query, table
+from cueforge.plans.registry import query, spread, table
 from cueforge.plans.stand_ins import EV, FILES, WORDS, cues, files, glosses, scratch
 from cueforge.sources import readers, tracks, writers
 
@@ -283,7 +283,7 @@ _CARD = r"trim(regexp_replace(regexp_replace(a, '<[^>]+>', ' ', 'g'), '\\s+', '
     select page_id, cast(pos as integer) as pos, id, episode_number, coalesce(dated, 'Capítulo ' || id) as chapter_date, 'Episódio ' || episode_number || coalesce(', ' || dated, '') as title, url, 'episode' as type from r""")
 def h3(s, d):
     # Any word may follow a number here, so that the pages have numbers to be found.
-    return web.extract_episodes(table(s, d, "pages"), link_re=r"^/[A-Za-z]", id_re=r"^/([^/?]+)", word_re="[a-z]+")
+    return web.extract_episodes(spread(table(s, d, "pages").select("page_id", "html")), link_re=r"^/[A-Za-z]", id_re=r"^/([^/?]+)", word_re="[a-z]+")
 
 
 @query("h5_dedupe_by_id", "select id, page_id from (select *, row_number() over (partition by id order by page_id) as k from (select page_id, split_part(url, '/', 3) as id from pages)) where k = 1")

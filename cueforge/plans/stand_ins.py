@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueforge.plans.registry import table
+from cueforge.plans.registry import spread, table
 
 #: Events as cues: a track for each user, times since 2024-01-01, lengths of value minutes.
 EV = """ev as (select cast(user_id as varchar) as track_id, event_id as pos, epoch_us(ts) // 1000 - 1704067200000 as begin_ms,
@@ -35,7 +35,7 @@ def glosses(spark: SparkSession, d: str) -> DataFrame:
     w = F.expr(r"filter(split(coalesce(text, ''), '[^\\p{L}\\p{N}]+'), x -> x <> '')")
     item = "concat('\"', v[3 * i], ' (', coalesce(get(v, 3 * i + 1), 'x'), '): ', coalesce(get(v, 3 * i + 2), 'y'), '\"')"
     places = "if(size(v) = 0, cast(array() as array<int>), sequence(0, cast((size(v) - 1) div 3 as int)))"
-    g = table(spark, d, "documents").select(F.expr("cast(doc_id div 100 as string)").alias("track_id"), F.col("doc_id").alias("line_no"), w.alias("w"))
+    g = spread(table(spark, d, "documents").select("doc_id", "text")).select(F.expr("cast(doc_id div 100 as string)").alias("track_id"), F.col("doc_id").alias("line_no"), w.alias("w"))
     return g.withColumn("pairs_raw", F.expr(f"element_at(transform(array(w), v -> concat('[', array_join(transform({places}, i -> {item}), ', '), ']')), 1)"))
 
 
