@@ -18,9 +18,9 @@ DIM = 1024
 #: Grid of a document's unit vector in the sums.
 UNIT = 1 << 36
 GRAM = 3
-#: Texts bundled at once; the n-gram counts of so many are one matrix.
+#: Texts bundled at once.
 BUNDLE = 192
-#: Letters looked at for each matrix; longer texts are counted in pieces that are added up.
+#: Letters looked at at once; longer texts are counted in pieces that are added up.
 PIECE = 400_000
 GAP = 0
 
@@ -30,16 +30,20 @@ def _is_letter() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-@functools.cache
+#: Vectors of letters and n-grams that a worker remembers, of DIM bytes each.
+KEPT = 40_000
+
+
+@functools.lru_cache(maxsize=KEPT)
 def letter_vector(code: int) -> np.ndarray:
     """The random bipolar vector of a code point (GAP stands between words); the same on every machine."""
-    return (np.random.default_rng([11, code]).integers(0, 2, DIM, dtype=np.int8) * 2 - 1).astype(np.float32)
+    return np.random.default_rng([11, code]).integers(0, 2, DIM, dtype=np.int8) * np.int8(2) - np.int8(1)
 
 
-@functools.lru_cache(maxsize=60_000)
+@functools.lru_cache(maxsize=KEPT)
 def gram_vector(gram: tuple[int, ...]) -> np.ndarray:
     """Bound n-gram: the product of its letters' vectors, each permuted by its place."""
-    out = np.ones(DIM, np.float32)
+    out = np.ones(DIM, np.int8)
     for place, code in enumerate(gram):
         out = out * np.roll(letter_vector(code), GRAM - 1 - place)
     return out
@@ -83,13 +87,16 @@ def _add(texts: list[str | None], out: np.ndarray, letters: np.ndarray) -> None:
         ok = d[: len(gram)] == d[GRAM - 1 :]
         gram, own = gram[ok], d[: len(ok)][ok]
         ids, col = np.unique(gram, return_inverse=True)
-        if not len(ids):
-            continue
-        counts = np.bincount(own * len(ids) + col, minlength=len(lower) * len(ids)).reshape(len(lower), len(ids)).astype(np.float32)
+        # Each text's trigrams with their counts, in order of trigram: only a block of them is laid out as a matrix.
+        pair, n = np.unique(col * len(lower) + own, return_counts=True)
+        col, own = pair // len(lower), pair % len(lower)
         for b in range(0, len(ids), 8192):
             part = ids[b : b + 8192]
+            block = slice(*np.searchsorted(col, (b, b + len(part))))
+            counts = np.zeros((len(lower), len(part)), np.float32)
+            counts[own[block], col[block] - b] = n[block]
             places = np.stack([known[part // m ** (GRAM - 1 - k) % m] for k in range(GRAM)], axis=1)
-            out += counts[:, b : b + 8192] @ np.stack([gram_vector(tuple(g)) for g in places.tolist()])
+            out += counts @ np.stack([gram_vector(tuple(g)) for g in places.tolist()]).astype(np.float32)
 
 
 @dataclass

@@ -1,8 +1,11 @@
 """Corpus operators against brute force on small tables, with nulls, empty and repeated rows."""
 
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 
@@ -237,6 +240,31 @@ def test_language(spark):
 # 5 top-k
 
 
+def test_language_worker_stays_small():
+    """Texts of many scripts, each with letters of its own, in a process that does nothing else."""
+    code = """
+import random, resource, sys
+from cueforge.llm import langid
+r = random.Random(1)
+low = [0x41, 0x410, 0x5D0, 0x627, 0x905, 0xE01, 0x3041, 0x4E00, 0xAC00]
+texts = ["".join(chr(low[k % 9] + r.randrange(25 if k % 9 < 7 else 8000)) for _ in range(2000)) for k in range(96)] + ["".join(chr(0x4E00 + r.randrange(20000)) for _ in range(2000)) for _ in range(96)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+langid.bundles(texts)
+print(before // 1024, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    before, after = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))).stdout.split())
+    assert after < 400, (before, after)
+
+
+def test_language_bundles_are_sums_of_gram_vectors():
+    text = "ab ÇĞ"
+    padded = " ab çğ "
+    codes = [langid.GAP if c == " " else ord(c) for c in padded]
+    want = sum(langid.gram_vector(tuple(codes[i : i + 3])).astype(int) for i in range(len(codes) - 2))
+    got, letters = langid.bundles([text, None, "x" * 1000])
+    assert got[0].tolist() == want.tolist() and letters.tolist() == [4, 0, 1000]
+
+
 def test_topk_equals_brute_force(spark):
     r = np.random.default_rng(4)
     x = [r.normal(0, 0.3, 16).astype(float).tolist() for _ in range(400)]
