@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import itertools
-import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueforge.functions.timecode import _col
+from cueforge.operators.storage import stored
 
-#: Files of a folder that one task orders; larger folders go by rounds of joins.
-FOLDER_FILES = 20_000
+#: Close pairs of a folder that one task orders; folders with more go by rounds of joins.
+FOLDER_PAIRS = 1_000_000
 
 
 def average_hash(c: Column | str) -> Column:
@@ -39,8 +39,6 @@ def _keep_first(pairs: pd.DataFrame) -> pd.DataFrame:
 
 def _by_rounds(pairs: DataFrame) -> DataFrame:
     """The same rule for folders of any size: each round decides the files whose earlier neighbours are all decided."""
-    spark = pairs.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     state = pairs.select("folder", F.col("earlier").alias("file_no")).union(pairs.select("folder", F.col("later").alias("file_no"))).distinct()
     state = state.withColumn("s", F.lit("open")).withColumn("of", F.lit(None).cast("long"))
     while True:
@@ -49,10 +47,7 @@ def _by_rounds(pairs: DataFrame) -> DataFrame:
         j = state.join(seen, ["folder", "file_no"], "left")
         s = F.when(F.col("s") != "open", F.col("s")).when(F.col("k").isNotNull(), "gone").when(F.coalesce("n", F.lit(0)) == 0, "kept").otherwise("open")
         state = j.select("folder", "file_no", s.alias("s"), F.coalesce("of", F.when(s == "gone", F.col("k"))).alias("of"))
-        if where:
-            path = f"{where.rstrip('/')}/frames-{uuid.uuid4().hex}"
-            state.write.parquet(path)
-            state = spark.read.parquet(path)
+        state = stored(state, "frames")
         if not state.where("s = 'open'").head(1):
             return state.where("s = 'gone'").select("folder", "file_no", "of")
 
@@ -63,8 +58,7 @@ def near_duplicates(df: DataFrame, threshold: int = 5, folder: str = "folder", o
     In file order a picture goes if at most ``threshold`` hex digits of its hash differ from a kept one's.
     Exact copies go first and are compared no further. The sixteen digits are cut in threshold + 2
     bands: close hashes share two of them, so candidates come from an equi-join on equal pairs of bands; equal hashes
-    collapse before. Folders of up to ``FOLDER_FILES`` linked files are ordered by one task, larger
-    ones by rounds of joins.
+    collapse before. The close pairs are stored once; folders of up to ``FOLDER_PAIRS`` of them are ordered by one task, others by rounds of joins.
     """
     base = df.select(F.col(folder).alias("folder"), F.col(order).cast("long").alias("file_no"), "md5", "ahash")
     w = Window.partitionBy("folder", "md5").orderBy("file_no")
@@ -82,11 +76,10 @@ def near_duplicates(df: DataFrame, threshold: int = 5, folder: str = "folder", o
     y = banded.select("folder", "b", "v", F.col("file_no").alias("later"), F.col("ahash").alias("h2"))
     differ = F.aggregate(F.sequence(F.lit(1), F.lit(16)), F.lit(0), lambda a, i: a + F.when(F.substr("ahash", i, F.lit(1)) != F.substr("h2", i, F.lit(1)), 1).otherwise(0))
     pairs = banded.join(y, ["folder", "b", "v"]).where("file_no < later").where(differ <= threshold).select("folder", F.col("file_no").alias("earlier"), "later").distinct()
-    sizes = pairs.groupBy("folder").agg(F.approx_count_distinct("later").alias("_n"))
-    sized = pairs.join(sizes, "folder")
-    small = sized.where(F.col("_n") <= FOLDER_FILES).drop("_n").groupBy("folder").applyInPandas(_keep_first, base.select("folder", "file_no", F.col("file_no").alias("of")).schema)
-    large = sized.where(F.col("_n") > FOLDER_FILES).drop("_n")
-    gone = small.union(_by_rounds(large)) if sizes.where(F.col("_n") > FOLDER_FILES).head(1) else small
+    pairs = stored(pairs, "close-frames")
+    large = pairs.groupBy("folder").count().where(F.col("count") > FOLDER_PAIRS).select("folder")
+    small = pairs.join(large, "folder", "left_anti").groupBy("folder").applyInPandas(_keep_first, base.select("folder", "file_no", F.col("file_no").alias("of")).schema)
+    gone = small.union(_by_rounds(pairs.join(large, "folder", "left_semi"))) if large.head(1) else small
     # A picture with the hash of an earlier one: similar to that if it is kept, else to what dropped that.
     told = same.join(gone.select("folder", F.col("file_no").alias("_head"), "of"), ["folder", "_head"], "left")
     status = F.when(F.col("of").isNotNull() | (F.col("file_no") != F.col("_head")), "similar").otherwise("unique")

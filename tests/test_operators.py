@@ -226,7 +226,7 @@ def model_keep(items, threshold=5):
 
 @pytest.mark.parametrize("seed,most", [(1, 20_000), (2, 20_000), (3, 0)])
 def test_near_duplicates_equal_model(spark, seed, most, monkeypatch):
-    monkeypatch.setattr(dedup, "FOLDER_FILES", most)
+    monkeypatch.setattr(dedup, "FOLDER_PAIRS", most)
     r = random.Random(seed)
     seeds = ["".join(r.choice("0123456789abcdef") for _ in range(16)) for _ in range(6)]
     items = []
