@@ -73,9 +73,10 @@ def near_duplicates(df: DataFrame, threshold: int = 5, folder: str = "folder", o
     both = list(itertools.combinations(range(n), 2)) if threshold <= 14 else [(i, i) for i in range(n)]
     bands = F.array(*[F.struct(F.lit(i * n + j).alias("b"), F.concat(band[i], band[j]).alias("v")) for i, j in both])
     banded = heads.select("folder", "file_no", "ahash", F.explode(bands).alias("x")).select("folder", "file_no", "ahash", "x.b", "x.v")
+    x = banded.select("folder", "b", "v", F.col("file_no").alias("earlier"), F.col("ahash").alias("h1"))
     y = banded.select("folder", "b", "v", F.col("file_no").alias("later"), F.col("ahash").alias("h2"))
-    differ = F.aggregate(F.sequence(F.lit(1), F.lit(16)), F.lit(0), lambda a, i: a + F.when(F.substr("ahash", i, F.lit(1)) != F.substr("h2", i, F.lit(1)), 1).otherwise(0))
-    pairs = banded.join(y, ["folder", "b", "v"]).where("file_no < later").where(differ <= threshold).select("folder", F.col("file_no").alias("earlier"), "later").distinct()
+    differ = F.aggregate(F.sequence(F.lit(1), F.lit(16)), F.lit(0), lambda a, i: a + F.when(F.substr("h1", i, F.lit(1)) != F.substr("h2", i, F.lit(1)), 1).otherwise(0))
+    pairs = x.join(y, ["folder", "b", "v"]).where("earlier < later").where(differ <= threshold).select("folder", "earlier", "later").distinct()
     pairs = stored(pairs, "close-frames")
     large = pairs.groupBy("folder").count().where(F.col("count") > FOLDER_PAIRS).select("folder")
     small = pairs.join(large, "folder", "left_anti").groupBy("folder").applyInPandas(_keep_first, base.select("folder", "file_no", F.col("file_no").alias("of")).schema)
