@@ -31,31 +31,34 @@ BASE = {
 _GROUP = "[0-9A-Fa-f]{1,4}"
 #: Names that come before a secret, as far as ``=`` or ``:``.
 LABEL = (
-    r"(?iu:pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|private|auth|encryption|signing)[_-]?key"
-    r"|passwort|kennwort|contraseña|mot\x20de\x20passe|senha|пароль|密码|密碼)"
+    r"(?=[acekmpstACEKMPSTпП密])(?i:pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|private|auth|encryption|signing)[_-]?key"
+    r"|passwort|kennwort|contraseña|mot\x20de\x20passe|senha|[пП]ароль|ПАРОЛЬ|密码|密碼)"
     r"(?:[_-][A-Za-z0-9]{1,20}){0,4}+(?![A-Za-z0-9])[\x22\x27]?\x20{0,2}[:=：]\x20{0,2}[\x22\x27]?"
 )
 #: Forms of keys that their issuers begin alike, signed tokens and bearer headers.
 ISSUED = (
     r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsur]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{20,}+|glpat-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+"
     r"|AIza[A-Za-z0-9_-]{35}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}+|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]*+)?"
-    r"|(?i:bearer)\x20{1,2}[A-Za-z0-9._~+/=-]{16,}+)"
+    r"|(?:[Bb]earer|BEARER)\x20{1,2}[A-Za-z0-9._~+/=-]{16,}+)"
 )
+#: Literals of which one is in every text with a labelled or issued secret or a key block.
+SECRET_MARKS = "= : ： AKIA ASIA ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- xox AIza k_live_ k_test_ sk- eyJ PRIVATE earer BEARER"
+_RUN = r"[A-Za-z0-9+/_-](?<![A-Za-z0-9+/_=-].)(?<=(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z]).)[A-Za-z0-9+/_-]{31,}+={0,2}"
 _PEM = r"(?:[A-Z0-9]{1,12}\x20){0,3}PRIVATE\x20KEY-----"
 #: Further candidates: national and looser forms, and secrets by label, by issuer's prefix, as key blocks and as long runs of mixed characters.
 LOOSE = {
-    "ip": rf"(?<![0-9A-Za-z_:.])(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{1,6}}(?::{_GROUP}){{1,6}}|::(?:{_GROUP}:){{0,6}}{_GROUP}|(?:{_GROUP}:){{1,7}}:)(?![0-9A-Za-z_:])",
+    "ip": rf"(?=[0-9A-Fa-f:])(?<![0-9A-Za-z_:.])(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{1,6}}(?::{_GROUP}){{1,6}}|::(?:{_GROUP}:){{0,6}}{_GROUP}|(?:{_GROUP}:){{1,7}}:)(?![0-9A-Za-z_:])",
     "card": r"[0-9](?<![0-9][0-9])[0-9]{3}(?:(?:[\x20-]?[0-9]{4}){3}|[\x20-]?[0-9]{6}[\x20-]?[0-9]{5})(?![0-9])",
-    "phone": r"(?:\+?[0-9](?<![0-9][0-9])[0-9]{0,2}[\x20.-]?\([0-9]{2,4}\)[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}"
+    "phone": r"(?=[+(0-9])(?:\+?[0-9](?<![0-9][0-9])[0-9]{0,2}[\x20.-]?\([0-9]{2,4}\)[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}"
     r"|(?<![0-9A-Za-z.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?!-))(?![0-9])",
     "secret": rf"{LABEL}(?:(?i:bearer|basic)\x20{{1,2}})?+[^\s\x22\x27,;|]{{6,}}+|(?<![A-Za-z0-9]){ISSUED}"
     rf"|-----BEGIN\x20{_PEM}(?:\s*+[A-Za-z0-9+/=]{{16,}}+)*+(?:\s*+[A-Za-z0-9+/=]{{1,15}}+(?=\s*+-----END))?+(?:\s*+-----END\x20{_PEM})?+"
-    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{32,}+={0,2}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ssn": r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+    rf"|{_RUN}",
+    "iban": r"[A-Z](?<![A-Za-z0-9].)[A-Z][0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ssn": r"[0-9](?<![0-9A-Za-z.-].)[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
 }
 #: What a text must hold for a pattern to be tried at all.
-GUARDS = {"email": ["@"], "phone": ["+"], "ip?": ["::", ":"], "ssn?": ["-"]}
+GUARDS = {"email": ["@"], "phone": ["+"], "ip?": [":"], "ssn?": ["-"], "secret?": [*SECRET_MARKS.split(), lambda text: _has(text, _RUN)]}
 
 #: Gazetteers and context words.
 TLDS = "com org net edu gov mil int info biz io co uk de fr es it nl pt br eu ch at be se no dk fi pl cz ru ua jp cn kr in au nz ca us mx ar cl za tr gr ie il"
@@ -74,7 +77,11 @@ CONTEXT = {
 _BLOCK = 256
 
 
-def _occurrences(text: str, regex: str, guard: list[str], rare: bool = False) -> str:
+def _has(text: str, regex: str) -> str:
+    return f"{text} rlike '{regex.replace("\\", "\\\\").replace("'", "\\'")}'"
+
+
+def _occurrences(text: str, regex: str, guard: list, rare: bool = False) -> str:
     """SQL: array of (start, end, value, before, after) of the leftmost non-overlapping matches.
 
     One pass marks the matches; the pieces between the marks give the places. Pieces are summed by
@@ -91,7 +98,7 @@ def _occurrences(text: str, regex: str, guard: list[str], rare: bool = False) ->
         (a, x) -> named_struct('at', a.at + length(x), 'k', a.k + 1, 'out', if(a.k % 2 = 1, array_append(a.out, {item}), a.out)), a -> a.out)"""
     sums = f"transform({blocks}, b -> aggregate({own}, 0L, (s, x) -> s + length(x)))"
     found = f"element_at(transform(array({cut}), p -> element_at(transform(array({sums}), sums -> flatten(transform({blocks}, b -> {block}))), 1)), 1)"
-    tried = f"({' or '.join(f"instr({text}, '{g}') > 0" for g in guard) or 'true'})" + (f" and {text} rlike '{quoted}'" if rare else "")
+    tried = f"({' or '.join(f"contains({text}, '{g}')" if isinstance(g, str) else g(text) for g in guard) or 'true'})" + (f" and {text} rlike '{quoted}'" if rare else "")
     return f"if({tried}, {found}, {empty})"
 
 
@@ -255,7 +262,8 @@ def fit(docs: DataFrame, text: str = "text", bound: int = 20_000) -> SpanModel:
     the ``bound`` most frequent (kind, votes, traits), and every possible (kind, votes) at a tenth of the weight, so that
     kinds which the corpus lacks are judged as the labelers' votes weigh by EM's prior.
     """
-    x = candidates(docs, text).select(F.explode("_spans").alias("x"))
+    # Outer, or else the spans were found once more for a filter on their number.
+    x = candidates(docs, text).select(F.explode_outer("_spans").alias("x")).where("x is not null")
     table = materialize(x.groupBy("x.kind", "x.votes", "x.shape").count(), "span-patterns")
     voted = {(r["kind"], tuple(r["votes"])): r["n"] for r in table.groupBy("kind", "votes").agg(F.sum("count").alias("n")).collect()}
     seen = [(r["kind"], tuple(r["votes"]), tuple(r["shape"]), r["count"]) for r in table.orderBy(F.desc("count"), "kind", "votes", "shape").limit(bound).collect()]
