@@ -41,19 +41,26 @@ def first_window_base(df: DataFrame, limit_ms: int = 60_000, track: str = "track
     return first_window(df, limit_ms, track, order, clamp=False)
 
 
-def chunk_fixed(cues: DataFrame, durations: DataFrame, chunk_ms: int = 30_000, track: str = "track_id", order: str = "pos") -> DataFrame:
+def chunk_fixed(cues: DataFrame, durations: DataFrame, chunk_ms: int = 30_000, track: str = "track_id", order: str = "pos", empty: bool = True) -> DataFrame:
     """Every chunk of ``durations(track, duration_ms)`` with its cues: chunk_no, chunk_start_ms, chunk_end_ms, chunk_idx and the cue's columns.
 
     A cue is in the chunk that holds its begin; a chunk without cues has one row of null cue
-    columns; cues at or beyond the duration are dropped.
+    columns; cues at or beyond the duration are dropped. Without ``empty`` only chunks with cues are given: the work then
+    follows the cues and not the lengths of the tracks.
     """
+    w = Window.partitionBy(track, "chunk_no").orderBy(order)
+    if not empty:
+        known = durations.where("duration_ms > 0").select(track, "duration_ms")
+        met = cues.withColumn("chunk_no", F.floor(F.col("begin_ms") / chunk_ms)).where("chunk_no >= 0").join(known, track).where("begin_ms < duration_ms")
+        start, end = F.col("chunk_no") * chunk_ms, F.least((F.col("chunk_no") + 1) * chunk_ms, F.col("duration_ms"))
+        rest = [c for c in cues.columns if c != track]
+        return met.select(track, "chunk_no", start.alias("chunk_start_ms"), end.alias("chunk_end_ms"), *rest).withColumn("chunk_idx", F.row_number().over(w))
     last = F.greatest(F.ceil(F.col("duration_ms") / chunk_ms) - 1, F.lit(0))
     chunks = durations.where("duration_ms > 0").select(track, "duration_ms", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk_no"))
     chunks = chunks.select(track, "chunk_no", (F.col("chunk_no") * chunk_ms).alias("chunk_start_ms"), F.least((F.col("chunk_no") + 1) * chunk_ms, F.col("duration_ms")).alias("chunk_end_ms"))
     placed = cues.withColumns({"_track": F.col(track), "_no": F.floor(F.col("begin_ms") / chunk_ms)}).drop(track)
     met = (F.col(track) == F.col("_track")) & (F.col("chunk_no") == F.col("_no")) & (F.col("begin_ms") < F.col("chunk_end_ms"))
     joined = chunks.join(placed, met, "left").drop("_track", "_no")
-    w = Window.partitionBy(track, "chunk_no").orderBy(order)
     return joined.withColumn("chunk_idx", F.when(F.col("begin_ms").isNotNull(), F.row_number().over(w)))
 
 

@@ -80,6 +80,18 @@ def test_windows_and_chunks(spark):
     assert rows(there, "pos", "begin_ms") == rows(cues, "pos", "begin_ms")
 
 
+def test_chunks_with_cues_follow_the_cues(spark):
+    far = 4 * 10**15  # over a hundred thousand million chunks before the cue
+    cues = spark.createDataFrame([("a", 0, far + 5, far + 9, "x"), ("a", 1, far + 7, far + 9, "late"), ("a", 2, -1, 5, "y"), ("b", 0, 0, 5, "z"), ("b", 1, 29999, 5, "k"), ("b", 2, None, 5, "n"), (None, 0, 1, 5, "n"), ("c", 0, 1, 5, "none")], CUE)
+    long = spark.createDataFrame([("a", far + 7), ("b", 40000), (None, 50), ("c", 0)], "track_id string, duration_ms long")
+    got = retime.chunk_fixed(cues, long, empty=False)
+    near = [x.where("track_id <> 'a'") for x in (cues, long)]
+    whole = retime.chunk_fixed(*near).where("pos is not null")
+    assert got.columns == whole.columns and got.dtypes == whole.dtypes
+    assert rows(got.where("track_id = 'b'"), *whole.columns) == rows(whole, *whole.columns)
+    assert rows(got.where("track_id = 'a'"), "pos", "chunk_no", "chunk_end_ms") == [(0, far // 30000, far + 7)]
+
+
 BASE = f"track_id string, line_no int, begin_ms long, end_ms long, zht string, pairs_raw string, pt string, pairs array<{PAIR}>"
 
 
