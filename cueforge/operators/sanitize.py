@@ -6,7 +6,7 @@ would compute a derived list twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueforge.functions.pairs import find_pairs_column, format_pairs, parse_pairs_strict
@@ -39,22 +39,34 @@ def filter_known_words(df: DataFrame, lexicon: DataFrame, keys: list[str], pairs
     """``df`` with the glosses whose word is not known; rows whose glosses all go are dropped.
 
     A word is known at confidence ``known_level``; a confidence that is no whole number is 0. Rows
-    without glosses stay. Only the known words meet the rows, by a join on the word;
-    ``small_lexicon`` asserts that they fit a broadcast. ``keys`` identify a row. The rows are read once: the
-    other columns travel with the first gloss of a row.
+    without glosses stay. Only words and their places meet the known ones, by a join on the word;
+    ``small_lexicon`` asserts that they fit a broadcast. ``keys`` identify a row: the rows themselves are
+    shuffled once at most, to meet the places that go.
     """
-    known = lexicon.where(F.coalesce(F.col("confidence_level").cast("string").try_cast("int"), F.lit(0)) == known_level).select("word", F.lit(True).alias("_known")).distinct()
+    met = _with_known_places(df, F.transform(pairs, lambda p: p["word"]), lexicon, keys, known_level, small_lexicon)
+    n = F.coalesce(F.size(pairs), F.lit(0))
+    kept = _kept(F.col(pairs)).alias("_kept")
+    out = met.select("*", kept).where((F.size("_kept") > 0) | (n <= 0) | F.coalesce(F.exists(pairs, lambda p: p.isNull()), F.lit(False)))
+    told = F.when(F.size("_kept") > 0, F.col("_kept")).when(n <= 0, F.col(pairs))
+    return out.select(*[told.alias(c) if c == pairs else F.col(c) for c in df.columns])
+
+
+def _with_known_places(df: DataFrame, words: Column, lexicon: DataFrame, keys: list[str], known_level: int, small_lexicon: bool) -> DataFrame:
+    """``df`` with ``_gone``: the places, from 0, of the ``words`` of a row that the lexicon knows; null without any."""
+    known = lexicon.where(F.coalesce(F.col("confidence_level").cast("string").try_cast("int"), F.lit(0)) == known_level).select("word").distinct()
     known = F.broadcast(known) if small_lexicon else known
-    rest = F.struct(F.lit(0).alias("_"), *[c for c in df.columns if c not in (*keys, pairs)])
-    listed = F.transform(pairs, lambda p, i: F.struct(i.alias("no"), p.alias("pair"), F.when(i == 0, rest).alias("rest")))
-    alone = F.array(F.struct(F.lit(0).alias("no"), F.get(pairs, F.lit(0)).alias("pair"), rest.alias("rest")))
-    each = df.select(*keys, F.explode_outer(F.when(F.size(pairs) > 0, listed).otherwise(alone)).alias("_x"), F.when(F.size(pairs) > 0, F.lit(None)).otherwise(F.col(pairs)).alias("_as_was"))
-    met = each.withColumn("word", F.col("_x.pair.word")).join(known, "word", "left")
-    keep = F.when(F.col("_known").isNull() & (trim_all("word") != ""), F.struct("_x.no", "_x.pair"))
-    lists = met.groupBy(*keys).agg(F.first("_x.rest", ignorenulls=True).alias("_rest"), F.array_sort(F.collect_list(keep)).alias("_kept"), F.first("_as_was", ignorenulls=True).alias("_as_was"), F.max(F.col("_x.pair").isNull()).alias("_none"))
-    lists = lists.where((F.size("_kept") > 0) | F.col("_none"))
-    told = F.when(F.size("_kept") > 0, F.transform("_kept", lambda x: x["pair"])).otherwise(F.col("_as_was")).alias(pairs)
-    return lists.select(*[F.col(c) if c in keys else told if c == pairs else F.col(f"_rest.`{c}`") for c in df.columns])
+    named = {c: f"_key{i}" for i, c in enumerate(keys)}
+    each = df.select(*[F.col(c).alias(k) for c, k in named.items()], F.posexplode_outer(words).alias("_no", "word"))
+    gone = each.join(known, "word", "left_semi").groupBy(*named.values()).agg(F.collect_list("_no").alias("_gone"))
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in named.items()]
+    return df.join(gone, same, "left").drop(*named.values())
+
+
+def _kept(pairs: Column) -> Column:
+    """The glosses whose places aren't in ``_gone`` and that have a word, in order."""
+    places = F.when(F.size(pairs) > 0, F.sequence(F.lit(0), F.size(pairs) - 1)).otherwise(F.array().cast("array<int>"))
+    left = F.array_except(places, F.coalesce("_gone", F.array().cast("array<int>")))
+    return F.filter(F.transform(left, lambda i: F.get(pairs, i)), lambda p: trim_all(p["word"]) != "")
 
 
 def filter_known_in_lines(lines: DataFrame, lexicon: DataFrame, track: str = "track_id", line_no: str = "line_no", value: str = "value", small_lexicon: bool = False) -> DataFrame:
@@ -65,12 +77,15 @@ def filter_known_in_lines(lines: DataFrame, lexicon: DataFrame, track: str = "tr
     ``filter_known_words``; ``line_no`` tells the lines of a track apart.
     """
     at = find_pairs_column(lines, track, line_no, value).select(F.col("track_id").alias("_t"), F.col("col").alias("_col"), F.col("line_no").alias("_from"))
-    found = lines.join(at, F.col(track).eqNullSafe(F.col("_t")), "left").drop("_t").withColumn("_parts", F.split(value, "\t"))
-    own = F.when(F.col(line_no) >= F.col("_from"), F.get("_parts", F.col("_col")))
-    parsed = found.withColumn("_pairs", parse_pairs_strict(own))
-    kept = filter_known_words(parsed, lexicon, [track, line_no], "_pairs", small_lexicon=small_lexicon)
-    told = F.transform("_parts", lambda x, i: F.when(i == F.col("_col"), format_pairs("_pairs")).otherwise(x))
-    line = F.when(F.size("_pairs") > 0, F.array_join(told, "\t")).otherwise(F.col(value))
+    found = lines.join(at, F.col(track).eqNullSafe(F.col("_t")), "left").drop("_t")
+    parts = F.split(value, "\t")
+    pairs = parse_pairs_strict(F.when(F.col(line_no) >= F.col("_from"), F.get(parts, F.col("_col"))))
+    # The glosses are parsed where their words are looked up and again where they are written, so that a line travels as it is.
+    met = _with_known_places(found, F.transform(pairs, lambda p: p["word"]), lexicon, [track, line_no], 3, small_lexicon)
+    parsed = met.withColumn("_pairs", pairs)
+    kept = parsed.withColumn("_kept", _kept(F.col("_pairs"))).where("size(_kept) > 0 or size(_pairs) = 0")
+    told = F.transform(parts, lambda x, i: F.when(i == F.col("_col"), format_pairs("_kept")).otherwise(x))
+    line = F.when(F.size("_kept") > 0, F.array_join(told, "\t")).otherwise(F.col(value))
     return kept.select(*[line.alias(c) if c == value else F.col(c) for c in lines.columns])
 
 

@@ -305,6 +305,16 @@ def test_filter_known_words_keeps_other_columns(spark):
     assert got == {1: ("a", ["y"]), 3: ("c", []), 4: (None, ["y", "y"]), 5: ("e", None)}
 
 
+def test_known_words_meet_no_texts(spark):
+    df = spark.createDataFrame([(k, f"note {k}", [(w, "p", "t") for w in ("x", "y") * 3]) for k in range(3)], "k int, note string, pairs array<struct<word:string,pinyin:string,translation:string>>")
+    lexicon = spark.createDataFrame([("x", "3")], "word string, confidence_level string")
+    kept = sanitize.filter_known_words(df, lexicon, ["k"])
+    assert rows(kept.select("k", F.array_join(F.transform("pairs", lambda p: p["word"]), "").alias("w"), "note"), "k", "w", "note") == [(k, "yyy", f"note {k}") for k in range(3)]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.splitlines() if "Generate" in line]
+    assert made and not any("note" in line or "pinyin" in line for line in made)
+
+
 def test_base_rows_without_an_end(spark):
     lines = [("t", 1, "1\t1.0s\tx\t字\tN/A\tp"), ("t", 2, "2\t9.0s\t9.1s\t（字）\t[]\t"), ("t", 3, "3\tbad\t9.1s\t字\t[]\tp")]
     got = rows(readers.parse_base_lines(spark.createDataFrame(lines, "track_id string, line_no int, value string")), "begin_ms", "end_ms", "zht", "pt", "layout")
