@@ -33,6 +33,14 @@ def test_equals_sql(spark, duck, name):
     assert got[1] == want[1]
 
 
+def test_frames_of_long_part_keys(spark, tmp_path):
+    c = duckdb.connect()
+    c.execute(f"copy (select 100 + k as l_suppkey, k * 12345 as l_partkey, k % 7 as l_linenumber, 1.0 + k % 5 as l_quantity from range(1, 200) t(k)) to '{tmp_path}/lineitem.parquet' (format parquet)")
+    c.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    got, want = rows(QUERIES["g6_sort_frames"](spark, str(tmp_path)).toPandas()), rows(c.execute(ORACLES["g6_sort_frames"]).df())
+    assert got == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
