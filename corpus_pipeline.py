@@ -23,7 +23,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents whose five-word shingles have a Jaccard similarity of 0.8 the smallest doc_id stays.
 
-    Texts without words are equal to each other. Rows with a null doc_id stay; rows that repeat a doc_id stay or go
+    SimHash values within two bits, found by pigeonring, link first, and whole sets confirm; pairs of 0.8 that are further apart follow by their
+    rarest shingles. Texts without words are equal to each other. Rows with a null doc_id stay; rows that repeat a doc_id stay or go
     together; an empty table stays empty.
     """
     return neardup.keep_first(docs)

@@ -1,4 +1,4 @@
-"""Exact near-duplicates by Jaccard similarity of shingle sets: prefixes make candidates, sketches prune them, whole sets decide."""
+"""Near-duplicates by Jaccard similarity of shingle sets: SimHash values link first, prefixes make the candidates beyond, sketches prune them, whole sets decide."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cueforge.llm.common import discard, drawn, hash_words, materialize, slices, split_words, window_hashes
 from cueforge.llm.graph import connected_components
+from cueforge.llm.simhash import fingerprints, link_fingerprints
 
 #: Documents from which common shingles are learned, and how many shingles are kept. Both only order the shingles: any order gives the same result.
 SAMPLE_DOCS = 20_000
@@ -140,6 +141,21 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int,
     return near
 
 
+def _by_fingerprint(docs: DataFrame, reps: DataFrame, shingle: int, share: float) -> DataFrame:
+    """Links (a, b) of nodes by pigeonring on the SimHash values of their shingles, within two bits, that whole sets confirm.
+
+    Nodes of one value meet the least of them, and the least nodes of two linked values meet: a few rows a node.
+    """
+    own = fingerprints(docs, shingle).join(reps.select(F.col("rep").alias("doc_id"), "node"), "doc_id").select("fp", "node").distinct()
+    own = materialize(own, "fingerprints")
+    first = materialize(own.groupBy("fp").agg(F.min("node").alias("first")), "first-nodes")
+    same = own.join(first, "fp").select(F.col("node").alias("x"), F.col("first").alias("y"))
+    of = lambda k, n: first.select(F.col("fp").alias(k), F.col("first").alias(n))
+    other = link_fingerprints(first.select("fp")).join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
+    pairs = same.union(other).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return _verified(materialize(pairs, "marked"), reps, docs, shingle, share)
+
+
 def _candidates(a: DataFrame, b: DataFrame, share: float) -> DataFrame:
     """Distinct pairs of nodes of one key whose components differ and whose sizes and sketches allow the similarity."""
     names = ("node", "size", "comp", *SKETCH)
@@ -173,7 +189,8 @@ def groups(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> DataFrame:
     Documents link when the Jaccard similarity of their sets of ``shingle``-word shingles is at
     least ``share``; component_id is the smallest doc_id reachable. No linked pair is missed: every
     pair with a common key is compared by whole sets, unless links already join it. Equal sets
-    collapse first; pairs whose sketches differ in too many bits are not made. Of keys of over ``SMALL`` values
+    collapse first; then SimHash values within two bits, found by pigeonring, link what whole sets confirm, and prefixes only
+    pair what these links leave apart. Pairs whose sketches differ in too many bits are not made. Of keys of over ``SMALL`` values
     each node first meets one value of one key, three times with another one, then the nodes of each key that still
     holds several components meet one of them, another one in each key; so a large group of near copies is joined in
     a few rows for each node and key. Only what is still apart is paired. 64 hash bits stand for a shingle's words.
@@ -186,14 +203,17 @@ def groups(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> DataFrame:
     nodes = materialize(nodes, "nodes")
     discard(whole)
     reps = nodes.select("node", "rep", "size", "wide")
+    marked = _by_fingerprint(docs, reps, shingle, share)
+    joined = materialize(connected_components(marked), "joined")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     # Most keys are held once; only the others' rows get sizes and sketches.
     sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key-sizes")
     met = materialize(keyed.join(sizes, "key").select("key", "node", (F.col("n") > SMALL).alias("large")), "shared-keys")
-    met = materialize(met.join(nodes.select("node", "size", *SKETCH), "node").select("key", "node", "size", *SKETCH, F.col("node").alias("comp"), "large"), "met")
+    traits = nodes.select("node", "size", *SKETCH).join(joined.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    met = materialize(met.join(traits, "node").select("key", "node", "size", *SKETCH, "comp", "large"), "met")
     small, open_ = met.where("not large"), met.where("large")
     edges = _verified(_candidates(small, small.where("true"), share), reps, docs, shingle, share)
-    edges = edges.union(_verified(_stars(open_, share), reps, docs, shingle, share))
+    edges = edges.union(_verified(_stars(open_, share), reps, docs, shingle, share)).union(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
     parts = materialize(connected_components(edges), "parts")
     for k in range(ROUNDS + 1):
         placed = open_.drop("comp").join(parts.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))

@@ -488,6 +488,21 @@ def test_stage_drops_near_copies(spark):
 # 7 quality
 
 
+def test_near_copies_of_the_pipeline_are_linked_by_fingerprints(spark, monkeypatch):
+    """With no other candidates the close copies still go."""
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(1500)]
+    texts = [" ".join(words), " ".join([*words[:-1], "x"]), " ".join(reversed(words)), "", " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bits = {x.doc_id: x.fp for x in simhash.fingerprints(docs, 5).collect()}
+    assert bin((bits[0] ^ bits[1]) & (1 << 64) - 1).count("1") <= 2
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(neardup, "_candidates", lambda a, b, share: none)
+    monkeypatch.setattr(neardup, "_stars", lambda large, share: none)
+    assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {0, 2, 3}
+
+
 def test_quality(spark):
     r = random.Random(9)
     good = lambda: f"{prose(r, r.randint(20, 400)).capitalize()}."
