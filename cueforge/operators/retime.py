@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueforge.functions.timecode import shifted
-from cueforge.operators.scan import next_value, running
+from cueforge.operators.scan import nearest, next_value, running
 
 
 def adjust_end_times(lines: DataFrame, track: str = "track_id", order: str = "line_no", extend_ms: int = 60_000, gap_ms: int = 1) -> DataFrame:
@@ -80,10 +80,12 @@ def rebase_chunk_times(df: DataFrame, min_ms: int | None = None, legacy_double:
 def assign_to_chunks(cues: DataFrame, chunks: DataFrame, track: str = "track_id", bin_ms: int = 60_000) -> DataFrame:
     """``cues`` with chunk_no and chunk_start_ms of the chunk [start, end) that holds their begin; others drop.
 
-    ``chunks(track, chunk_no, duration_ms)`` follow each other; both sides meet on time bins.
+    ``chunks(track, chunk_no, duration_ms)`` follow each other, with lengths of 0 or more; a cue takes the last chunk that starts at or
+    before its begin, so each cue and each chunk is shuffled once whatever their lengths. A track is cut in segments of 1,024 ``bin_ms``.
     """
     w = Window.partitionBy(track).orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, 0)
     placed = chunks.withColumn("chunk_end_ms", F.sum("duration_ms").over(w)).withColumn("chunk_start_ms", F.col("chunk_end_ms") - F.col("duration_ms")).where("duration_ms > 0")
-    binned = placed.select(track, "chunk_no", "chunk_start_ms", "chunk_end_ms", F.explode(F.sequence(F.floor(F.col("chunk_start_ms") / bin_ms), F.floor((F.col("chunk_end_ms") - 1) / bin_ms))).alias("_bin"))
-    met = cues.withColumn("_bin", F.floor(F.col("begin_ms") / bin_ms)).join(binned, [track, "_bin"])
-    return met.where("begin_ms >= chunk_start_ms and begin_ms < chunk_end_ms").drop("_bin")
+    marks = placed.select(track, F.col("chunk_start_ms").alias("_at"), "chunk_no", "chunk_start_ms", "chunk_end_ms")
+    met = nearest(cues.withColumn("_at", F.col("begin_ms")), marks, track, "_at", ["chunk_no"], "_chunk", span=1024 * bin_ms)
+    kept = met.where(F.col("begin_ms") < F.col("_chunk.chunk_end_ms"))
+    return kept.select(track, *[c for c in cues.columns if c != track], *[f"_chunk.{c}" for c in ("chunk_no", "chunk_start_ms", "chunk_end_ms")])
