@@ -42,6 +42,17 @@ def test_alignment_equals_model(spark, seed):
     assert {(r.track_id, r.pos): r.match for r in got.collect()} == model_align(src, other)
 
 
+def test_long_cues_and_chunks_take_a_row(spark):
+    far = 10**16
+    src = [("a", 0, 5, far, "s"), ("a", 1, far - 3, far + 9, "s"), ("a", 2, far + 8, far + 9, "s"), ("b", 0, 5, 9, "s"), (None, 0, 0, 9, "s"), ("a", 3, None, 9, "s")]
+    other = [("a", 0, -far, far, "long"), ("a", 1, far - 2, far + 1, "in"), ("a", 2, 4, far + 8, "later"), (None, 0, 1, 9, "n")]
+    got = align.align_tracks(spark.createDataFrame(src, CUE), spark.createDataFrame(other, CUE))
+    assert {(r.track_id, r.pos): r.match for r in got.collect()} == {("a", 0): "in", ("a", 1): "in", ("a", 2): "later", ("b", 0): "N/A", (None, 0): "N/A", ("a", 3): "N/A"}
+    parts = spark.createDataFrame([("a", 0, far - 5), ("a", 1, 0), ("a", 2, 10), ("b", 0, 5)], "track_id string, chunk_no int, duration_ms long")
+    kept = retime.assign_to_chunks(spark.createDataFrame(src, CUE), parts)
+    assert rows(kept, "track_id", "pos", "chunk_no", "chunk_start_ms") == [("a", 0, 0, 0), ("a", 1, 2, far - 5)]
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_islands_equal_model(spark, seed):
     cues = random_cues(seed, 50, spread=3)
