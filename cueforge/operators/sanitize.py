@@ -80,13 +80,14 @@ def filter_known_in_lines(lines: DataFrame, lexicon: DataFrame, track: str = "tr
     found = lines.join(at, F.col(track).eqNullSafe(F.col("_t")), "left").drop("_t")
     parts = F.split(value, "\t")
     pairs = parse_pairs_strict(F.when(F.col(line_no) >= F.col("_from"), F.get(parts, F.col("_col"))))
-    # The glosses are parsed where their words are looked up and again where they are written, so that a line travels as it is.
+    # Parsed where their words are looked up and again where they are written, a line's glosses don't travel.
     met = _with_known_places(found, F.transform(pairs, lambda p: p["word"]), lexicon, [track, line_no], 3, small_lexicon)
-    parsed = met.withColumn("_pairs", pairs)
-    kept = parsed.withColumn("_kept", _kept(F.col("_pairs"))).where("size(_kept) > 0 or size(_pairs) = 0")
-    told = F.transform(parts, lambda x, i: F.when(i == F.col("_col"), format_pairs("_kept")).otherwise(x))
-    line = F.when(F.size("_kept") > 0, F.array_join(told, "\t")).otherwise(F.col(value))
-    return kept.select(*[line.alias(c) if c == value else F.col(c) for c in lines.columns])
+    told = lambda k: F.array_join(F.transform(parts, lambda x, i: F.when(i == F.col("_col"), format_pairs(k)).otherwise(x)), "\t")
+    written = lambda k, p: F.when(F.size(k) > 0, F.array(F.struct(told(k).alias("v")))).when(F.size(p) == 0, F.array(F.struct(F.col(value).alias("v"))))
+    # Lists of one: what is in them is computed once.
+    one = F.get(F.transform(F.array(pairs), lambda p: F.get(F.transform(F.array(_kept(p)), lambda k: written(k, p)), F.lit(0))), F.lit(0))
+    kept = met.select(*[c for c in lines.columns if c != value], F.explode_outer(one).alias("_line")).where("_line is not null")
+    return kept.select(*[F.col("_line.v").alias(c) if c == value else F.col(c) for c in lines.columns])
 
 
 def new_lexicon_entries(df: DataFrame, lexicon: DataFrame, order: list[str], pairs: str = "pairs") -> DataFrame:

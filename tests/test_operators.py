@@ -326,6 +326,15 @@ def test_known_words_meet_no_texts(spark):
     assert made and not any("note" in line or "pinyin" in line for line in made)
 
 
+def test_lines_travel_without_their_glosses(spark):
+    lines = spark.createDataFrame([("a", 1, '1\t["x (p): t", "y (p): t"]')], "track_id string, line_no int, value string")
+    kept = sanitize.filter_known_in_lines(lines, spark.createDataFrame([("x", "3")], "word string, confidence_level string"))
+    assert [r.value for r in kept.collect()] == ['1\t["y (p): t"]']
+    plan = kept._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = [x for x in plan if "Generate" in x and "posexplode" in x]
+    assert made and not any("value" in x or "_parts" in x or "rest" in x for x in made)
+
+
 def test_base_rows_without_an_end(spark):
     lines = [("t", 1, "1\t1.0s\tx\t字\tN/A\tp"), ("t", 2, "2\t9.0s\t9.1s\t（字）\t[]\t"), ("t", 3, "3\tbad\t9.1s\t字\t[]\tp")]
     got = rows(readers.parse_base_lines(spark.createDataFrame(lines, "track_id string, line_no int, value string")), "begin_ms", "end_ms", "zht", "pt", "layout")
