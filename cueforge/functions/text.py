@@ -15,14 +15,23 @@ TONES = ("āáǎàēéěèīíǐìōóǒòūúǔùǖǘǚǜĀÁǍÀĒÉĚÈĪÍǏ
 ACCENTS = ("ãáàâäéèêëíìîïóòôöúùûüçñÃÁÀÂÄÉÈÊËÍÌÎÏÓÒÔÖÚÙÛÜÇÑ", "aaaaaeeeeiiiioooouuuucnAAAAAEEEEIIIIOOOOUUUUCN")
 
 
+#: Fixed value: the characters of Unicode white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim_all(c: Column | str) -> Column:
     """Trim any Unicode white space."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_col(c), F.lit(WHITE))
+
+
+def one_space(c: Column | str) -> Column:
+    """Runs of white space become one space; single spaces, which most runs are, aren't written anew."""
+    return F.regexp_replace(_col(c), r"(?U)(?: \s|[\s&&[^ ]])\s*", " ")
 
 
 def squeeze(c: Column | str) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(_col(c), r"(?U)\s+", " "))
+    return F.trim(one_space(c))
 
 
 def clean_zht(c: Column | str) -> Column:

@@ -1,8 +1,11 @@
-"""Subtitle, study-table and episode files as DataFrames. One row a cue or line; track_id is the file's stem."""
+"""Subtitle, study-table and episode files as DataFrames. One row a cue or line; track_id is the file's stem.
+
+``packed``: the path has texts of many tracks in each file, as the writers store them with ``packed``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueforge.functions.text import squeeze, trim_all
@@ -18,11 +21,18 @@ def _track(path: Column) -> Column:
     return F.when(folder != "", folder).otherwise(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""))
 
 
-def _texts(spark: SparkSession, path: str) -> DataFrame:
+def _texts(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """Rows (track_id, text) of whole files, without a byte order mark, line ends as ``\\n``."""
-    raw = spark.read.text(path, wholetext=True)
+    raw = spark.read.schema("track_id string, value string").parquet(path) if packed else spark.read.text(path, wholetext=True)
     body = F.regexp_replace(F.replace("value", F.lit(BOM), F.lit("")), "\r\n?", "\n")
-    return raw.select(_track(F.col("_metadata.file_path")).alias("track_id"), body.alias("text"))
+    return raw.select("track_id" if packed else _track(F.col("_metadata.file_path")).alias("track_id"), body.alias("text"))
+
+
+def _ranked(df: DataFrame, order: list[str], span: int, packed: bool) -> DataFrame:
+    """``df`` with ``idx``, the place in its track. A packed track comes out of one row, so one window holds it and the texts are parsed once."""
+    if packed:
+        return df.withColumn("idx", F.row_number().over(Window.partitionBy("track_id").orderBy(*order)))
+    return ranked(df, "track_id", order, "idx", span)
 
 
 def _blocks(texts: DataFrame, text: Column) -> DataFrame:
@@ -55,7 +65,7 @@ def _split_blocks(pieces: DataFrame) -> DataFrame:
     return each.select("track_id", (F.col("at") * _IN_PIECE + F.col("_k")).alias("pos"), F.split("_b", "\n").alias("lines"))
 
 
-def read_srt(spark: SparkSession, path: str, strict: bool = True, split: bool = False, line_end: str = "\n") -> DataFrame:
+def read_srt(spark: SparkSession, path: str, strict: bool = True, split: bool = False, line_end: str = "\n", packed: bool = False) -> DataFrame:
     """Cues of SRT files: (track_id, pos, idx, begin_ms, end_ms, text).
 
     Strict: blocks need a whole-number index, a time line and text; text keeps its line ends. Lenient: the
@@ -63,7 +73,7 @@ def read_srt(spark: SparkSession, path: str, strict: bool = True, split: bool =
 
     ``split``: large files are cut at empty lines (of ``line_end``, which only decides where a file can be cut) and read by many tasks; ``pos`` then rises in file order with gaps.
     """
-    b = _split_blocks(_pieces(spark, path, line_end * 2)) if split else _blocks(_texts(spark, path), F.col("text"))
+    b = _split_blocks(_pieces(spark, path, line_end * 2)) if split else _blocks(_texts(spark, path, packed), F.col("text"))
     return _srt_cues(b, strict)
 
 
@@ -88,7 +98,7 @@ def stream_srt(spark: SparkSession, path: str, strict: bool = True, line_end: st
     return _srt_cues(blocks, strict)
 
 
-def read_vtt(spark: SparkSession, path: str, truncate: bool = False, hours: bool = True, split: bool = False, line_end: str = "\n") -> DataFrame:
+def read_vtt(spark: SparkSession, path: str, truncate: bool = False, hours: bool = True, split: bool = False, line_end: str = "\n", packed: bool = False) -> DataFrame:
     """Cues of VTT files; blocks must begin with their time line; lines join with a space; empty texts drop.
 
     ``split``: as in ``read_srt``; ``idx`` is then the order among all cues of a track all the same.
@@ -96,13 +106,13 @@ def read_vtt(spark: SparkSession, path: str, truncate: bool = False, hours: bool
     if split:
         b = _split_blocks(_pieces(spark, path, line_end * 2))
     else:
-        texts = _texts(spark, path)
+        texts = _texts(spark, path, packed)
         b = _blocks(texts, F.regexp_replace("text", r"^WEBVTT[^\n]*\n\n", ""))
     b = b.where(F.instr(F.col("lines")[0], "-->") > 0)
     times = F.split(F.col("lines")[0], r"\s*-->\s*")
     body = trim_all(F.array_join(F.slice("lines", 2, F.size("lines")), " "))
     out = b.where(F.size(times) == 2).select("track_id", "pos", vtt_to_ms(times[0], truncate, hours).alias("begin_ms"), vtt_to_ms(times[1], truncate, hours).alias("end_ms"), body.alias("text"))
-    return ranked(out.where("text <> ''"), "track_id", ["pos"], "idx", SPAN * _IN_PIECE if split else SPAN).select("track_id", "pos", "idx", "begin_ms", "end_ms", "text")
+    return _ranked(out.where("text <> ''"), ["pos"], SPAN * _IN_PIECE if split else SPAN, packed).select("track_id", "pos", "idx", "begin_ms", "end_ms", "text")
 
 
 #: The end of an element of XML, and character references to Unicode's characters.
@@ -126,9 +136,14 @@ def xml_text(c: Column | str) -> Column:
         known = F.create_map(*[F.lit(x) for pair in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")) for x in pair])
         valid = lambda n: (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
         char = lambda x: F.when(valid(code(x)), _character(code(x))).otherwise(known[F.regexp_extract(x, f"^{_REFERENCE}", 3)])
-        return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(f"^{_REFERENCE}"), F.coalesce(F.concat(char(x), F.regexp_replace(x, f"^{_REFERENCE}", "")), x)).otherwise(x)), "")
+        each = F.array_join(F.transform(parts, lambda x: F.when(x.rlike(f"^{_REFERENCE}"), F.coalesce(F.concat(char(x), F.regexp_replace(x, f"^{_REFERENCE}", "")), x)).otherwise(x)), "")
+        # Without numbers the five names are enough, the ampersand last: what it makes is no reference.
+        named = F.regexp_replace(piece, r"<[^>]*>", "")
+        for name, c in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+            named = F.replace(named, F.lit(f"&{name};"), F.lit(c))
+        return F.when(piece.contains("#"), each).otherwise(named)
 
-    return F.array_join(F.transform(pieces, lambda x, k: F.when(k % 2 == 1, x).otherwise(told(x))), "")
+    return F.when(bare.contains("<![CDATA["), F.array_join(F.transform(pieces, lambda x, k: F.when(k % 2 == 1, x).otherwise(told(x))), "")).otherwise(told(bare))
 
 
 def _character(n: Column) -> Column:
@@ -136,7 +151,7 @@ def _character(n: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
 
 
-def read_ttml(spark: SparkSession, path: str, split: bool = False, paragraph_end: str = "</p>") -> DataFrame:
+def read_ttml(spark: SparkSession, path: str, split: bool = False, paragraph_end: str = "</p>", packed: bool = False) -> DataFrame:
     """Cues of TTML files in order of begin: every ``<p>`` of any prefix, nested text joined, white space collapsed.
 
     A missing begin is 0, a missing end the begin; ticks use the document's tick rate; other times are skipped. References and CDATA are
@@ -146,7 +161,7 @@ def read_ttml(spark: SparkSession, path: str, split: bool = False, paragraph_end
         pieces = _pieces(spark, path, paragraph_end)
         t = pieces.select("track_id", "at", F.concat("text", F.lit(paragraph_end)).alias("text"))
     else:
-        t = _texts(spark, path).withColumn("at", F.lit(0).cast("long"))
+        t = _texts(spark, path, packed).withColumn("at", F.lit(0).cast("long"))
     hidden = F.regexp_replace("text", r"(?s)<!--.*?-->", "")
     told = F.regexp_extract("text", r"tickRate\s*=\s*[\x22'](\d{1,12})[\x22']", 1).try_cast("long")
     e = t.select("track_id", "at", told.alias("_own"), F.posexplode(F.regexp_extract_all(hidden, F.lit(_PARAGRAPH), F.lit(0))).alias("_k", "_p"))
@@ -158,14 +173,20 @@ def read_ttml(spark: SparkSession, path: str, split: bool = False, paragraph_end
         e = e.withColumn("_rate", F.col("_own"))
     opening = F.regexp_extract("_p", r"^(<[^>]*>)", 1)
 
-    def attr(name: str, default: Column) -> Column:
-        raw = F.regexp_extract(opening, rf"\s{name}\s*=\s*[\x22']([^\x22']*)[\x22']", 1)
-        return F.when(raw == "", default).otherwise(secs_to_ms(ticks_to_secs(raw, F.col("_rate")), True))
+    def attr(name: str) -> Column:
+        return F.regexp_extract(opening, rf"\s{name}\s*=\s*[\x22']([^\x22']*)[\x22']", 1).alias(name)
+
+    def time(name: str, default: Column) -> Column:
+        raw = F.col(f"_raw.{name}")
+        told = F.when(raw.endswith("t"), secs_to_ms(ticks_to_secs(raw, F.col("_rate")), True)).otherwise(secs_to_ms(raw, True))
+        return F.when(raw == "", default).otherwise(told)
 
     body = xml_text(F.regexp_replace("_p", r"^<[^>]*>|</(?:\w+:)?p\s*>$", ""))
-    e = e.withColumn("begin_ms", attr("begin", F.lit(0).cast("long")))
-    e = e.withColumn("end_ms", attr("end", F.col("begin_ms"))).where("begin_ms is not null and end_ms is not null")
-    n = ranked(e, "track_id", ["begin_ms", "at", "_k"], "idx", span=1 << 22)
+    # Lists of one: what is in them is computed once, not again for the filter.
+    e = e.withColumn("_raw", F.explode_outer(F.array(F.struct(attr("begin"), attr("end")))))
+    e = e.withColumn("_ms", F.explode_outer(F.array(F.struct(time("begin", F.lit(0).cast("long")).alias("begin"), time("end", F.lit(None).cast("long")).alias("end")))))
+    e = e.withColumns({"begin_ms": F.col("_ms.begin"), "end_ms": F.when(F.col("_raw.end") == "", F.col("_ms.begin")).otherwise(F.col("_ms.end"))}).where("begin_ms is not null and end_ms is not null")
+    n = _ranked(e, ["begin_ms", "at", "_k"], 1 << 22, packed)
     return n.select("track_id", (F.col("idx") - 1).alias("pos"), "idx", "begin_ms", "end_ms", squeeze(body).alias("text"))
 
 
@@ -196,22 +217,22 @@ def parse_base_lines(lines: DataFrame, min_columns: int = 4, dedupe: str | None
     return out.groupBy("track_id", "begin_ms").agg(pick(F.struct(*rest), "line_no").alias("r")).select("track_id", "begin_ms", "r.*").select(*out.columns)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """Rows (track_id, line_no, value) of physical lines, numbered from 1 within each file."""
-    e = _texts(spark, path).select("track_id", F.posexplode(F.split("text", "\n")).alias("_k", "value"), F.size(F.split("text", "\n")).alias("_n"))
+    e = _texts(spark, path, packed).select("track_id", F.posexplode(F.split("text", "\n")).alias("_k", "value"), F.size(F.split("text", "\n")).alias("_n"))
     return e.where(~((F.col("_k") == F.col("_n") - 1) & (F.col("value") == ""))).select("track_id", (F.col("_k") + 1).alias("line_no"), "value")
 
 
-def read_base(spark: SparkSession, path: str, min_columns: int = 4, dedupe: str | None = "last") -> DataFrame:
+def read_base(spark: SparkSession, path: str, min_columns: int = 4, dedupe: str | None = "last", packed: bool = False) -> DataFrame:
     """Base rows of tab-separated files (see ``parse_base_lines``)."""
-    return parse_base_lines(read_lines(spark, path), min_columns, dedupe)
+    return parse_base_lines(read_lines(spark, path, packed), min_columns, dedupe)
 
 
-def read_text_base(spark: SparkSession, path: str) -> DataFrame:
+def read_text_base(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """Rows (track_id, line_no, value, pairs_raw, translation) of study tables without times; missing columns are empty."""
     p = F.split("value", "\t")
     at = lambda k: F.coalesce(trim_all(F.get(p, F.lit(k))), F.lit(""))
-    return read_lines(spark, path).select("track_id", "line_no", at(0).alias("value"), at(1).alias("pairs_raw"), at(2).alias("translation")).where("value <> ''")
+    return read_lines(spark, path, packed).select("track_id", "line_no", at(0).alias("value"), at(1).alias("pairs_raw"), at(2).alias("translation")).where("value <> ''")
 
 
 def read_with_encoding(spark: SparkSession, path: str) -> DataFrame:

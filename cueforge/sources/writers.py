@@ -1,10 +1,15 @@
-"""Cue tables and episodes as files: each ``render_*`` gives one text a track, each ``write_*`` stores them."""
+"""Cue tables and episodes as files: each ``render_*`` gives one text a track, each ``write_*`` stores them.
+
+``packed`` stores many tracks' texts in each of few Parquet files, which the readers take with ``packed`` too: a folder and a file for each of
+hundreds of thousands of small tracks cost more time to make, list and open than all work on their texts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cueforge.functions.text import squeeze
 from cueforge.functions.timecode import ms_to_secs, ms_to_srt
 
 EPISODE_COLUMNS = ("id", "episode_number", "chapter_date", "title", "url", "type")
@@ -24,7 +29,7 @@ def render_srt(df: DataFrame, track: str = "track_id", order: str = "pos") -> Da
 
 
 def _field(c: str) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"(?U)\s+", " "))
+    return squeeze(F.coalesce(F.col(c).cast("string"), F.lit("")))
 
 
 def base_line(df: DataFrame) -> Column:
@@ -69,18 +74,25 @@ def render_ttml_secs(df: DataFrame, track: str = "track_id", order: str = "pos")
     return body.withColumn("content", F.concat(F.lit('<tt xmlns="http://www.w3.org/ns/ttml"><body><div>\n'), "content", F.lit("\n</div></body></tt>")))
 
 
-def _store(rendered: DataFrame, path: str) -> None:
+#: Bytes of a row group of packed texts: what a task holds at once when it reads them.
+_GROUP = 16 << 20
+
+
+def _store(rendered: DataFrame, path: str, packed: bool = False) -> None:
+    if packed:
+        rendered.select("track_id", F.col("content").alias("value")).write.mode("overwrite").option("parquet.block.size", _GROUP).parquet(path)
+        return
     rendered.select("track_id", F.col("content").alias("value")).write.mode("overwrite").partitionBy("track_id").option("lineSep", "\n").text(path)
 
 
-def write_srt(df: DataFrame, path: str) -> None:
-    """SRT files, a folder for each track."""
-    _store(render_srt(df), path)
+def write_srt(df: DataFrame, path: str, packed: bool = False) -> None:
+    """SRT files, a folder for each track, or packed."""
+    _store(render_srt(df), path, packed)
 
 
-def write_base(df: DataFrame, path: str) -> None:
-    """Base files, a folder for each track."""
-    _store(render_base(df), path)
+def write_base(df: DataFrame, path: str, packed: bool = False) -> None:
+    """Base files, a folder for each track, or packed."""
+    _store(render_base(df), path, packed)
 
 
 def write_chunk_base(df: DataFrame, path: str) -> None:
@@ -88,14 +100,14 @@ def write_chunk_base(df: DataFrame, path: str) -> None:
     render_chunk_base(df).select("track_id", "chunk_no", F.col("content").alias("value")).write.mode("overwrite").partitionBy("track_id", "chunk_no").option("lineSep", "\n").text(path)
 
 
-def write_text_base(df: DataFrame, path: str) -> None:
-    """Study files without times, a folder for each track."""
-    _store(render_text_base(df), path)
+def write_text_base(df: DataFrame, path: str, packed: bool = False) -> None:
+    """Study files without times, a folder for each track, or packed."""
+    _store(render_text_base(df), path, packed)
 
 
-def write_ttml_secs(df: DataFrame, path: str) -> None:
-    """TTML files, a folder for each track."""
-    _store(render_ttml_secs(df), path)
+def write_ttml_secs(df: DataFrame, path: str, packed: bool = False) -> None:
+    """TTML files, a folder for each track, or packed."""
+    _store(render_ttml_secs(df), path, packed)
 
 
 def episodes_envelope(df: DataFrame, source_url: str, extraction_date: str, order: str = "pos", source: str | None = None) -> DataFrame:

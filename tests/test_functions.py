@@ -157,3 +157,11 @@ def test_list_literals_as_python_reads_them(spark):
 def test_marks_in_items(spark):
     got = spark.createDataFrame([('["w\u0001v (p): t", "a\u0001 b", "w (p\u0001): t", "x (y): z"]',)], "s string").select(P.parse_pairs("s").alias("p")).first().p
     assert [tuple(x) for x in got] == [("w\u0001v", "p", "t"), ("a\u0001", "", ""), ("w", "p\u0001", "t"), ("x", "y", "z")]
+
+
+def test_white_space_of_any_kind(spark):
+    marks = [chr(i) for i in range(0x3100)]
+    d = spark.createDataFrame([(f"{c}a{c}{c}b {c}c d{c} e{c}",) for c in marks] + [("",), (" 　\n",), (None,)], "t string")
+    same = T.trim_all("t").eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", "")) & T.squeeze("t").eqNullSafe(F.trim(F.regexp_replace("t", r"(?U)\s+", " ")))
+    assert d.where(~same).collect() == []
+    assert "regexp" not in d.select(T.trim_all("t"))._jdf.queryExecution().optimizedPlan().toString()

@@ -57,3 +57,22 @@ def test_episodes(spark, tmp_path):
     assert readers.read_episodes(spark, str(tmp_path / "j")).first().id == "11"
     writers.write_episodes_csv(df, str(tmp_path / "c"))
     assert spark.read.csv(str(tmp_path / "c"), header=True).columns == list(writers.EPISODE_COLUMNS)
+
+
+def test_packed_texts_are_read_as_files_are(spark, tmp_path):
+    df = spark.createDataFrame([(f"t {k % 40}", k, 1000 * (k * 7 % 50), 1000 * (k * 7 % 50) + 500, f"x & <y>\t{k}") for k in range(200)], CUE)
+    for write, read in ((writers.write_srt, readers.read_srt), (writers.write_ttml_secs, readers.read_ttml)):
+        one, many = str(tmp_path / f"{read.__name__}-packed"), str(tmp_path / f"{read.__name__}-folders")
+        write(df, one, packed=True)
+        write(df, many)
+        got = read(spark, one, packed=True)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, read(spark, many).select(got.columns).collect()))
+        assert got.count() == 200
+        assert not [x for x in (tmp_path / f"{read.__name__}-packed").iterdir() if x.is_dir()]
+
+
+def test_ttml_times_and_references(spark, tmp_path):
+    body = '<tt ttp:tickRate="10"><p begin="20t" end="1.5s">&amp;lt; &lt;</p><p begin="3t">&amp;#65; &<b/>#65; &#66;&quot;</p><p begin="nott" end="1s">no</p><p begin="2s" end="t">no</p><p end="4s">a<![CDATA[&lt;<b>]]>&lt;</p></tt>'
+    p = put(tmp_path / "ttml", "e.xml", body)
+    got = [(r.idx, r.begin_ms, r.end_ms, r.text) for r in readers.read_ttml(spark, p).orderBy("idx").collect()]
+    assert got == [(1, 0, 4000, "a&lt;<b><"), (2, 300, 300, '&#65; A B"'), (3, 2000, 1500, "&lt; <")]
