@@ -37,7 +37,8 @@ def _ranked(df: DataFrame, order: list[str], span: int, packed: bool) -> DataFra
 
 def _blocks(texts: DataFrame, text: Column) -> DataFrame:
     """Rows (track_id, pos, lines) of the blocks between empty lines."""
-    return texts.select("track_id", F.posexplode(F.split(trim_all(text), r"\n[ \t]*\n\s*")).alias("pos", "_b")).select("track_id", "pos", F.split("_b", "\n").alias("lines"))
+    cut = texts.select("track_id", F.posexplode_outer(F.split(trim_all(text), r"\n[ \t]*\n\s*")).alias("pos", "_b")).where("_b is not null")
+    return cut.select("track_id", "pos", F.split("_b", "\n").alias("lines"))
 
 
 def _pieces(spark: SparkSession, path: str, sep: str, streamed: bool = False) -> DataFrame:
@@ -164,7 +165,8 @@ def read_ttml(spark: SparkSession, path: str, split: bool = False, paragraph_end
         t = _texts(spark, path, packed).withColumn("at", F.lit(0).cast("long"))
     hidden = F.regexp_replace("text", r"(?s)<!--.*?-->", "")
     told = F.regexp_extract("text", r"tickRate\s*=\s*[\x22'](\d{1,12})[\x22']", 1).try_cast("long")
-    e = t.select("track_id", "at", told.alias("_own"), F.posexplode(F.regexp_extract_all(hidden, F.lit(_PARAGRAPH), F.lit(0))).alias("_k", "_p"))
+    found = t.select("track_id", "at", told.alias("_own"), F.regexp_extract_all(hidden, F.lit(_PARAGRAPH), F.lit(0)).alias("_all"))
+    e = found.select("track_id", "at", "_own", F.posexplode_outer("_all").alias("_k", "_p")).where("_p is not null")
     if split:
         # The rate stands before the first paragraph of a file: few pieces have one.
         rates = t.where(told.isNotNull()).groupBy("track_id").agg(F.min_by(told, "at").alias("_rate"))
@@ -219,8 +221,10 @@ def parse_base_lines(lines: DataFrame, min_columns: int = 4, dedupe: str | None
 
 def read_lines(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """Rows (track_id, line_no, value) of physical lines, numbered from 1 within each file."""
-    e = _texts(spark, path, packed).select("track_id", F.posexplode(F.split("text", "\n")).alias("_k", "value"), F.size(F.split("text", "\n")).alias("_n"))
-    return e.where(~((F.col("_k") == F.col("_n") - 1) & (F.col("value") == ""))).select("track_id", (F.col("_k") + 1).alias("line_no"), "value")
+    # The line end of the last line goes before the text is cut: with a look at the text for each line, the text would travel with each.
+    whole = F.when(F.col("text").endswith("\n"), F.substring("text", F.lit(1), F.length("text") - 1)).when(F.col("text") != "", F.col("text"))
+    e = _texts(spark, path, packed).select("track_id", F.posexplode_outer(F.split(whole, "\n")).alias("_k", "value"))
+    return e.where("value is not null").select("track_id", (F.col("_k") + 1).alias("line_no"), "value")
 
 
 def read_base(spark: SparkSession, path: str, min_columns: int = 4, dedupe: str | None = "last", packed: bool = False) -> DataFrame:

@@ -76,3 +76,13 @@ def test_ttml_times_and_references(spark, tmp_path):
     p = put(tmp_path / "ttml", "e.xml", body)
     got = [(r.idx, r.begin_ms, r.end_ms, r.text) for r in readers.read_ttml(spark, p).orderBy("idx").collect()]
     assert got == [(1, 0, 4000, "a&lt;<b><"), (2, 300, 300, '&#65; A B"'), (3, 2000, 1500, "&lt; <")]
+
+
+def test_lines_travel_without_their_file(spark, tmp_path):
+    p = put(tmp_path / "lines", "e.tsv", "a\n\nb\n")
+    put(tmp_path / "lines", "f.tsv", "c\n\n")
+    put(tmp_path / "lines", "g.tsv", "")
+    put(tmp_path / "lines", "h.tsv", "\nd")
+    lines = readers.read_lines(spark, p)
+    assert sorted(map(tuple, lines.collect())) == [("e", 1, "a"), ("e", 2, ""), ("e", 3, "b"), ("f", 1, "c"), ("f", 2, ""), ("h", 1, ""), ("h", 2, "d")]
+    assert "), [1], true, [_k" in lines._jdf.queryExecution().optimizedPlan().toString()  # the text, column 1, goes no further
