@@ -108,10 +108,18 @@ def segment_longest_match(text: Column | str, pairs: Column | str) -> Column:
 
 
 _SEGMENT = ("text", "pinyin", "translation")
+#: Lines worked on at once: what is found in a line may be many times its length.
+LINES_AT_ONCE = 64
 
 
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in _SEGMENT])))
-def _segments(texts: pa.Array, pairs: pa.Array) -> pa.Array:
+def _segments(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, pairs in batches:
+        for k in range(0, len(texts), LINES_AT_ONCE):
+            yield _segmented(texts.slice(k, LINES_AT_ONCE), pairs.slice(k, LINES_AT_ONCE))
+
+
+def _segmented(texts: pa.Array, pairs: pa.Array) -> pa.Array:
     """The parts of a text follow each other in its bytes: only where they begin is computed."""
     flat = pairs.flatten()
     fields = dict(zip([f.name for f in flat.type], flat.flatten(), strict=True))
@@ -147,17 +155,15 @@ def word_places(df: DataFrame, text: str, pairs: str, out: str = "places") -> Da
     listed = F.from_json(F.col(pairs), "array<string>", {"allowSingleQuotes": "true"})
     loose = F.transform(F.split(F.translate(F.col(pairs), '[]"', ""), ","), lambda x: trim_all(x))
     head = lambda x: trim_all(F.when(F.instr(x, "(") > 0, F.substring_index(x, "(", 1)).otherwise(F.substring_index(x, ":", 1)))
-    base = df.withColumn("_words", F.transform(F.coalesce(listed, loose), head)).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    made = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.StructType([T.StructField("pair_no", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("starts", T.ArrayType(T.IntegerType()))])))])
+    return df.withColumn(out, _places(F.col(text), F.transform(F.coalesce(listed, loose), head)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # A few lines at a time: a line's places may be many times its length.
-            for k in range(0, batch.num_rows, 64):
-                rows = batch.slice(k, 64)
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-2], _placed(rows.column("_text"), rows.column("_words"))], made.names)
 
-    return base.mapInArrow(run, made)
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("pair_no", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("starts", T.ArrayType(T.IntegerType()))])))
+def _places(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Only texts and words reach Python, a few lines at a time."""
+    for texts, words in batches:
+        for k in range(0, len(texts), LINES_AT_ONCE):
+            yield _placed(pc.fill_null(texts.slice(k, LINES_AT_ONCE), ""), words.slice(k, LINES_AT_ONCE))
 
 
 def _placed(texts: pa.Array, words: pa.Array) -> pa.Array:
@@ -180,7 +186,7 @@ def word_spans(df: DataFrame, text: str, pairs: str) -> DataFrame:
 
     See ``word_places``, which gives one row a line.
     """
-    each = word_places(df, text, pairs, "_places").select(*df.columns, F.explode("_places").alias("_p"))
+    each = word_places(df, text, pairs, "_places").select(*df.columns, F.explode_outer("_places").alias("_p")).where("_p is not null")
     hit = each.select(*df.columns, F.col("_p.pair_no").alias("pair_no"), F.col("_p.word").alias("word"), F.explode("_p.starts").alias("span_start"))
     return hit.withColumn("span_end", F.col("span_start") + F.length("word"))
 

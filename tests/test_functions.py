@@ -165,3 +165,16 @@ def test_white_space_of_any_kind(spark):
     same = T.trim_all("t").eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", "")) & T.squeeze("t").eqNullSafe(F.trim(F.regexp_replace("t", r"(?U)\s+", " ")))
     assert d.where(~same).collect() == []
     assert "regexp" not in d.select(T.trim_all("t"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_lines_are_worked_on_at_once():
+    import pyarrow as pa
+
+    texts = pa.array([f"ab{k}ab" if k % 9 else None for k in range(200)])
+    pairs = pa.array([[{"word": "ab", "pinyin": str(k), "translation": None}] if k % 7 else None for k in range(200)])
+    words = pa.array([["ab", f"{k}"] for k in range(200)])
+    for parts, whole, given in ((P._segments, P._segmented, pairs), (P._places, P._placed, words)):
+        made = list(parts.func(iter([(texts, given)])))
+        assert max(map(len, made)) <= P.LINES_AT_ONCE and len(made) > 1
+        filled = texts if given is pairs else texts.fill_null("")
+        assert pa.chunked_array(made).to_pylist() == whole(filled, given).to_pylist()
