@@ -151,7 +151,7 @@ def c6(s, d):
     select line_no, pos as pair_no, cast((length(t) - length(replace(t, word, ''))) // length(word) as bigint) as spans, strpos(t, word) - 1 as first_start from x""")
 def c7(s, d):
     g = glosses(s, d).select("line_no", F.array_join("w", " ").alias("t"), "pairs_raw")
-    places = P.word_places(g, "t", "pairs_raw").select("line_no", F.explode("places").alias("p"))
+    places = P.word_places(g, "t", "pairs_raw").select("line_no", F.explode_outer("places").alias("p")).where("p is not null")
     return places.select("line_no", "p.pair_no", F.size("p.starts").cast("long").alias("spans"), F.array_min("p.starts").cast("long").alias("first_start"))
 
 
