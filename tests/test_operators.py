@@ -442,3 +442,21 @@ def test_a_killed_run_loses_only_its_share(spark, tmp_path):
 
     assert translate.cached_enrichment(df, "t", count, cache, "m").where("enriched = t").count() == 40
     assert calls.value == 40 - kept < 40
+
+
+@pytest.mark.parametrize("wins", ["last", "first"])
+def test_spans_on_frames_send_no_row_a_second(spark, wins):
+    rnd = random.Random(5)
+    cue = [(rnd.choice(["a", "b", None]), k, b := rnd.randrange(-9_000, 4_000_000), b + rnd.choice([-900, 0, 3_000, 90_000, 1_500_000]), f"x{k}") for k in range(300)]
+    base = spark.createDataFrame(cue, "track_id string, line_no int, begin_ms long, end_ms long, text string")
+    asked = spark.createDataFrame([(rnd.choice(["a", "b", "c", None]), rnd.choice([None, *range(-20, 5600)]), k) for k in range(3000)], "track_id string, second int, n int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)  # blocks go on from batch to batch
+    got = frames.attach_cue_to_frame(asked, base, "span", wins)
+    want = asked.join(frames.cue_seconds(base, "span", wins), ["track_id", "second"], "left")
+    assert got.schema.names == want.schema.names
+    try:
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    exchanged = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" in exchanged and "Aggregate" not in exchanged
