@@ -54,12 +54,13 @@ def filter_known_words(df: DataFrame, lexicon: DataFrame, keys: list[str], pairs
 def _with_known_places(df: DataFrame, words: Column, lexicon: DataFrame, keys: list[str], known_level: int, small_lexicon: bool) -> DataFrame:
     """``df`` with ``_gone``: the places, from 0, of the ``words`` of a row that the lexicon knows; null without any."""
     known = lexicon.where(F.coalesce(F.col("confidence_level").cast("string").try_cast("int"), F.lit(0)) == known_level).select("word").distinct()
-    known = F.broadcast(known) if small_lexicon else known
+    # Hash joins on the narrow sides: neither the places of a frequent word nor the rows with their glosses are sorted.
+    known = F.broadcast(known) if small_lexicon else known.hint("shuffle_hash")
     named = {c: f"_key{i}" for i, c in enumerate(keys)}
     each = df.select(*[F.col(c).alias(k) for c, k in named.items()], F.posexplode_outer(words).alias("_no", "word"))
     gone = each.join(known, "word", "left_semi").groupBy(*named.values()).agg(F.collect_list("_no").alias("_gone"))
     same = [F.col(c).eqNullSafe(F.col(k)) for c, k in named.items()]
-    return df.join(gone, same, "left").drop(*named.values())
+    return df.join(gone.hint("shuffle_hash"), same, "left").drop(*named.values())
 
 
 def _kept(pairs: Column) -> Column:

@@ -460,3 +460,11 @@ def test_spans_on_frames_send_no_row_a_second(spark, wins):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     exchanged = got._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(" in exchanged and "Aggregate" not in exchanged
+
+
+def test_known_words_need_no_sorted_rows(spark):
+    df = spark.createDataFrame([(k, f"note {k}", [(w, "p", "t") for w in ("x", "y")]) for k in range(3)], "k int, note string, pairs array<struct<word:string,pinyin:string,translation:string>>")
+    kept = sanitize.filter_known_words(df, spark.createDataFrame([("x", "3")], "word string, confidence_level string"), ["k"])
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") == 2
+    assert sorted((r.k, [p.word for p in r.pairs]) for r in kept.collect()) == [(k, ["y"]) for k in range(3)]
