@@ -19,6 +19,8 @@ REFUSALS = (
     "A frase fornecida é muito curta e não contém palavras chinesas para extrair. Por favor, forneça uma frase em chinês tradicional para que eu possa realizar a extração conforme solicitado.",
     "A frase fornecida está vazia, portanto, não há palavras para extrair e traduzir.",
 )
+#: Fixed value: the bits of a long, each a place.
+PLACES = 64
 
 
 def drop_bad_rows(df: DataFrame, refusals: tuple[str, ...] = REFUSALS, music_col: str = "zht", pairs: str = "pairs_raw") -> DataFrame:
@@ -58,11 +60,21 @@ def _with_known_places(df: DataFrame, words: Column, lexicon: DataFrame, keys: l
     known = F.broadcast(known) if small_lexicon else known.hint("shuffle_hash")
     named = {c: f"_key{i}" for i, c in enumerate(keys)}
     each = df.select(*[F.col(c).alias(k) for c, k in named.items()], F.posexplode_outer(words).alias("_no", "word"))
-    gone = each.join(known, "word", "left_semi").groupBy(*named.values()).agg(F.collect_list("_no").alias("_gone"))
+    # The places go to their row as they are met, and become bits there: a frequent word's places are neither sorted nor held.
+    met = each.join(known, "word", "left_semi").select(*named.values(), "_no").repartition(*named.values())
+    bits = met.groupBy(*named.values(), F.expr(f"_no div {PLACES}").cast("int").alias("_part")).agg(F.bit_or(F.expr(f"shiftleft(1L, _no % {PLACES})")).alias("_bits"))
+    listed = F.flatten(F.transform(F.collect_list(F.struct("_part", "_bits")), _places))
+    gone = bits.groupBy(*named.values()).agg(listed.alias("_gone"))
     same = [F.col(c).eqNullSafe(F.col(k)) for c, k in named.items()]
     return df.join(gone.hint("shuffle_hash"), same, "left").drop(*named.values())
 
 
+def _places(x: Column) -> Column:
+    """The places that the bits of a part stand for."""
+    first = x["_part"] * PLACES
+    return F.filter(F.sequence(first, first + (PLACES - 1)), lambda i: F.getbit(x["_bits"], i % PLACES) == 1)
+
+
 def _kept(pairs: Column) -> Column:
     """The glosses whose places aren't in ``_gone`` and that have a word, in order."""
     places = F.when(F.size(pairs) > 0, F.sequence(F.lit(0), F.size(pairs) - 1)).otherwise(F.array().cast("array<int>"))
@@ -105,9 +117,10 @@ def upsert_lexicon(lexicon: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def sanitize_summary(before: DataFrame, after: DataFrame, keys: list[str], text: str = "zht", pairs: str = "pairs") -> DataFrame:
-    """One row: rows removed and modified, glosses kept and dropped."""
-    b = before.select(*keys, F.col(text).alias("_t0"), F.size(pairs).alias("_n0"))
-    a = after.select(*keys, F.col(text).alias("_t1"), F.size(pairs).alias("_n1"), F.lit(1).alias("_in"))
+    """One row: rows removed and modified, glosses kept and dropped. Texts meet as their SHA-256."""
+    digest = F.unhex(F.sha2(F.col(text).cast("string").cast("binary"), 256))
+    b = before.select(*keys, digest.alias("_t0"), F.size(pairs).alias("_n0"))
+    a = after.select(*keys, digest.alias("_t1"), F.size(pairs).alias("_n1"), F.lit(1).alias("_in"))
     j = b.join(a, keys, "left")
     n0, n1 = F.greatest("_n0", F.lit(0)), F.coalesce(F.greatest("_n1", F.lit(0)), F.lit(0))
     return j.agg(

@@ -468,3 +468,28 @@ def test_known_words_need_no_sorted_rows(spark):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") == 2
     assert sorted((r.k, [p.word for p in r.pairs]) for r in kept.collect()) == [(k, ["y"]) for k in range(3)]
+
+
+def test_places_of_known_words_are_not_sorted_where_words_meet(spark):
+    known = {0, 62, 63, 64, 127, 128, 200}
+    words = ["x" if i in known else f"w{i}" for i in range(201)]
+    df = spark.createDataFrame([(k, [(w, "p", "t") for w in words]) for k in (1, None)] + [(2, [("x", "p", "t")] * 130)], "k int, pairs array<struct<word:string,pinyin:string,translation:string>>")
+    lexicon = spark.createDataFrame([("x", "3")], "word string, confidence_level string")
+    for small in (False, True):
+        kept = sanitize.filter_known_words(df, lexicon, ["k"], small_lexicon=small)
+        plan = kept._jdf.queryExecution().executedPlan().toString().splitlines()
+        join = next(i for i, line in enumerate(plan) if "LeftSemi" in line)
+        over = [line for line in plan[:join] if "Aggregate" in line or "Exchange" in line]
+        assert "Exchange" in over[-1] and not any("collect_list(_no" in line for line in over)
+        assert {r.k: [p.word for p in r.pairs] for r in kept.collect()} == {k: [w for w in words if w != "x"] for k in (1, None)}
+
+
+def test_summary_compares_texts_by_digests(spark):
+    schema = "k int, zht string, pairs array<struct<word:string,pinyin:string,translation:string>>"
+    two, one = [("x", "p", "t"), ("y", "p", "t")], [("x", "p", "t")]
+    before = spark.createDataFrame([(1, "a", two), (2, None, two), (3, "", two), (4, None, two), (5, "字", two), (6, "b", None), (7, "c", two)], schema)
+    after = spark.createDataFrame([(1, "a", two), (2, None, two), (3, None, two), (4, "", two), (5, "子", two), (6, "b", None), (7, "c", one)], schema)
+    told = sanitize.sanitize_summary(before, after, ["k"])
+    assert rows(told, "removed", "modified", "pairs_kept", "pairs_dropped") == [(0, 4, 11, 1)]
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 2 and "zht" not in plan[: plan.index("sha2(")]
