@@ -493,3 +493,15 @@ def test_summary_compares_texts_by_digests(spark):
     assert rows(told, "removed", "modified", "pairs_kept", "pairs_dropped") == [(0, 4, 11, 1)]
     plan = told._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sha2(") == 2 and "zht" not in plan[: plan.index("sha2(")]
+
+
+def test_summary_of_a_corpus_sends_no_whole_texts(spark, tmp_path, monkeypatch):
+    from cueforge.plans.suite import QUERIES
+
+    spark.createDataFrame([(1, "abc one two xyz three four"), (2, None), (3, "abc")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    given, plain = [], sanitize.sanitize_summary
+    monkeypatch.setattr(sanitize, "sanitize_summary", lambda *a: given.extend(a[:2]) or plain(*a))
+    assert [tuple(r) for r in QUERIES["f5_sanitize_summary"](spark, str(tmp_path)).collect()] == [(2, 0, 0, 3)]
+    for df in given:
+        assert df.schema["pairs"].dataType.elementType.fieldNames() == ["word"]
+        assert all(len(r.zht) == 64 for r in df.collect())
